@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetloom.functions.columns import path_key
+from fleetloom.session import cut_lineage
 
 # Fixed order of scopes, lowest precedence first.
 SCOPES = ("base", "all", "role", "node")
@@ -105,22 +106,28 @@ def merge_layers(
             F.max(F.when(mine & ~is_list, order)).alias("_plain"),
             F.collect_list(F.when(is_list, F.struct("precedence", "value"))).alias("_lists"),
         ]
-    states = own.unionByName(below).groupBy(*keys, "path").agg(*aggregates)
-    winners = states.where(F.col("_win.kind").isNotNull() & ~F.col("_win.kind").isin("empty", "delete"))
+    # Read by several steps below, and the shuffle is the costly part: kept once.
+    states = cut_lineage(own.unionByName(below).groupBy(*keys, "path").agg(*aggregates))
+    winners = states.where(
+        F.col("_win.kind").isNotNull() & ~F.col("_win.kind").isin("empty", "delete")
+    )
     # Only paths that are set both as a leaf and as a container can remove others.
     cuts = states.where(F.col("_cut").isNotNull() & F.col("_under").isNotNull()).select(
         *keys, F.col("path").alias("_prefix"), "_cut"
     )
-    removed = (
-        winners.where(F.size("path") > 1)
-        .select(*keys, "path", F.explode(prefixes).alias("_prefix"))
-        .join(cuts, [*keys, "_prefix"])
-        .groupBy(*keys, "path")
-        .agg(F.max("_cut").alias("_above"))
-    )
-    judged = winners.join(removed, [*keys, "path"], "left").withColumn(
-        "_gone", F.greatest("_under", "_above")
-    )
+    if cuts.isEmpty():
+        judged = winners.withColumn("_gone", F.col("_under"))
+    else:
+        removed = (
+            winners.where(F.size("path") > 1)
+            .select(*keys, "path", F.explode(prefixes).alias("_prefix"))
+            .join(cuts, [*keys, "_prefix"])
+            .groupBy(*keys, "path")
+            .agg(F.max("_cut").alias("_above"))
+        )
+        judged = winners.join(removed, [*keys, "path"], "left").withColumn(
+            "_gone", F.greatest("_under", "_above")
+        )
     alive = judged.where(F.col("_gone").isNull() | (F.col("_win.precedence") > F.col("_gone")))
     value = F.col("_win.value")
     if list_mode == "append":
@@ -179,13 +186,10 @@ def merged_settings(
     shared = roles.join(wide.select("cluster_name", *leaf), "cluster_name").unionByName(
         roles.join(by_role.select("cluster_name", F.col("scope_value").alias("role"), *leaf), group)
     )
-    if list_mode == "replace":
-        shared = compact_layers(shared, group)
-    own = side.join(
-        by_host.select("cluster_name", F.col("scope_value").alias("host"), *leaf),
-        ["cluster_name", "host"],
-    )
-    touched = own.select("cluster_name", "host").distinct()
+    shared = cut_lineage(compact_layers(shared, group) if list_mode == "replace" else shared)
+    hosted = by_host.select("cluster_name", F.col("scope_value").alias("host"), *leaf)
+    own = side.join(hosted, ["cluster_name", "host"])
+    touched = hosted.select("cluster_name", "host").distinct()
     out = [*node, *leaf]
     passed = side.join(touched, ["cluster_name", "host"], "left_anti").join(
         merge_layers(shared, group, list_mode), group

@@ -158,24 +158,17 @@ def load_clusters(
     return parse_clusters(read_texts(spark, path, layout), encoding)
 
 
-def discover_layers(spark: SparkSession, root: str) -> DataFrame:
-    """Layer files ``root/<cluster>/(all|<role>|node/<host>)/...`` with their scope.
+def classify_layer_paths(files: DataFrame, path_col: str) -> DataFrame:
+    """Scope of layer files from ``<cluster>/(all|<role>|node/<host>)/...`` paths.
 
-    A folder that does not exist holds no layers.  Other files are left out.
+    Replaces *path_col* by cluster_name, scope, scope_value and layer_path, and
+    leaves out files elsewhere or with another kind of name.
     """
-    base = root.rstrip("/")
-    schema = "cluster_name string, scope string, scope_value string, layer_path string, text string"
-    try:
-        texts = read_texts(spark, base, "file")
-    except AnalysisException as absent:
-        if "PATH_NOT_FOUND" not in str(absent):
-            raise
-        return spark.createDataFrame([], schema)
     roles = "|".join(ROLES)
     pattern = rf"^([^/]+)/(?:(all)|({roles})|node/([^/]+))/(.+)$"
-    inside = F.regexp_replace("file", "^.*?" + re.escape(base.split(":", 1)[-1].replace("//", "/")) + "/", "")
-    part = [F.nullif(F.regexp_extract(inside, pattern, i), F.lit("")) for i in range(1, 6)]
-    found = texts.select(
+    part = [F.nullif(F.regexp_extract(path_col, pattern, i), F.lit("")) for i in range(1, 6)]
+    found = files.select(
+        *[c for c in files.columns if c != path_col],
         part[0].alias("cluster_name"),
         F.when(part[1].isNotNull(), F.lit("all"))
         .when(part[2].isNotNull(), F.lit("role"))
@@ -183,12 +176,25 @@ def discover_layers(spark: SparkSession, root: str) -> DataFrame:
         .alias("scope"),
         F.coalesce(part[2], part[3]).alias("scope_value"),
         part[4].alias("layer_path"),
-        "text",
     )
     file_name = F.element_at(F.split("layer_path", "/"), -1)
     return found.where(F.col("layer_path").isNotNull() & file_name.rlike(LAYER_FILE_PATTERN))
 
 
+def discover_layers(spark: SparkSession, root: str) -> DataFrame:
+    """Layer files below *root* with their scope and text; no folder, no layers."""
+    base = root.rstrip("/")
+    try:
+        texts = read_texts(spark, base, "file")
+    except AnalysisException as absent:
+        if "PATH_NOT_FOUND" not in str(absent):
+            raise
+        texts = spark.createDataFrame([], "file string, text string")
+    folder = base.split(":", 1)[-1].lstrip("/")
+    inside = F.regexp_replace("file", f"^.*?{re.escape(folder)}/", "")
+    return classify_layer_paths(texts.withColumn("file", inside), "file")
+
+
 def _judged(body: Column) -> Column:
     """Struct ``(kind, body)`` of one document text in JSON."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(body, r"(?m)^\s*#.*$", ""), r"\s+", " "))

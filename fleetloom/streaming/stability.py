@@ -41,17 +41,19 @@ def _stable_start(ts: np.ndarray, bad: np.ndarray, began: int, quiet: int) -> tu
 
 
 def stable_stream(
-    events: DataFrame, quiet_seconds: int, deadline_seconds: int, delay: str = "1 minute"
+    events: DataFrame, quiet_seconds: int, deadline_seconds: int, delay_seconds: int = 60
 ) -> DataFrame:
     """Streaming form of ``first_stable``: one row per node, when it is decided.
 
-    *events* is ``(node, event_id, ts TIMESTAMP, good)``.  Events wait in the state
-    until the watermark passes them, so disorder within *delay* changes nothing;
-    later ones are dropped and counted by Spark.  A timer makes silence count.
-    The rows of one node in a trigger share a task: bound them with the source's
-    ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``.
+    *events* is ``(node, event_id, ts TIMESTAMP, good)``.  An event waits in the
+    state until nothing older can come: until the watermark, or a later event of
+    its node less the delay, passes it.  So disorder within the delay changes
+    nothing; later rows are dropped and counted by Spark.  A timer makes silence
+    count.  The rows of one node in a trigger share a task: bound them with the
+    source's ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``.
     """
     quiet, limit = quiet_seconds * 1_000_000, deadline_seconds * 1_000_000
+    delay = delay_seconds * 1_000_000
 
     def decide(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         t0, began, done, ts, ids, bad = state.get if state.exists else (-1, -1, False, [], [], [])
@@ -67,7 +69,8 @@ def stable_stream(
         ts, ids, bad = ts[order], ids[order], bad[order]
         if len(ts):
             t0 = int(ts[0]) if t0 < 0 else min(t0, int(ts[0]))
-        now = state.getCurrentWatermarkMs() * 1000
+        mark = state.getCurrentWatermarkMs()
+        now = max([mark * 1000, *(ts[-1:] - delay).tolist()])
         ready = int(np.searchsorted(ts, now, side="right"))
         start, began = _stable_start(ts[:ready], bad[:ready], began, quiet)
         if start < 0 and began >= 0 and began + quiet <= now:
@@ -86,11 +89,11 @@ def stable_stream(
         ts, ids, bad = ts[ready:], ids[ready:], bad[ready:]
         state.update((t0, began, False, ts.tolist(), ids.tolist(), bad.tolist()))
         moments = [t0 + limit, *([began + quiet] if began >= 0 else []), *ts[:1].tolist()]
-        state.setTimeoutTimestamp(max(-(-min(moments) // 1000), now // 1000 + 1))
+        state.setTimeoutTimestamp(max(-(-min(moments) // 1000), mark + 1))
 
     node_type = events.schema["node"].dataType.simpleString()
     return (
-        events.withWatermark("ts", delay)
+        events.withWatermark("ts", f"{delay_seconds} seconds")
         .groupBy("node")
         .applyInPandasWithState(
             decide,
@@ -102,7 +105,7 @@ def stable_stream(
     )
 
 
-def retry_stream(attempts: DataFrame, budget_seconds: int, delay: str = "1 minute") -> DataFrame:
+def retry_stream(attempts: DataFrame, budget_seconds: int, delay_seconds: int = 60) -> DataFrame:
     """Streaming form of ``retry_outcome`` over ``(key, ts TIMESTAMP, ok)``.
 
     The state is two timestamps, so a key may have any number of attempts.
@@ -135,7 +138,7 @@ def retry_stream(attempts: DataFrame, budget_seconds: int, delay: str = "1 minut
 
     key_type = attempts.schema["key"].dataType.simpleString()
     return (
-        attempts.withWatermark("ts", delay)
+        attempts.withWatermark("ts", f"{delay_seconds} seconds")
         .groupBy("key")
         .applyInPandasWithState(
             decide,
