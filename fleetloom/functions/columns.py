@@ -18,9 +18,9 @@ REF_PATTERN = r"^ref\+[a-zA-Z0-9]+://"
 IMAGE_PATTERN = r"^.*/([a-zA-Z0-9]+):v?(.+)$"
 
 _VERSION_PATTERN = (
-    r"^v?([0-9]+)(?:\.([0-9]+))?"
+    r"^v?([0-9]+)(?:\.([0-9]+)"
     r"(?:\.([0-9]+)(?:-([0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*))?"
-    r"(?:\+[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*)?)?$"
+    r"(?:\+[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*)?)?)?$"
 )
 _LEADING_ZERO_IDENTIFIER = r"(?:^|\.)0[0-9]+(?:\.|$)"
 

@@ -14,14 +14,18 @@ DELETE_VALUE = "delete"
 
 
 def _kind(value: Column) -> Column:
-    schema = F.schema_of_variant(value)
-    return (
-        F.when(schema.startswith("OBJECT"), F.lit("map"))
-        .when(schema.startswith("ARRAY"), F.lit("list"))
-        .when(schema == "VOID", F.lit("null"))
-        .when(schema == "STRING", F.lit("string"))
-        .otherwise(F.lit("scalar"))
-    )
+    """map, list, null, string or scalar; the schema text is computed once."""
+
+    def named(schema: Column) -> Column:
+        return (
+            F.when(schema == "STRING", F.lit("string"))
+            .when(schema.startswith("OBJECT"), F.lit("map"))
+            .when(schema.startswith("ARRAY"), F.lit("list"))
+            .when(schema == "VOID", F.lit("null"))
+            .otherwise(F.lit("scalar"))
+        )
+
+    return F.get(F.transform(F.array(F.schema_of_variant(value)), named), F.lit(0))
 
 
 def _entries(value: Column) -> Column:
@@ -36,6 +40,11 @@ def _items(value: Column) -> Column:
     )
 
 
+def _is_delete(value: Column) -> Column:
+    directive = F.try_variant_get(value, f"$['{DELETE_KEY}']", "string")
+    return F.coalesce(directive == DELETE_VALUE, F.lit(False))
+
+
 def flatten_leaves(
     df: DataFrame,
     variant_col: str,
@@ -58,54 +67,46 @@ def flatten_leaves(
         *keep,
         F.array().cast("array<string>").alias("path"),
         F.col(variant_col).alias("_v"),
-    ).where(F.col("_v").isNotNull())
+    )
     for _ in range(max_depth):
         state = _descend(state, keep, walk_lists, directives)
-    typed = _typed(state, walk_lists, directives)
+    named = state.where(F.col("_v").isNotNull()).withColumn("_k", _kind(F.col("_v")))
+    inner = F.size(_children(F.col("_v"), walk_lists, directives)) > 0
     too_deep = F.raise_error(F.concat(F.lit("document deeper than "), F.lit(str(max_depth))))
-    return typed.select(
+    kind = F.when(F.col("_k").isin("string", "scalar", "null"), F.col("_k")).when(
+        inner, too_deep.cast("string")
+    )
+    if directives:
+        kind = kind.when((F.col("_k") == "map") & _is_delete(F.col("_v")), F.lit("delete"))
+    kind = kind.when(F.col("_k") == "map", F.lit("empty")).otherwise(F.lit("list"))
+    return named.select(
         *keep,
         "path",
-        F.when(F.col("_open"), too_deep.cast("string")).otherwise(F.col("_k")).alias("kind"),
+        kind.alias("kind"),
         F.when(F.col("_k") == "string", F.try_variant_get("_v", "$", "string"))
-        .when(F.col("_k").isin("scalar", "list", "empty"), F.to_json("_v"))
+        .when((F.col("_k") == "null") | (F.lit(directives) & _is_delete(F.col("_v"))), F.lit(None))
+        .otherwise(F.to_json("_v"))
         .alias("value"),
     )
 
 
-def _typed(state: DataFrame, walk_lists: bool, directives: bool) -> DataFrame:
-    kind = _kind(F.col("_v"))
-    entries = F.size(F.map_keys(F.try_variant_get("_v", "$", "map<string,variant>")))
-    items = F.size(F.try_variant_get("_v", "$", "array<variant>"))
-    marked = F.lit(False)
+def _children(value: Column, walk_lists: bool, directives: bool) -> Column:
+    """Keyed children of a container; null for anything kept as a leaf."""
+    entries = _entries(value)
     if directives:
-        directive = F.try_variant_get("_v", f"$['{DELETE_KEY}']", "string")
-        marked = F.coalesce(directive == DELETE_VALUE, F.lit(False))
-    named = state.withColumn("_t", kind).withColumn(
-        "_k",
-        F.when((F.col("_t") == "map") & marked, F.lit("delete"))
-        .when((F.col("_t") == "map") & (entries == 0), F.lit("empty"))
-        .when((F.col("_t") == "list") & (F.lit(not walk_lists) | (items == 0)), F.lit("list"))
-        .when(F.col("_t").isin("map", "list"), F.lit("open"))
-        .otherwise(F.col("_t")),
-    )
-    return named.withColumn("_open", F.col("_k") == "open")
+        entries = F.when(~_is_delete(value), entries)
+    return F.coalesce(entries, _items(value)) if walk_lists else entries
 
 
 def _descend(state: DataFrame, keep: Sequence[str], walk_lists: bool, directives: bool) -> DataFrame:
-    typed = _typed(state, walk_lists, directives)
-    itself = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("_v").alias("value")))
-    children = (
-        F.when(F.col("_open") & (F.col("_t") == "map"), _entries(F.col("_v")))
-        .when(F.col("_open"), _items(F.col("_v")))
-        .otherwise(itself)
-    )
-    return typed.select(*keep, "path", F.explode(children).alias("_child")).select(
+    """Replace containers by their children; leaves and empty containers stay."""
+    children = _children(F.col("_v"), walk_lists, directives)
+    return state.select(*keep, "path", "_v", F.explode_outer(children).alias("_child")).select(
         *keep,
         F.when(F.col("_child.key").isNull(), F.col("path"))
         .otherwise(F.concat("path", F.array("_child.key")))
         .alias("path"),
-        F.col("_child.value").alias("_v"),
+        F.coalesce("_child.value", "_v").alias("_v"),
     )
 
 
@@ -138,8 +139,9 @@ def value_at(
     "not found"; a JSON null that is there is found.
     """
     at = F.try_variant_get(F.col(variant_col), variant_path(path), "variant")
-    text = F.when(_kind(at) == "string", F.try_variant_get(at, "$", "string")).when(
-        _kind(at) != "null", F.to_json(at)
+    text = F.coalesce(
+        F.when(_kind(at) == "string", F.try_variant_get(at, "$", "string")),
+        F.when(~F.is_variant_null(at), F.to_json(at)),
     )
     return df.withColumn("found", at.isNotNull()).withColumn(out, text)
 

@@ -73,13 +73,12 @@ def secret_pattern(secrets: Sequence[str]) -> str:
 
 
 def bounded_secrets(secrets: DataFrame) -> list[str] | None:
-    """The secret values, or None when there are too many for one pattern."""
-    size = secrets.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("secret")), F.lit(0)).alias("chars")
-    ).first()
-    if size["n"] > MAX_PATTERN_SECRETS or size["chars"] > MAX_PATTERN_CHARS:
+    """The secret values, or None when they are too many or too long for one pattern."""
+    short = F.when(F.length("secret") <= MAX_PATTERN_CHARS, F.col("secret")).alias("secret")
+    values = [row["secret"] for row in secrets.select(short).limit(MAX_PATTERN_SECRETS + 1).collect()]
+    if len(values) > MAX_PATTERN_SECRETS or None in values:
         return None
-    return [row["secret"] for row in secrets.collect()]
+    return values if sum(map(len, values)) <= MAX_PATTERN_CHARS else None
 
 
 def redact_with(text: Column | str, secrets: Sequence[str]) -> Column:
@@ -120,61 +119,49 @@ def find_hits(
         F.collect_set(F.length("secret")).alias("lengths")
     )
     stats = prefixes.agg(
-        F.count(F.lit(1)).alias("n"), F.collect_set(F.length("gram")).alias("grams")
+        F.count(F.lit(1)).alias("n"),
+        F.collect_set(F.length("gram")).alias("grams"),
+        F.max(F.array_max("lengths")).alias("longest"),
     ).first()
     if not stats["n"]:
         return blocks.select(*keys, F.col("base").alias("pos"), F.lit(0).alias("len")).limit(0)
     passes = -(-stats["n"] // max_prefixes)
+    # A cell is short, because reaching a character costs a walk over those before it.
+    cell = max(CELL_CHARS, stats["longest"] // 4)
+    first = F.col("_cell") * cell
     cells = blocks.withColumn(
         "_cell",
-        F.explode(
-            F.sequence(F.lit(0), F.call_function("div", F.col("body") - 1, F.lit(CELL_CHARS)).cast("int"))
-        ),
+        F.explode(F.sequence(F.lit(0), F.call_function("div", F.col("body") - 1, F.lit(cell)).cast("int"))),
     ).select(
         *keys,
-        "base",
-        "text",
-        (F.col("_cell") * CELL_CHARS).alias("_start"),
-        F.least(F.lit(CELL_CHARS), F.col("body") - F.col("_cell") * CELL_CHARS).cast("int").alias("_width"),
-        F.substring(
-            "text", F.col("_cell") * CELL_CHARS + 1, F.lit(CELL_CHARS + prefix_chars - 1)
-        ).alias("_chars"),
+        (F.col("base") + first).alias("_first"),
+        F.least(F.lit(cell), F.col("body") - first).cast("int").alias("_width"),
+        F.substring("text", first + 1, F.lit(cell + stats["longest"] - 1)).alias("_chars"),
     )
     grams = cells.select(
-        *keys,
-        "base",
-        "text",
-        "_start",
-        "_chars",
-        F.explode(F.sequence(F.lit(0), F.col("_width") - 1)).alias("_i"),
+        *keys, "_first", "_chars", F.explode(F.sequence(F.lit(0), F.col("_width") - 1)).alias("_i")
     )
     lengths = sorted(stats["grams"])
     if len(lengths) > 1:
         grams = grams.withColumn("_n", F.explode(F.array(*[F.lit(n) for n in lengths])))
     else:
         grams = grams.withColumn("_n", F.lit(lengths[0]))
-    grams = grams.select(
-        *keys,
-        "base",
-        "text",
-        (F.col("_start") + F.col("_i")).alias("_at"),
-        F.substring("_chars", F.col("_i") + 1, F.col("_n")).alias("gram"),
-    )
+    grams = grams.withColumn("gram", F.substring("_chars", F.col("_i") + 1, F.col("_n")))
     found = []
     for turn in range(passes):
         part = prefixes
         if passes > 1:
             part = prefixes.where(F.pmod(F.xxhash64("gram"), F.lit(passes)) == turn)
         found.append(grams.join(F.broadcast(part), "gram"))
-    candidates = reduce(DataFrame.unionByName, found).select(
-        *keys,
-        (F.col("base") + F.col("_at")).alias("pos"),
-        "text",
-        "_at",
-        F.explode("lengths").alias("len"),
-    )
-    candidates = candidates.select(
-        *keys, "pos", "len", F.substring("text", F.col("_at") + 1, F.col("len")).alias("secret")
+    candidates = (
+        reduce(DataFrame.unionByName, found)
+        .select(*keys, "_first", "_i", "_chars", F.explode("lengths").alias("len"))
+        .select(
+            *keys,
+            (F.col("_first") + F.col("_i")).alias("pos"),
+            "len",
+            F.substring("_chars", F.col("_i") + 1, F.col("len")).alias("secret"),
+        )
     )
     return (
         candidates.where(F.length("secret") == F.col("len"))
@@ -245,6 +232,7 @@ def redact_large(
 ) -> DataFrame:
     """Same text as :func:`redact` for a secret table of any size."""
     keys = list(keys)
+    secrets = cut_lineage(secrets)
     overhang = max(longest_secret(secrets) - 1, 0)
     size = F.length(text_col)
     blocks = (
@@ -355,6 +343,7 @@ def redact_chunks(
     *page_chars* characters.  Streams are handled block by block, each block
     seeing enough of the next one to find the secrets that start in it.
     """
+    secrets = cut_lineage(secrets)
     overhang = max(longest_secret(secrets) - 1, 0)
     size = max(block_chars, overhang + 1)
     blocks = cut_lineage(rechunk(chunks, size, overhang, slice_rows))

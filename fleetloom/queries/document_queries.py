@@ -8,7 +8,7 @@ from fleetloom.functions.columns import is_encrypted, path_key, trim_space
 from fleetloom.operators import layers, nested, templates
 from fleetloom.operators.ordered import pages
 from fleetloom.queries.registry import FLEET_SQL, fleet, query, table
-from fleetloom.session import shared_path
+from fleetloom.session import shared_path, spread
 from fleetloom.sources import documents, sinks
 
 
@@ -36,7 +36,8 @@ def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit('{"priority":"'), priority, F.lit('"}')),
         F.when(priority == "1-URGENT", F.lit('[{"op": "remove"}]')).when(priority == "5-LOW", F.lit('"text"')),
     )
-    texts = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    texts = orders.select("o_orderkey", text.alias("text"))
     return documents.split_documents(texts, "text").withColumn("body", trim_space("body"))
 
 
@@ -53,7 +54,8 @@ def _order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(F.lit("b").alias("k"), F.col("o_orderpriority").alias("v")),
         ).alias("tags"),
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.parse_json(F.to_json(doc)).alias("doc"))
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    return orders.select("o_orderkey", F.parse_json(F.to_json(doc)).alias("doc"))
 
 
 @query(
@@ -131,7 +133,7 @@ def extract_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     Urgent orders have no encrypted status, open ones an empty token, and the
     second document of pending ones cannot be decoded.
     """
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     sealed = lambda text: F.concat(F.lit("ENC["), F.sha2(text, 256), F.lit("]"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetloom.operators import redact as ops
 from fleetloom.queries.registry import query, table
+from fleetloom.session import spread
 from fleetloom.streaming.redaction import redact_stream as redact_live
 from fleetloom.streaming.replay import replay
 
@@ -62,7 +63,8 @@ def secret_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_REDACTED_DOCS_SQL)
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("original"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = docs.withColumn("original", F.col("text"))
     done = ops.redact(docs, "text", document_secrets(spark, sf_dir), ["doc_id"])
     return done.select("doc_id", "text", (F.col("text") != F.col("original")).alias("changed"))
 
@@ -70,7 +72,8 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_REDACTED_DOCS_SQL)
 def redact_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The joined form, whatever the number of secrets."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("original"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = docs.withColumn("original", F.col("text"))
     done = ops.redact_large(docs, "text", document_secrets(spark, sf_dir), ["doc_id"])
     return done.select("doc_id", "text", (F.col("text") != F.col("original")).alias("changed"))
 

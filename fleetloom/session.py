@@ -53,3 +53,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later readers all see the same rows."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spread a scan that has fewer splits than the session has cores.
+
+    For costly row-by-row work on a source of a few files; a source with enough
+    splits is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -195,23 +195,32 @@ def discover_layers(spark: SparkSession, root: str) -> DataFrame:
     return classify_layer_paths(texts.withColumn("file", inside), "file")
 
 
-def _judged(body: Column) -> Column:
-    """Struct ``(kind, body)`` of one document text in JSON."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(body, r"(?m)^\s*#.*$", ""), r"\s+", " "))
-    value = F.try_parse_json(body)
-    schema = F.schema_of_variant(value)
-    entries = F.size(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")))
-    return F.struct(
-        F.when(bare == "", F.lit("skip"))
-        .when(value.isNull(), F.lit("undecodable"))
-        .when(schema == "VOID", F.lit("skip"))
-        .when(schema.startswith("ARRAY"), F.lit("list of operations is not supported"))
-        .when(~schema.startswith("OBJECT"), F.lit("expected a mapping"))
-        .when(entries == 0, F.lit("skip"))
-        .otherwise(F.lit("keep"))
-        .alias("kind"),
-        body.alias("body"),
-    )
+def _judged(bodies: Column) -> Column:
+    """Array of ``(kind, body)`` for an array of JSON document texts."""
+
+    def opened(body: Column) -> Column:
+        value = F.try_parse_json(body)
+        return F.struct(
+            body.alias("body"),
+            F.trim(F.regexp_replace(body, r"(?m)^\s*#.*$|\s+", "")).alias("bare"),
+            value.alias("value"),
+            F.coalesce(F.schema_of_variant(value), F.lit("")).alias("schema"),
+        )
+
+    def judged(doc: Column) -> Column:
+        schema = doc["schema"]
+        return F.struct(
+            F.when(doc["bare"].isin("", "null", "{}"), F.lit("skip"))
+            .when(schema == "", F.lit("undecodable"))
+            .when(schema == "VOID", F.lit("skip"))
+            .when(schema.startswith("ARRAY"), F.lit("list of operations is not supported"))
+            .when(~schema.startswith("OBJECT"), F.lit("expected a mapping"))
+            .otherwise(F.lit("keep"))
+            .alias("kind"),
+            doc["body"].alias("body"),
+        )
+
+    return F.transform(F.transform(bodies, opened), judged)
 
 
 def _numbered(df: DataFrame, documents: Column, keep: list[str]) -> DataFrame:
@@ -245,12 +254,12 @@ def split_documents(df: DataFrame, text_col: str) -> DataFrame:
     """
     keep = [c for c in df.columns if c != text_col]
     parts = F.split(F.col(text_col), r"(?m)^---[ \t]*$")
-    return _numbered(df, F.transform(parts, _judged), keep)
+    return _numbered(df, _judged(parts), keep)
 
 
 def split_yaml_documents(df: DataFrame, text_col: str) -> DataFrame:
     """The same for YAML texts, decoded by Arrow batches."""
     keep = [c for c in df.columns if c != text_col]
     decoded = df.select(*keep, _decoded_yaml(text_col).alias("_decoded"))
-    bodies = F.transform("_decoded", lambda d: _judged(F.coalesce(d["json"], F.lit("?"))))
-    return _numbered(decoded, bodies, keep)
+    bodies = F.transform("_decoded", lambda d: F.coalesce(d["json"], F.lit("?")))
+    return _numbered(decoded, _judged(bodies), keep)
