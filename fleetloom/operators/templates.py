@@ -16,13 +16,18 @@ def _rest(chunk: Column) -> Column:
     return F.substring(chunk, F.instr(chunk, "}}") + 2, F.length(chunk))
 
 
-def fill_templates(df: DataFrame, template_col: str, context_col: str) -> DataFrame:
+def fill_templates(
+    df: DataFrame, template_col: str, context_col: str, where: Column | None = None
+) -> DataFrame:
     """Fill ``{{ .Dotted.Key }}`` from a map column; add ``text`` and ``error``.
 
     A key the map lacks, or anything between the braces that is not a dotted
-    key, is an error and leaves ``text`` null.  One row in, one row out: no join.
+    key, is an error and leaves ``text`` null.  Rows that do not satisfy *where*
+    are no templates and keep their text.  One row in, one row out: no join.
     """
     chunks = F.split(F.col(template_col), r"\{\{")
+    if where is not None:
+        chunks = F.when(F.coalesce(where, F.lit(False)), chunks).otherwise(F.array(template_col))
     holes = F.slice(chunks, 2, F.greatest(F.size(chunks) - 1, F.lit(0)))
     parts = F.transform(
         holes,

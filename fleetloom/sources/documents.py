@@ -99,8 +99,8 @@ def read_texts(spark: SparkSession, path: str, layout: str = "file") -> DataFram
     """Texts below *path* with their origin: one per file, or one per line."""
     if layout not in ("file", "line"):
         raise ValueError(f"layout must be 'file' or 'line': {layout!r}")
-    reader = spark.read.option("wholetext", layout == "file").option("recursiveFileLookup", True)
-    return reader.text(path).select(_decoded_path().alias("file"), F.col("value").alias("text"))
+    texts = spark.read.text(path, wholetext=layout == "file", recursiveFileLookup=True)
+    return texts.select(_decoded_path().alias("file"), F.col("value").alias("text"))
 
 
 def _decoded_path() -> Column:
