@@ -145,25 +145,18 @@ def stream_outcome(messages: DataFrame, streams: DataFrame | None = None) -> Dat
     )
 
 
-def first_stable(
-    events: DataFrame,
-    quiet_seconds: int,
-    deadline_seconds: int,
-    slice_seconds: int = 3600,
-) -> DataFrame:
+def first_stable(events: DataFrame, quiet_seconds: int, deadline_seconds: int) -> DataFrame:
     """When each node first stayed good for *quiet_seconds*, or timed out.
 
     Events are ``(node, event_id, ts, good)``.  A bad event restarts the wait, the
     next good one begins it again; no event at all counts as good.  Bad events
-    are numbered with a running total that is spread over time slices, so a
-    noisy node needs no task of its own; the rest are partial aggregates.
+    are numbered with a running total that cuts a noisy node into slices; all
+    the rest are aggregates with a map-side part.
     """
     bad = F.when(F.coalesce(F.col("good"), F.lit(False)), F.lit(0)).otherwise(F.lit(1))
-    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
     marked = running_total(
         events.select("node", "event_id", "ts", bad.alias("_bad")),
         ["node"],
-        F.call_function("div", seconds, F.lit(slice_seconds)),
         ["ts", "event_id"],
         F.col("_bad"),
         "_island",

@@ -168,7 +168,10 @@ def compact_layers(settings: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def merged_settings(
-    nodes: DataFrame, settings: DataFrame, list_mode: str = "replace"
+    nodes: DataFrame,
+    settings: DataFrame,
+    list_mode: str = "replace",
+    node_settings: DataFrame | None = None,
 ) -> DataFrame:
     """Merged configuration of every node from leaf rows of its layers.
 
@@ -176,6 +179,8 @@ def merged_settings(
     kind, value)``.  Layers shared by a whole cluster or role are compacted and
     merged once per ``(cluster, role)`` and handed to the nodes afterwards; only
     nodes with layers of their own are merged again and shuffled by path.
+    *node_settings* adds leaves that are each node's own whatever their scope,
+    such as filled templates: ``(cluster_name, host, path, kind, value, precedence)``.
     """
     wide, by_role, by_host = _by_reach(with_precedence(settings))
     group = ["cluster_name", "role"]
@@ -188,6 +193,9 @@ def merged_settings(
     )
     shared = cut_lineage(compact_layers(shared, group) if list_mode == "replace" else shared)
     hosted = by_host.select("cluster_name", F.col("scope_value").alias("host"), *leaf)
+    if node_settings is not None:
+        hosted = hosted.unionByName(node_settings.select("cluster_name", "host", *leaf))
+    hosted = cut_lineage(hosted)
     own = side.join(hosted, ["cluster_name", "host"])
     touched = hosted.select("cluster_name", "host").distinct()
     out = [*node, *leaf]

@@ -13,36 +13,30 @@ DELETE_KEY = "$patch"
 DELETE_VALUE = "delete"
 
 
-def _kind(value: Column) -> Column:
+def _kind(value: str) -> Column:
     """map, list, null, string or scalar; the schema text is computed once."""
-
-    def named(schema: Column) -> Column:
-        return (
-            F.when(schema == "STRING", F.lit("string"))
-            .when(schema.startswith("OBJECT"), F.lit("map"))
-            .when(schema.startswith("ARRAY"), F.lit("list"))
-            .when(schema == "VOID", F.lit("null"))
-            .otherwise(F.lit("scalar"))
-        )
-
-    return F.get(F.transform(F.array(F.schema_of_variant(value)), named), F.lit(0))
-
-
-def _entries(value: Column) -> Column:
-    as_map = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
-    return F.transform(as_map, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    return F.expr(
+        f"transform(array(schema_of_variant({value})), s -> case when s = 'STRING' then 'string'"
+        " when startswith(s, 'OBJECT') then 'map' when startswith(s, 'ARRAY') then 'list'"
+        " when s = 'VOID' then 'null' else 'scalar' end)[0]"
+    )
 
 
-def _items(value: Column) -> Column:
-    as_list = F.try_variant_get(value, "$", "array<variant>")
-    return F.transform(
-        as_list, lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value"))
-    )
+# Expressions over the document column ``_v``, as text: one call per level to build.
+_ENTRIES = "map_entries(try_variant_get(_v, '$', 'map<string,variant>'))"
+_ITEMS = (
+    "transform(try_variant_get(_v, '$', 'array<variant>'),"
+    " (x, i) -> struct(cast(i as string) as key, x as value))"
+)
+_IS_DELETE = (
+    f"coalesce(try_variant_get(_v, \"$['{DELETE_KEY}']\", 'string') = '{DELETE_VALUE}', false)"
+)
 
 
-def _is_delete(value: Column) -> Column:
-    directive = F.try_variant_get(value, f"$['{DELETE_KEY}']", "string")
-    return F.coalesce(directive == DELETE_VALUE, F.lit(False))
+def _children(walk_lists: bool, directives: bool) -> str:
+    """Keyed children of a container; null for anything kept as a leaf."""
+    entries = f"if({_IS_DELETE}, null, {_ENTRIES})" if directives else _ENTRIES
+    return f"coalesce({entries}, {_ITEMS})" if walk_lists else entries
 
 
 def flatten_leaves(
@@ -68,48 +62,34 @@ def flatten_leaves(
         F.array().cast("array<string>").alias("path"),
         F.col(variant_col).alias("_v"),
     )
+    # A container gives way to its children; leaves and empty containers stay.
     for _ in range(max_depth):
-        state = _descend(state, keep, walk_lists, directives)
-    named = state.where(F.col("_v").isNotNull()).withColumn("_k", _kind(F.col("_v")))
-    inner = F.size(_children(F.col("_v"), walk_lists, directives)) > 0
+        child = F.expr(f"explode_outer({_children(walk_lists, directives)})").alias("_child")
+        state = state.select(*keep, "path", "_v", child).select(
+            *keep,
+            F.expr("if(_child.key is null, path, concat(path, array(_child.key)))").alias("path"),
+            F.expr("coalesce(_child.value, _v)").alias("_v"),
+        )
+    named = state.where(F.col("_v").isNotNull()).withColumn("_k", _kind("_v"))
+    inner = F.expr(f"size({_children(walk_lists, directives)}) > 0")
     too_deep = F.raise_error(F.concat(F.lit("document deeper than "), F.lit(str(max_depth))))
     kind = F.when(F.col("_k").isin("string", "scalar", "null"), F.col("_k")).when(
         inner, too_deep.cast("string")
     )
     if directives:
-        kind = kind.when((F.col("_k") == "map") & _is_delete(F.col("_v")), F.lit("delete"))
+        kind = kind.when((F.col("_k") == "map") & F.expr(_IS_DELETE), F.lit("delete"))
     kind = kind.when(F.col("_k") == "map", F.lit("empty")).otherwise(F.lit("list"))
     return named.select(
         *keep,
         "path",
         kind.alias("kind"),
         F.when(F.col("_k") == "string", F.try_variant_get("_v", "$", "string"))
-        .when((F.col("_k") == "null") | (F.lit(directives) & _is_delete(F.col("_v"))), F.lit(None))
+        .when((F.col("_k") == "null") | (F.lit(directives) & F.expr(_IS_DELETE)), F.lit(None))
         .otherwise(F.to_json("_v"))
         .alias("value"),
     )
 
 
-def _children(value: Column, walk_lists: bool, directives: bool) -> Column:
-    """Keyed children of a container; null for anything kept as a leaf."""
-    entries = _entries(value)
-    if directives:
-        entries = F.when(~_is_delete(value), entries)
-    return F.coalesce(entries, _items(value)) if walk_lists else entries
-
-
-def _descend(state: DataFrame, keep: Sequence[str], walk_lists: bool, directives: bool) -> DataFrame:
-    """Replace containers by their children; leaves and empty containers stay."""
-    children = _children(F.col("_v"), walk_lists, directives)
-    return state.select(*keep, "path", "_v", F.explode_outer(children).alias("_child")).select(
-        *keep,
-        F.when(F.col("_child.key").isNull(), F.col("path"))
-        .otherwise(F.concat("path", F.array("_child.key")))
-        .alias("path"),
-        F.coalesce("_child.value", "_v").alias("_v"),
-    )
-
-
 def string_leaves(
     leaves: DataFrame, predicate: Callable[[Column], Column] | None = None
 ) -> DataFrame:
@@ -138,12 +118,12 @@ def value_at(
     A missing key, an index out of range or the wrong kind of container is
     "not found"; a JSON null that is there is found.
     """
-    at = F.try_variant_get(F.col(variant_col), variant_path(path), "variant")
+    held = df.withColumn("_at", F.try_variant_get(variant_col, variant_path(path), "variant"))
     text = F.coalesce(
-        F.when(_kind(at) == "string", F.try_variant_get(at, "$", "string")),
-        F.when(~F.is_variant_null(at), F.to_json(at)),
+        F.when(_kind("_at") == "string", F.try_variant_get("_at", "$", "string")),
+        F.when(~F.is_variant_null("_at"), F.to_json("_at")),
     )
-    return df.withColumn("found", at.isNotNull()).withColumn(out, text)
+    return held.withColumns({"found": F.col("_at").isNotNull(), out: text}).drop("_at")
 
 
 def values_at(leaves: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -18,19 +18,32 @@ from fleetloom.session import cut_lineage
 def running_total(
     df: DataFrame,
     keys: Sequence[str],
-    slice_by: Column,
     order_by: Sequence[str],
     value: Column,
     out: str,
+    slice_by: Column | None = None,
 ) -> DataFrame:
     """Inclusive running sum of *value* per key.
 
-    *slice_by* must be a deterministic function of the row that does not
-    decrease along *order_by*; it decides how far one key is spread out.
+    By default rows are range-partitioned on key, order and a number that tells
+    equal rows apart, so slices are even whatever the data; the partition number,
+    fixed by a checkpoint, is the slice.  *slice_by* saves that step where the
+    order itself gives slices of bounded size: it must be a deterministic
+    function of the row that does not decrease along *order_by*.
     """
-    keys = list(keys)
-    sliced = df.withColumn("_slice", slice_by).withColumn("_value", value.cast("bigint"))
-    inside = W.partitionBy(*keys, "_slice").orderBy(*order_by).rowsBetween(W.unboundedPreceding, 0)
+    keys, order = list(keys), list(order_by)
+    sliced = df.withColumn("_value", value.cast("bigint"))
+    if slice_by is not None:
+        sliced = sliced.withColumn("_slice", slice_by)
+    else:
+        order = [*order, "_tie"]
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        sliced = cut_lineage(
+            sliced.withColumn("_tie", F.monotonically_increasing_id())
+            .repartitionByRange(parts, *keys, *order)
+            .withColumn("_slice", F.spark_partition_id())
+        )
+    inside = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     before = (
         W.partitionBy(*[f"_p_{k}" for k in keys])
         .orderBy("_p_slice")
@@ -42,37 +55,22 @@ def running_total(
         .select(
             *[F.col(k).alias(f"_p_{k}") for k in keys], F.col("_slice").alias("_p_slice"), "_sum"
         )
-        .withColumn(
-            "_before",
-            F.coalesce(F.sum("_sum").over(before), F.lit(0)),
-        )
+        .withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
         .drop("_sum")
     )
-    same = [F.col(k).eqNullSafe(F.col(f"_p_{k}")) for k in keys]
-    same.append(F.col("_slice").eqNullSafe(F.col("_p_slice")))
-    condition = same[0]
-    for part in same[1:]:
-        condition = condition & part
+    condition = F.col("_slice") == F.col("_p_slice")
+    for key in keys:
+        condition = condition & F.col(key).eqNullSafe(F.col(f"_p_{key}"))
     return (
         sliced.withColumn("_local", F.sum("_value").over(inside))
         .join(prefix, condition, "inner")
-        .withColumn(out, F.col("_local") + F.col("_before"))
-        .drop("_slice", "_value", "_local", "_before", "_p_slice", *[f"_p_{k}" for k in keys])
+        .select(*df.columns, (F.col("_local") + F.col("_before")).alias(out))
     )
 
 
 def ordinals(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], out: str) -> DataFrame:
-    """1-based position of each row inside its key, for any sortable order.
-
-    Rows are range-partitioned on ``(keys, order)``, so a hot key covers many
-    partitions; the partition number, fixed by a checkpoint, is the slice.
-    """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut_lineage(
-        df.repartitionByRange(parts, *keys, *order_by).withColumn("_part", F.spark_partition_id())
-    )
-    return running_total(placed, keys, F.col("_part"), order_by, F.lit(1), out).drop("_part")
+    """1-based position of each row inside its key, for any sortable order."""
+    return running_total(df, keys, order_by, F.lit(1), out)
 
 
 def pages(

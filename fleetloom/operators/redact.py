@@ -286,10 +286,10 @@ def rechunk(
     placed = running_total(
         chunks.where(F.length("chunk") > 0).select("stream_id", "seq", "chunk"),
         ["stream_id"],
-        F.call_function("div", F.col("seq").cast("bigint"), F.lit(slice_rows)),
         ["seq"],
         F.length("chunk"),
         "_end",
+        slice_by=F.call_function("div", F.col("seq").cast("bigint"), F.lit(slice_rows)),
     ).withColumn("_off", F.col("_end") - F.length("chunk"))
     div = lambda a: F.call_function("div", a, F.lit(size))
     spread = placed.select(

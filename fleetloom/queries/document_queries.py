@@ -9,6 +9,7 @@ from fleetloom.operators import layers, nested, templates
 from fleetloom.operators.ordered import pages
 from fleetloom.queries.registry import FLEET_SQL, fleet, query, table
 from fleetloom.session import shared_path, spread
+from fleetloom.plans.render import render
 from fleetloom.sources import documents, sinks
 
 
@@ -405,3 +406,90 @@ def load_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.join(clusters.select("cluster_name", "cluster_endpoint"), "cluster_name").select(
         "cluster_name", "cluster_endpoint", "host", "role", "ip", "platform", "secureboot"
     )
+
+
+@query(
+    f"""
+    WITH {FLEET_SQL}, n AS (
+      SELECT f.*, n_name, segment = 'HOUSEHOLD' AS bad FROM fleet f JOIN nation ON n_nationkey = cluster_name)
+    SELECT cluster_name, host, 'machine.install.image' AS path,
+           CASE WHEN role = 'control-plane' THEN 'pinned'
+             ELSE 'factory.talos.dev/' || CASE WHEN segment = 'BUILDING' THEN 'vmware' ELSE 'metal' END
+                  || '-installer/' || sha256('id: ' || n_name || chr(10)) || ':v1.13.0' END AS value,
+           CAST(NULL AS VARCHAR) AS error
+    FROM n WHERE NOT bad
+    UNION ALL SELECT cluster_name, host, 'name', host || '.' || lower(n_name), NULL FROM n WHERE NOT bad
+    UNION ALL SELECT cluster_name, host, 'kubelet.max', CASE WHEN acctbal > 5000 THEN '250' ELSE '100' END, NULL
+              FROM n WHERE NOT bad
+    UNION ALL SELECT cluster_name, host, NULL, NULL, '30-name.json.yaml.tpl: missing key: Node.Data.zone'
+              FROM n WHERE bad
+    """
+)
+def rendered_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain: defaults, references, layers, templates, merge, errors per node."""
+    nation = table(spark, sf_dir, "nation")
+    nothing = F.lit(None).cast("string")
+    clusters = nation.select(
+        F.col("n_nationkey").alias("cluster_name"),
+        F.concat(F.lit("https://"), F.lower("n_name"), F.lit(":6443")).alias("cluster_endpoint"),
+        F.lit("v1.34.1").alias("kubernetes_version"),
+        nothing.alias("talos_version"),
+        F.concat(F.lit("@"), "n_name").alias("schematic_id"),
+        nothing.alias("factory"),
+        nothing.alias("platform"),
+        F.lit(False).alias("secureboot"),
+        F.parse_json(F.to_json(F.struct(F.lower("n_name").alias("domain")))).alias("data"),
+    )
+    segment = F.col("segment")
+    nodes = fleet(spark, sf_dir).select(
+        "cluster_name",
+        "host",
+        "role",
+        "ip",
+        nothing.alias("talos_version"),
+        nothing.alias("schematic_id"),
+        nothing.alias("factory"),
+        F.when(segment == "BUILDING", F.lit("vmware")).alias("platform"),
+        F.lit(False).alias("secureboot"),
+        F.when(segment != "HOUSEHOLD", F.parse_json(F.to_json(F.struct(segment.alias("zone"))))).alias("data"),
+        "acctbal",
+    )
+    definitions = nation.select(
+        F.col("n_name").alias("path"), F.concat(F.lit("id: "), "n_name", F.lit("\n")).alias("definition")
+    )
+
+    def layer(df: DataFrame, scope: str, value, path: str, text: str) -> DataFrame:
+        return df.select(
+            "cluster_name",
+            F.lit(scope).alias("scope"),
+            value.cast("string").alias("scope_value"),
+            F.lit(path).alias("layer_path"),
+            F.lit(text).alias("text"),
+        )
+
+    files = layer(clusters, "all", F.lit(None), "10.yaml", '{"kubelet": {"max": 100}}')
+    for part in (
+        layer(
+            clusters,
+            "role",
+            F.lit("control-plane"),
+            "20.yaml",
+            '{}\n---\n{"machine": {"install": {"image": "pinned"}}}',
+        ),
+        layer(
+            clusters,
+            "all",
+            F.lit(None),
+            "30-name.json.yaml.tpl",
+            '{"name": "{{ .Node.Host }}.{{ .Data.domain }}", "zone": "{{ .Node.Data.zone }}"}\n'
+            '---\n{"zone": {"$patch": "delete"}}',
+        ),
+        layer(nodes.where(F.col("acctbal") > 5000), "node", F.col("host"), "40.yaml", '{"kubelet": {"max": 250}}'),
+    ):
+        files = files.unionByName(part)
+    settings, errors = render(
+        nodes.drop("acctbal"), clusters, files, definitions, "v1.13.0", encoding="json", max_depth=4
+    )
+    return settings.select(
+        "cluster_name", "host", F.array_join("path", ".").alias("path"), "value"
+    ).unionByName(errors, allowMissingColumns=True)

@@ -328,7 +328,7 @@ FIRST_STABLE_SQL = """
 
 @query(FIRST_STABLE_SQL)
 def first_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return health.first_stable(node_events(spark, sf_dir), 2 * DAY, 10 * DAY, slice_seconds=DAY)
+    return health.first_stable(node_events(spark, sf_dir), 2 * DAY, 10 * DAY)
 
 
 @query(

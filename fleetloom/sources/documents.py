@@ -195,54 +195,30 @@ def discover_layers(spark: SparkSession, root: str) -> DataFrame:
     return classify_layer_paths(texts.withColumn("file", inside), "file")
 
 
-def _judged(bodies: Column) -> Column:
-    """Array of ``(kind, body)`` for an array of JSON document texts."""
-
-    def opened(body: Column) -> Column:
-        value = F.try_parse_json(body)
-        return F.struct(
-            body.alias("body"),
-            F.trim(F.regexp_replace(body, r"(?m)^\s*#.*$|\s+", "")).alias("bare"),
-            value.alias("value"),
-            F.coalesce(F.schema_of_variant(value), F.lit("")).alias("schema"),
-        )
-
-    def judged(doc: Column) -> Column:
-        schema = doc["schema"]
-        return F.struct(
-            F.when(doc["bare"].isin("", "null", "{}"), F.lit("skip"))
-            .when(schema == "", F.lit("undecodable"))
-            .when(schema == "VOID", F.lit("skip"))
-            .when(schema.startswith("ARRAY"), F.lit("list of operations is not supported"))
-            .when(~schema.startswith("OBJECT"), F.lit("expected a mapping"))
-            .otherwise(F.lit("keep"))
-            .alias("kind"),
-            doc["body"].alias("body"),
-        )
-
-    return F.transform(F.transform(bodies, opened), judged)
+def _judged(bodies: str) -> Column:
+    """Array of ``(kind, body)`` for the array *bodies* of JSON document texts."""
+    opened = (
+        rf"transform({bodies}, body -> struct(body, trim(regexp_replace(body, r'(?m)^\s*#.*$|\s+', '')) as bare,"
+        " coalesce(schema_of_variant(try_parse_json(body)), '') as type))"
+    )
+    kind = """case when d.bare in ('', 'null', '{}') then 'skip'
+        when d.type = '' then 'undecodable'
+        when d.type = 'VOID' then 'skip'
+        when startswith(d.type, 'ARRAY') then 'list of operations is not supported'
+        when not startswith(d.type, 'OBJECT') then 'expected a mapping'
+        else 'keep' end"""
+    return F.expr(f"transform({opened}, d -> struct({kind} as kind, d.body as body))")
 
 
 def _numbered(df: DataFrame, documents: Column, keep: list[str]) -> DataFrame:
     """Number the kept documents of each row; the first bad one fails the whole row."""
-    staged = df.withColumn("_docs", F.filter(documents, lambda d: d["kind"] != "skip"))
-    bad = F.array_position(F.transform("_docs", lambda d: d["kind"] != "keep"), F.lit(True))
-    failure = F.array(
-        F.struct(
-            (bad - 1).cast("int").alias("doc_index"),
-            F.lit(None).cast("string").alias("body"),
-            F.element_at("_docs", bad.cast("int"))["kind"].alias("error"),
-        )
-    )
-    kept = F.transform(
-        "_docs",
-        lambda d, i: F.struct(
-            i.cast("int").alias("doc_index"),
-            d["body"].alias("body"),
-            F.lit(None).cast("string").alias("error"),
-        ),
+    staged = df.withColumn("_docs", F.filter(documents, lambda d: d["kind"] != "skip")).withColumn(
+        "_bad", F.expr("cast(array_position(transform(_docs, d -> d.kind <> 'keep'), true) as int)")
     )
-    return staged.select(*keep, F.inline(F.when(bad > 0, failure).otherwise(kept)))
+    rows = """if(_bad > 0,
+        array(struct(_bad - 1 as doc_index, cast(null as string) as body, _docs[_bad - 1].kind as error)),
+        transform(_docs, (d, i) -> struct(i as doc_index, d.body as body, cast(null as string) as error)))"""
+    return staged.select(*keep, F.expr(f"inline({rows})"))
 
 
 def split_documents(df: DataFrame, text_col: str) -> DataFrame:
@@ -253,13 +229,12 @@ def split_documents(df: DataFrame, text_col: str) -> DataFrame:
     document gives one error row and none of its documents.  Row by row, in the JVM.
     """
     keep = [c for c in df.columns if c != text_col]
-    parts = F.split(F.col(text_col), r"(?m)^---[ \t]*$")
-    return _numbered(df, _judged(parts), keep)
+    parts = df.withColumn("_parts", F.split(text_col, r"(?m)^---[ \t]*$"))
+    return _numbered(parts, _judged("_parts"), keep)
 
 
 def split_yaml_documents(df: DataFrame, text_col: str) -> DataFrame:
     """The same for YAML texts, decoded by Arrow batches."""
     keep = [c for c in df.columns if c != text_col]
     decoded = df.select(*keep, _decoded_yaml(text_col).alias("_decoded"))
-    bodies = F.transform("_decoded", lambda d: F.coalesce(d["json"], F.lit("?")))
-    return _numbered(decoded, _judged(bodies), keep)
+    return _numbered(decoded, _judged("transform(_decoded, d -> coalesce(d.json, '?'))"), keep)

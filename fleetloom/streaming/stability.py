@@ -63,8 +63,8 @@ def stable_stream(
         ts, ids, bad = (np.array(ts, "int64"), np.array(ids, "int64"), np.array(bad, bool))
         for frame in rows:
             ts = np.concatenate([ts, _micros(frame["ts"])])
-            ids = np.concatenate([ids, frame["event_id"].to_numpy("int64")])
-            bad = np.concatenate([bad, ~frame["good"].fillna(False).to_numpy(bool)])
+            ids = np.concatenate([ids, frame["event_id"].fillna(-1).to_numpy("int64")])
+            bad = np.concatenate([bad, ~frame["good"].eq(True).to_numpy(bool)])
         order = np.lexsort((ids, ts))
         ts, ids, bad = ts[order], ids[order], bad[order]
         if len(ts):
@@ -118,7 +118,7 @@ def retry_stream(attempts: DataFrame, budget_seconds: int, delay_seconds: int =
             return
         for frame in frames if not state.hasTimedOut else ():
             ts = _micros(frame["ts"])
-            ok = ts[frame["ok"].fillna(False).to_numpy(bool)]
+            ok = ts[frame["ok"].eq(True).to_numpy(bool)]
             if len(ts):
                 t0 = int(ts.min()) if t0 < 0 else min(t0, int(ts.min()))
             if len(ok):

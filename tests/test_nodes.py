@@ -141,9 +141,20 @@ def test_running_total_matches_plain_window(spark):
     rng = random.Random(7)
     rows = [(rng.choice("ab"), i, rng.randint(0, 3)) for i in range(500)] + [(None, 1, 2), (None, 2, 5)]
     df = spark.createDataFrame(rows, "k string, i int, v int")
-    got = running_total(df, ["k"], F.expr("i div 7"), ["i"], F.col("v"), "t")
-    plain = df.withColumn("t", F.expr("sum(v) over (partition by k order by i)"))
-    assert as_set(got.select("k", "i", "t")) == as_set(plain.select("k", "i", "t"))
+    plain = as_set(df.select("k", "i", F.expr("sum(v) over (partition by k order by i)")))
+    sliced = running_total(df, ["k"], ["i"], F.col("v"), "t", slice_by=F.expr("i div 7"))
+    assert as_set(sliced.select("k", "i", "t")) == plain
+    assert as_set(running_total(df, ["k"], ["i"], F.col("v"), "t").select("k", "i", "t")) == plain
+
+
+def test_equal_rows_are_spread_too(spark):
+    df = spark.createDataFrame([("hot", "same")] * 4000 + [("k", "a")], "k string, host string").repartition(3)
+    ranked = ordinals(df, ["k"], ["host"], "rn")
+    assert sorted(r.rn for r in ranked.where("k = 'hot'").collect()) == list(range(1, 4001))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tie = df.withColumn("_tie", F.monotonically_increasing_id())
+    placed = tie.repartitionByRange(parts, "k", "host", "_tie").groupBy(F.spark_partition_id()).count()
+    assert max(r["count"] for r in placed.collect()) < 4000
 
 
 def test_refs(spark):
