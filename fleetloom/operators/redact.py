@@ -175,51 +175,55 @@ def longest_secret(secrets: DataFrame) -> int:
     return secrets.agg(F.coalesce(F.max(F.length("secret")), F.lit(0))).first()[0]
 
 
-def _keep_free(hits: Column, free: Column) -> Column:
-    """Hits of one sorted list that no earlier kept hit, nor *free*, covers."""
-    start = F.struct(
-        free.cast("bigint").alias("free"),
-        F.array().cast("array<struct<pos:bigint,len:int>>").alias("kept"),
-    )
+def _free_after(hits: Column, free: Column) -> Column:
+    """Where scanning goes on behind the last hit of a sorted list."""
     return F.aggregate(
         hits,
-        start,
+        free.cast("bigint"),
+        lambda acc, hit: F.when(hit["pos"] >= acc, hit["pos"] + hit["len"]).otherwise(acc),
+    )
+
+
+def _kept(hits: Column, free: Column) -> Column:
+    """Hits of one sorted list that neither an earlier kept hit nor *free* covers."""
+    apart = F.forall(
+        F.sequence(F.lit(1), F.greatest(F.size(hits) - 1, F.lit(1))),
+        lambda i: F.get(hits, i)["pos"] >= F.get(hits, i - 1)["pos"] + F.get(hits, i - 1)["len"],
+    )
+    empty = F.filter(hits, lambda hit: F.lit(False))
+    folded = F.aggregate(
+        hits,
+        F.struct(free.cast("bigint").alias("free"), empty.alias("kept")),
         lambda acc, hit: F.when(
             hit["pos"] >= acc["free"],
             F.struct(
                 (hit["pos"] + hit["len"]).cast("bigint").alias("free"),
-                F.concat(
-                    acc["kept"],
-                    F.array(
-                        F.struct(
-                            hit["pos"].cast("bigint").alias("pos"), hit["len"].cast("int").alias("len")
-                        )
-                    ),
-                ).alias("kept"),
+                F.array_append(acc["kept"], hit).alias("kept"),
             ),
         ).otherwise(acc),
-    )
+    )["kept"]
+    return F.when(
+        (F.size(hits) < 2) | apart, F.filter(hits, lambda hit: hit["pos"] >= free)
+    ).otherwise(folded)
 
 
 def _rebuild(text: Column, first: Column, size: Column, kept: Column) -> Column:
     """Text from position *first* up to *size* with the kept hits replaced."""
 
-    def end_before(i: Column) -> Column:
-        previous = F.get(kept, i - 1)
-        return F.when(i == 0, first).otherwise(previous["pos"] + previous["len"])
-
-    count = F.size(kept)
-    pieces = F.transform(
-        F.sequence(F.lit(0), count),
-        lambda i: F.substring(
-            text,
-            (end_before(i) + 1).cast("int"),
-            F.greatest(
-                F.when(i < count, F.get(kept, i)["pos"]).otherwise(size) - end_before(i), F.lit(0)
-            ).cast("int"),
-        ),
-    )
-    return F.array_join(pieces, MARKER)
+    def pieces(hits: Column) -> Column:
+        def end_before(i: Column) -> Column:
+            previous = F.get(hits, i - 1)
+            return F.when(i == 0, first).otherwise(previous["pos"] + previous["len"])
+
+        def piece(i: Column) -> Column:
+            end = F.when(i < F.size(hits), F.get(hits, i)["pos"]).otherwise(size)
+            length = F.greatest(end - end_before(i), F.lit(0))
+            return F.substring(text, (end_before(i) + 1).cast("int"), length.cast("int"))
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(hits)), piece), MARKER)
+
+    # Bound to a variable, so that the kept hits are computed once and not per piece.
+    return F.get(F.transform(F.array(kept), pieces), F.lit(0))
 
 
 def redact_large(
@@ -259,10 +263,9 @@ def redact_large(
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("pos", "len"))).alias("_hits"))
     )
-    joined = df.join(hits, keys, "left").withColumn(
-        "_kept", _keep_free(F.col("_hits"), F.lit(0))["kept"]
-    )
-    rebuilt = _rebuild(F.col(text_col), F.lit(0), size, F.col("_kept"))
+    joined = df.join(hits, keys, "left")
+    zero = F.lit(0).cast("bigint")
+    rebuilt = _rebuild(F.col(text_col), zero, size, _kept(F.col("_hits"), zero))
     return joined.withColumn(
         text_col, F.when(F.col("_hits").isNull(), F.col(text_col)).otherwise(rebuilt)
     ).select(*df.columns)
@@ -356,15 +359,11 @@ def redact_chunks(
     carried = _carry(hits, size)
     joined = blocks.join(hits, key, "left").join(carried, key, "left")
     carry = F.coalesce("carry", F.lit(0).cast("bigint"))
-    kept = F.when(F.col("hits").isNull(), F.array().cast("array<struct<pos:bigint,len:int>>")).otherwise(
-        _keep_free(F.col("hits"), carry)["kept"]
-    )
-    redacted = joined.withColumn("_kept", kept).withColumn("_carry", carry).select(
+    kept = F.coalesce(_kept(F.col("hits"), carry), F.array().cast("array<struct<pos:bigint,len:int>>"))
+    redacted = joined.select(
         "stream_id",
         F.col("block").alias("seq"),
-        _rebuild(
-            F.col("text"), F.col("_carry"), F.col("body").cast("bigint"), F.col("_kept")
-        ).alias("chunk"),
+        _rebuild(F.col("text"), carry, F.col("body").cast("bigint"), kept).alias("chunk"),
     )
     return rechunk(redacted, page_chars, 0, slice_rows).select(
         "stream_id", F.col("block").alias("page"), "text"
@@ -396,7 +395,7 @@ def _carry(hits: DataFrame, size: int) -> DataFrame:
         ).alias("carry"),
         "hits",
     )
-    free = _keep_free(F.col("hits"), F.col("carry"))["free"]
+    free = _free_after(F.col("hits"), F.col("carry"))
     jumps = cut_lineage(
         states.select(
             *key,

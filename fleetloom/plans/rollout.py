@@ -42,6 +42,7 @@ def upgrade_required(plan: DataFrame) -> DataFrame:
 def rollout_waves(processed: DataFrame, spec: Column | str, selected: Column | None = None) -> DataFrame:
     """Static waves: control-plane one by one first, then workers *n* at a time.
 
+    *spec* is a text such as ``"5"`` or ``"25%"``, or a column holding one.
     *n* is resolved on every processed node of the cluster, also those that
     *selected* leaves out of the plan.  Positions come from range-partitioned
     ordinals, so a cluster of any size is ranked by many tasks.
@@ -56,7 +57,7 @@ def rollout_waves(processed: DataFrame, spec: Column | str, selected: Column | N
     )
     ranked = ordinals(nodes.where("_picked"), ["cluster_name", "_rank"], ["host"], "_rn")
     sized = ranked.join(totals, "cluster_name").withColumn(
-        "parallel", effective_parallel("_total", spec)
+        "parallel", effective_parallel("_total", F.lit(spec))
     )
     worker_wave = F.col("_leads") + 1 + F.call_function("div", F.col("_rn") - 1, F.col("parallel"))
     return sized.select(

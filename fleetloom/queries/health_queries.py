@@ -270,7 +270,7 @@ def pick_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def rollout_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollout.rollout_waves(fleet(spark, sf_dir), F.lit("15%"), F.col("acctbal") >= 0)
+    return rollout.rollout_waves(fleet(spark, sf_dir), "15%", F.col("acctbal") >= 0)
 
 
 @query(
