@@ -25,7 +25,8 @@ MAX_PATTERN_CHARS = 256 * 1024
 # Largest prefix table broadcast at once; more prefixes take more passes.
 MAX_BROADCAST_PREFIXES = 1_000_000
 
-PREFIX_CHARS = 8
+# A secret is looked up by its first characters: the longest of these that it has.
+PREFIX_CHARS = (1, 2, 3, 4, 8)
 BLOCK_CHARS = 4_096
 CELL_CHARS = 64
 
@@ -103,7 +104,7 @@ def find_hits(
     blocks: DataFrame,
     keys: Sequence[str],
     secrets: DataFrame,
-    prefix_chars: int = PREFIX_CHARS,
+    prefix_chars: Sequence[int] = PREFIX_CHARS,
     max_prefixes: int = MAX_BROADCAST_PREFIXES,
 ) -> DataFrame:
     """Longest secret starting at each position: ``(keys, pos, len)``.
@@ -115,14 +116,25 @@ def find_hits(
     checked by an equi-join on the whole secret.
     """
     keys = list(keys)
-    prefixes = secrets.groupBy(F.substring("secret", 1, prefix_chars).alias("gram")).agg(
-        F.collect_set(F.length("secret")).alias("lengths")
+    taken = F.lit(1)
+    for n in sorted(prefix_chars):
+        taken = F.when(F.length("secret") >= n, F.lit(n)).otherwise(taken)
+    # Prefixes meet as hashes: a join on one long is the quickest there is, and a
+    # collision only costs a candidate that the whole secret then rules out.
+    prefixes = (
+        secrets.select(taken.alias("_n"), "secret")
+        .groupBy(F.xxhash64(F.expr("substring(secret, 1, _n)")).alias("gram"))
+        .agg(
+            F.collect_set(F.length("secret")).alias("lengths"),
+            F.collect_set("_n").alias("_ns"),
+        )
     )
     stats = prefixes.agg(
         F.count(F.lit(1)).alias("n"),
-        F.collect_set(F.length("gram")).alias("grams"),
+        F.array_distinct(F.flatten(F.collect_set("_ns"))).alias("grams"),
         F.max(F.array_max("lengths")).alias("longest"),
     ).first()
+    prefixes = prefixes.select("gram", "lengths")
     if not stats["n"]:
         return blocks.select(*keys, F.col("base").alias("pos"), F.lit(0).alias("len")).limit(0)
     passes = -(-stats["n"] // max_prefixes)
@@ -146,12 +158,12 @@ def find_hits(
         grams = grams.withColumn("_n", F.explode(F.array(*[F.lit(n) for n in lengths])))
     else:
         grams = grams.withColumn("_n", F.lit(lengths[0]))
-    grams = grams.withColumn("gram", F.substring("_chars", F.col("_i") + 1, F.col("_n")))
+    grams = grams.withColumn("gram", F.xxhash64(F.expr("substring(_chars, _i + 1, _n)")))
     found = []
     for turn in range(passes):
         part = prefixes
         if passes > 1:
-            part = prefixes.where(F.pmod(F.xxhash64("gram"), F.lit(passes)) == turn)
+            part = prefixes.where(F.pmod("gram", F.lit(passes)) == turn)
         found.append(grams.join(F.broadcast(part), "gram"))
     candidates = (
         reduce(DataFrame.unionByName, found)
@@ -231,7 +243,7 @@ def redact_large(
     text_col: str,
     secrets: DataFrame,
     keys: Sequence[str],
-    prefix_chars: int = PREFIX_CHARS,
+    prefix_chars: Sequence[int] = PREFIX_CHARS,
     max_prefixes: int = MAX_BROADCAST_PREFIXES,
 ) -> DataFrame:
     """Same text as :func:`redact` for a secret table of any size."""
@@ -337,7 +349,7 @@ def redact_chunks(
     secrets: DataFrame,
     block_chars: int = BLOCK_CHARS,
     page_chars: int = 65_536,
-    prefix_chars: int = PREFIX_CHARS,
+    prefix_chars: Sequence[int] = PREFIX_CHARS,
     slice_rows: int = 4_096,
 ) -> DataFrame:
     """Redact chunked streams, also secrets that straddle chunks.

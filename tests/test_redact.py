@@ -88,7 +88,7 @@ def random_world(seed, texts, length):
     return sorted(secrets), ["".join(rng.choices("abcd ", k=rng.randint(0, length))) for _ in range(texts)]
 
 
-@pytest.mark.parametrize("prefix_chars, max_prefixes", [(2, 1000), (4, 5), (8, 1000)])
+@pytest.mark.parametrize("prefix_chars, max_prefixes", [((1, 2), 1000), ((1, 3, 4), 5), (ops.PREFIX_CHARS, 1000)])
 def test_both_forms_equal_the_scan(spark, prefix_chars, max_prefixes):
     secrets, texts = random_world(17, 60, 300)
     texts.append("abc" * 3000)
@@ -144,7 +144,7 @@ def streams():
     return secrets, chunks, {name: text for name, text in expected.items() if text}
 
 
-@pytest.mark.parametrize("block, prefix, slice_rows", [(10, 2, 3), (64, 8, 1000)])
+@pytest.mark.parametrize("block, prefix, slice_rows", [(10, (1, 2), 3), (64, ops.PREFIX_CHARS, 1000)])
 def test_chunked_streams_equal_the_scan(spark, streams, block, prefix, slice_rows):
     secrets, chunks, expected = streams
     rows = [(name, seq, chunk) for name, parts in chunks.items() for seq, chunk in enumerate(parts)]
