@@ -172,6 +172,7 @@ def merged_settings(
     settings: DataFrame,
     list_mode: str = "replace",
     node_settings: DataFrame | None = None,
+    document_keys: Sequence[str] = (),
 ) -> DataFrame:
     """Merged configuration of every node from leaf rows of its layers.
 
@@ -181,17 +182,19 @@ def merged_settings(
     nodes with layers of their own are merged again and shuffled by path.
     *node_settings* adds leaves that are each node's own whatever their scope,
     such as filled templates: ``(cluster_name, host, path, kind, value, precedence)``.
+    *document_keys* names further columns of both that keep documents apart.
     """
+    extra = list(document_keys)
     wide, by_role, by_host = _by_reach(with_precedence(settings))
     group = ["cluster_name", "role"]
     node = ["cluster_name", "host", "role"]
-    leaf = ["path", "kind", "value", "precedence"]
+    leaf = [*extra, "path", "kind", "value", "precedence"]
     side = nodes.select(*node)
     roles = side.select(*group).distinct()
     shared = roles.join(wide.select("cluster_name", *leaf), "cluster_name").unionByName(
         roles.join(by_role.select("cluster_name", F.col("scope_value").alias("role"), *leaf), group)
     )
-    shared = cut_lineage(compact_layers(shared, group) if list_mode == "replace" else shared)
+    shared = cut_lineage(compact_layers(shared, [*group, *extra]) if list_mode == "replace" else shared)
     hosted = by_host.select("cluster_name", F.col("scope_value").alias("host"), *leaf)
     if node_settings is not None:
         hosted = hosted.unionByName(node_settings.select("cluster_name", "host", *leaf))
@@ -200,14 +203,14 @@ def merged_settings(
     touched = hosted.select("cluster_name", "host").distinct()
     out = [*node, *leaf]
     passed = side.join(touched, ["cluster_name", "host"], "left_anti").join(
-        merge_layers(shared, group, list_mode), group
+        merge_layers(shared, [*group, *extra], list_mode), group
     )
     remade = merge_layers(
         side.join(touched, ["cluster_name", "host"], "left_semi")
         .join(shared, group)
         .select(*out)
         .unionByName(own.select(*out)),
-        node,
+        [*node, *extra],
         list_mode,
     )
     return passed.select(*out).unionByName(remade.select(*out))

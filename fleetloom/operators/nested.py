@@ -70,12 +70,13 @@ def flatten_leaves(
             F.expr("if(_child.key is null, path, concat(path, array(_child.key)))").alias("path"),
             F.expr("coalesce(_child.value, _v)").alias("_v"),
         )
-    named = state.where(F.col("_v").isNotNull()).withColumn("_k", _kind("_v"))
-    inner = F.expr(f"size({_children(walk_lists, directives)}) > 0")
-    too_deep = F.raise_error(F.concat(F.lit("document deeper than "), F.lit(str(max_depth))))
-    kind = F.when(F.col("_k").isin("string", "scalar", "null"), F.col("_k")).when(
-        inner, too_deep.cast("string")
+    # As a filter, the check runs whichever columns are read later.
+    whole = F.expr(
+        f"case when size({_children(walk_lists, directives)}) > 0"
+        f" then cast(raise_error('document deeper than {max_depth}') as boolean) else true end"
     )
+    named = state.where(F.col("_v").isNotNull() & whole).withColumn("_k", _kind("_v"))
+    kind = F.when(F.col("_k").isin("string", "scalar", "null"), F.col("_k"))
     if directives:
         kind = kind.when((F.col("_k") == "map") & F.expr(_IS_DELETE), F.lit("delete"))
     kind = kind.when(F.col("_k") == "map", F.lit("empty")).otherwise(F.lit("list"))

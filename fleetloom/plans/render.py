@@ -32,6 +32,7 @@ NODE_FIELDS = {
 }
 INSTALLER_PATH = ("machine", "install", "image")
 TEMPLATE_SUFFIX = ".tpl"
+DOCUMENT_KEYS = ("doc_kind", "doc_name")
 
 
 def _fields(prefix: str, fields: dict[str, str]) -> Column:
@@ -93,7 +94,8 @@ def render(
     *definitions* ``(path, definition)`` for ``@path`` schematic IDs.  Plain layers
     are split and flattened once, whatever the number of nodes they apply to;
     templates are filled per node.  The generated installer reference is the lowest
-    layer.  A node with an error has no settings and does not disturb the others.
+    layer.  Documents of another ``kind`` and ``name`` are merged apart from the main
+    one.  A node with an error has no settings and does not disturb the others.
     """
     split = split_yaml_documents if encoding == "yaml" else split_documents
     node_key = ["cluster_name", "host"]
@@ -116,9 +118,13 @@ def render(
 
     def leaves(documents: DataFrame) -> DataFrame:
         good = documents.where(F.col("error").isNull()).drop("error")
-        return flatten_leaves(
-            good.withColumn("body", F.parse_json("body")), "body", max_depth, walk_lists=False, directives=True
+        parsed = good.withColumn("body", F.parse_json("body"))
+        kind = F.coalesce(F.try_variant_get("body", "$.kind", "string"), F.lit(""))
+        name = F.coalesce(F.try_variant_get("body", "$.name", "string"), F.lit(""))
+        keyed = parsed.withColumn("doc_kind", kind).withColumn(
+            "doc_name", F.when(F.col("doc_kind") != "", name).otherwise(F.lit(""))
         )
+        return flatten_leaves(keyed, "body", max_depth, walk_lists=False, directives=True)
 
     installer = with_installer(
         resolve_defaults(
@@ -129,6 +135,7 @@ def render(
         F.lit("base").alias("scope"),
         F.lit("").alias("layer_path"),
         F.lit(0).alias("doc_index"),
+        *[F.lit("").alias(key) for key in DOCUMENT_KEYS],
         F.array(*map(F.lit, INSTALLER_PATH)).alias("path"),
         F.lit("string").alias("kind"),
         F.col("installer").alias("value"),
@@ -146,7 +153,7 @@ def render(
     )
     failed = errors.select(*node_key).distinct()
     healthy = nodes.join(failed, node_key, "left_anti")
-    settings = merged_settings(healthy, cut_lineage(leaves(plain)), list_mode, own)
+    settings = merged_settings(healthy, cut_lineage(leaves(plain)), list_mode, own, DOCUMENT_KEYS)
     return settings, errors
 
 

@@ -456,3 +456,24 @@ def outcome_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("fail"))
     )
     return health.outcome_tally(fleet(spark, sf_dir).withColumn("outcome", outcome))
+
+
+@query(
+    f"""
+    WITH {FLEET_SQL}
+    SELECT cluster_name, host,
+           coalesce(CASE WHEN acctbal > 5000 THEN '1.14.1' END,
+                    CASE WHEN n_regionkey >= 2 THEN '1.13.' || n_regionkey END, '1.13.0') AS version
+    FROM fleet JOIN nation ON n_nationkey = cluster_name
+    """
+)
+def generation_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running version first, then the cluster's; node overrides do not count."""
+    clusters = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("cluster_name"),
+        F.when(F.col("n_regionkey") >= 2, F.concat(F.lit("v1.13."), "n_regionkey")).alias("wanted"),
+    )
+    running = F.when(F.col("acctbal") > 5000, F.lit("v1.14.1")).otherwise(F.lit(""))
+    return fleet(spark, sf_dir).join(clusters, "cluster_name").select(
+        "cluster_name", "host", node_ops.generation_version(running, "wanted", "v1.13.0").alias("version")
+    )

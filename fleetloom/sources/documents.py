@@ -129,8 +129,9 @@ def parse_clusters(texts: DataFrame, encoding: str = "yaml") -> tuple[DataFrame,
         .when(F.coalesce(F.col(f"c.{DEPRECATED_FIELD}"), F.lit("")) != "", F.lit(f"deprecated field {DEPRECATED_FIELD}"))
     )
     failed = F.raise_error(F.concat(F.col("file"), F.lit(": "), problem))
-    name = F.when(problem.isNull(), F.col("c.clusterName")).otherwise(failed.cast("string"))
-    checked = parsed.select(name.alias("cluster_name"), "c")
+    # As a filter, the check runs whichever columns are read later.
+    fine = F.when(problem.isNull(), F.lit(True)).otherwise(failed.cast("boolean"))
+    checked = parsed.where(fine).select(F.col("c.clusterName").alias("cluster_name"), "c")
     settings = [F.col(f"c.{key}").alias(column) for key, column in _SETTINGS.items()]
     clusters = checked.select(
         "cluster_name",

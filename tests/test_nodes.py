@@ -67,7 +67,7 @@ def test_validation(spark):
         [],
     ]
     with pytest.raises(PySparkException):
-        ops.validate_nodes(df, "fail").collect()
+        ops.validate_nodes(df, "fail").count()
     assert ops.validate_nodes(df.where("host = 'ok'"), "fail").count() == 1
 
 

@@ -5,7 +5,9 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from fleetloom.functions.columns import DEFAULT_SCHEMATIC
 from fleetloom.operators import layers, nested, templates
+from fleetloom.plans.render import render
 from fleetloom.sources import documents, sinks
 
 CLUSTER = """
@@ -95,7 +97,7 @@ def test_bad_cluster_documents_stop_the_load(spark, tmp_path, text):
     write(str(tmp_path / "bad.yaml"), text)
     clusters, _ = documents.load_clusters(spark, str(tmp_path))
     with pytest.raises(PySparkException):
-        clusters.drop("data").collect()
+        clusters.count()
 
 
 def test_discover_layers(spark, tmp_path):
@@ -157,6 +159,36 @@ def test_render_end_to_end(spark, tmp_path):
     }
 
 
+def test_render(spark, tmp_path):
+    write(str(tmp_path / "conf" / "east.yaml"), CLUSTER)
+    layer = tmp_path / "layers" / "east"
+    write(str(layer / "all" / "10.yaml"), "kubelet: {max: 100}\n---\nkind: Mirror\nname: a\nmax: 1\n")
+    write(str(layer / "all" / "20.yaml"), "kind: Mirror\nname: b\nmax: 2\n---\nkind: Mirror\nname: a\nmax: 3\n")
+    write(str(layer / "worker" / "20.yaml.tpl"), "rack: {{ .Node.Data.rack }}\nzone: {{ .Data.zone.name }}\n")
+    write(str(layer / "node" / "e1" / "30.yaml"), "- not a mapping\n")
+    clusters, nodes = documents.load_clusters(spark, str(tmp_path / "conf"))
+    files = documents.discover_layers(spark, str(tmp_path / "layers"))
+    definitions = spark.createDataFrame([], "path string, definition string")
+    settings, errors = render(nodes, clusters, files, definitions, "v1.13.0")
+    assert {(r.host, r.error) for r in errors.collect()} == {
+        ("e1", "30.yaml: list of operations is not supported")
+    }
+    got = {(r.host, r.doc_kind, r.doc_name, ".".join(r.path)): r.value for r in settings.collect()}
+    image = f"factory.talos.dev/vmware-installer-secureboot/{DEFAULT_SCHEMATIC}:v1.10"
+    assert got == {
+        ("e2", "", "", "machine.install.image"): image,
+        ("e2", "", "", "kubelet.max"): "100",
+        ("e2", "", "", "rack"): "r7",
+        ("e2", "", "", "zone"): "z1",
+        ("e2", "Mirror", "a", "kind"): "Mirror",
+        ("e2", "Mirror", "a", "name"): "a",
+        ("e2", "Mirror", "a", "max"): "3",
+        ("e2", "Mirror", "b", "kind"): "Mirror",
+        ("e2", "Mirror", "b", "name"): "b",
+        ("e2", "Mirror", "b", "max"): "2",
+    }
+
+
 @pytest.mark.parametrize("per_host", [False, True])
 def test_write_by_host(spark, tmp_path, per_host):
     rows = [("a", "h1", "x", None), ("a", "h2", "y", None), ("b", "h1", None, "broken")]
