@@ -27,7 +27,8 @@ def running_total(
 
     By default rows are range-partitioned on key, order and a number that tells
     equal rows apart, so slices are even whatever the data; the partition number,
-    fixed by a checkpoint, is the slice.  *slice_by* saves that step where the
+    fixed by a checkpoint, is the slice.  The number counts sorted rows, so that a
+    task run again after a lost executor places them the same.  *slice_by* saves that step where the
     order itself gives slices of bounded size: it must be a deterministic
     function of the row that does not decrease along *order_by*.
     """
@@ -38,8 +39,10 @@ def running_total(
     else:
         order = [*order, "_tie"]
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        plain = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
         sliced = cut_lineage(
-            sliced.withColumn("_tie", F.monotonically_increasing_id())
+            sliced.sortWithinPartitions(*keys, *order_by, F.xxhash64(*plain))
+            .withColumn("_tie", F.monotonically_increasing_id())
             .repartitionByRange(parts, *keys, *order)
             .withColumn("_slice", F.spark_partition_id())
         )
