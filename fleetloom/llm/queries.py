@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetloom.llm import quality, sharding, token_counts
+from fleetloom.llm import line_dedup, quality, sharding, substring_dedup, token_counts
 from fleetloom.queries.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -23,6 +23,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs, sharding.layout(8), sharding.layout(9))
 
 
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.keep_bitmaps(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"))
