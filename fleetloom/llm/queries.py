@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetloom.llm import line_dedup, quality, sharding, substring_dedup, token_counts
+from fleetloom.llm import decontamination, exact_dedup, line_dedup, mixing, quality, sharding, substring_dedup, token_counts
 from fleetloom.queries.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -23,12 +23,24 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs, sharding.layout(8), sharding.layout(9))
 
 
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.decontamination_report(docs, items)
+
+
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.keep_bitmaps(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+@query
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 @query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
@@ -44,3 +56,25 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Levels of the mixing tree; the domain is read off the number of the source.
+MIX_LEVELS = ("domain", "lang", "source")
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    number = F.regexp_extract("source", r"([0-9]+)$", 1).try_cast("int")
+    return docs.withColumn("domain", F.when(number < 7, "web").when(number < 14, "books").otherwise("code"))
+
+
+def mix_weights() -> list:
+    """Three parts web, two books, one code; English counts double; sources are equal."""
+    domain = F.when(mixing.level_is("domain", "web"), 3).when(mixing.level_is("domain", "books"), 2).otherwise(1)
+    return [domain, F.when(mixing.level_is("lang", "en"), 2).otherwise(1), F.lit(1)]
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the corpus's tokens, from at most four passes over a source."""
+    docs = with_domain(table(spark, sf_dir, "documents"))
+    return mixing.mix(docs, MIX_LEVELS, mix_weights(), F.col("tokens") / 2)
