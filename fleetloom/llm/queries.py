@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetloom.llm import decontamination, exact_dedup, line_dedup, mixing, quality, sharding, substring_dedup, token_counts
+from fleetloom.llm import decontamination, exact_dedup, jaccard_join, line_dedup, mixing, quality, sharding, substring_dedup, token_counts
 from fleetloom.queries.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -58,6 +58,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 #: Levels of the mixing tree; the domain is read off the number of the source.
 MIX_LEVELS = ("domain", "lang", "source")
 
