@@ -7,9 +7,10 @@ All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetloom.llm import quality, sharding
+from fleetloom.llm import decontamination, jaccard_join, mixing, quality, sharding
+from fleetloom.llm.queries import MIX_LEVELS, mix_weights, with_domain
 from fleetloom.llm.shared import stored
 from fleetloom.queries.registry import table
 
@@ -22,12 +23,34 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return jaccard_join.keep_one(docs, size=5, num=80, den=100)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that one seeded pass takes for four fifths of the corpus's tokens."""
+    mixed = mixing.keep_mixed(with_domain(docs), MIX_LEVELS, mix_weights(), F.col("tokens") * 0.8)
+    return mixed.select(*docs.columns)
+
+
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
     return sharding.shard_documents(docs, sharding.layout(8), sharding.layout(9))
 
 
-STAGES = [("quality classifier", quality_stage), ("sharding", sharding_stage)]
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("sharding", sharding_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,3 +177,17 @@ def decontamination_report(docs: DataFrame, items: DataFrame, window: int = WIND
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Rows of *docs*, with all their columns, without a word inside an occurrence.
+
+    Repeated rows are judged alike, as one text.
+    """
+    text_hash = F.xxhash64("text")
+    # The words decide, so equal texts need to be looked at once, under their hash.
+    keyed = docs.select(text_hash.alias("doc_id"), "text")
+    found = contamination(keyed, items, window).where("n_hit > 0").select("doc_id").distinct()
+    hit = stored(found.withColumnRenamed("doc_id", "_hit_hash"), "contaminated")
+    hit = F.broadcast(hit) if fits_broadcast(hit.count(), 16) else hit
+    return docs.join(hit, F.xxhash64(docs["text"]) == hit["_hit_hash"], "left_anti")

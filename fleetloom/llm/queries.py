@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetloom.llm import decontamination, exact_dedup, jaccard_join, line_dedup, mixing, quality, sharding, substring_dedup, token_counts
+from fleetloom.llm import (
+    class_lm,
+    decontamination,
+    exact_dedup,
+    jaccard_join,
+    line_dedup,
+    mixing,
+    quality,
+    sharding,
+    substring_dedup,
+    token_counts,
+)
 from fleetloom.queries.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -35,6 +46,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+@query
+def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
