@@ -67,13 +67,16 @@ def _state_settings(spark: SparkSession):
 def update_state(
     spark: SparkSession, path: str, progress: str, digest: Callable[[Column], Column] = sha256, batch_bytes: int = BATCH_BYTES
 ) -> DataFrame:
-    """Read the files below *path* that *progress* has not seen; return the state.
+    """Read the file or folder *path* as far as *progress* has not seen it; return the state.
 
     The state has one row for each digest: ``digest``, ``keeper`` (the place of the
     row that stays) and ``size``.
     """
+    path = path.rstrip("/")
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(path)
+    # As a pattern the path may also be that of a single file.
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(pattern)
     groups = _marked(stream, digest).groupBy("digest").agg(F.min("place").alias("keeper"), F.count("*").alias("size"))
     writer = groups.writeStream.format("noop").outputMode("update").option("checkpointLocation", progress)
     with _state_settings(spark):

@@ -62,3 +62,9 @@ def test_a_second_run_reads_only_new_files(spark, tmp_path):
 def test_empty(spark, tmp_path):
     frame(spark, []).write.parquet(str(tmp_path / "docs"))
     assert exact_dedup.deduplicate(spark, str(tmp_path / "docs")).count() == 0
+
+
+def test_a_single_file(spark, tables):
+    found = exact_dedup.deduplicate(spark, f"{tables}/documents.parquet")
+    rows = [tuple(r) for r in spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text").collect()]
+    assert result(found, *COLUMNS) == brute(rows)
