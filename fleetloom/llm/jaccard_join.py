@@ -39,17 +39,23 @@ def shingles(piece: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
     word = T.hashes(spans, 0)
     count = max(len(word) - size + 1, 0)
     whole = np.flatnonzero(spans.text[:count] == spans.text[size - 1 :][:count])
-    texts, found = [spans.text[whole]], [T.runs(word, size, 0)[whole]]
+    text, value = spans.text[whole], T.runs(word, size, 0)[whole]
     per_text = spans.per_text
-    begins = np.cumsum(per_text) - per_text
-    for length in range(1, size):
+    short = np.flatnonzero((per_text > 0) & (per_text < size))
+    if len(short):
         # A text with fewer words is one shingle.
-        short = np.flatnonzero(per_text == length)
-        texts.append(short)
-        found.append(T.runs(word, length, 0)[begins[short]])
-    text, value = np.concatenate(texts), np.concatenate(found)
-    order = np.lexsort((value, text))
-    text, value = text[order], value[order]
+        begins = np.cumsum(per_text) - per_text
+        only = np.zeros(len(short), np.uint64)
+        for length in range(1, size):
+            mine = per_text[short] == length
+            only[mine] = T.runs(word, length, 0)[begins[short[mine]]]
+        at = np.searchsorted(text, short)
+        text, value = np.insert(text, at, short), np.insert(value, at, only)
+    ends = np.cumsum(np.bincount(text, minlength=len(per_text))).tolist()
+    start = 0
+    for end in ends:
+        value[start:end].sort()
+        start = end
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (value[1:] != value[:-1])
     return text[new], value[new]

@@ -47,7 +47,7 @@ def features(texts: pa.Array, bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.n
     text = np.concatenate([spans.text, symbols.text, spans.text[1:][together]])
     hashed = np.concatenate([word, T.hashes(symbols, 1), again[together] if len(pair) else pair])
     bucket = (T.scramble(hashed, 0) >> np.uint64(64 - bits)).astype(np.int64)
-    found, times = np.unique((text.astype(np.int64) << bits) | bucket, return_counts=True)
+    found, times = T.distinct((text.astype(np.int64) << bits) | bucket)
     text, bucket = found >> bits, found & ((1 << bits) - 1)
     value = 1.0 + np.log(times)
     norm = np.sqrt(np.bincount(text, value * value, count))

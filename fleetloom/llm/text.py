@@ -147,6 +147,13 @@ def runs(values: np.ndarray, length: int, seed: int) -> np.ndarray:
     return _mix(found, odd)
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    values = np.sort(values)
+    starts = np.flatnonzero(np.r_[len(values) > 0, values[1:] != values[:-1]][: len(values)])
+    return values[starts], np.diff(np.r_[starts, len(values)])
+
+
 def fold(values: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
     """Sum modulo 2**64 of *values* for each of *groups*; *group* is ascending."""
     total = np.zeros(groups, np.uint64)
