@@ -4,7 +4,7 @@ Every block of documents sketches the hashes of its windows: a row of the sketch
 is cut into shards, a block sends the sorted cells it touches as a delta code of
 about two bytes a window, and a shard's cells from all blocks are merged by
 adding.  Counts are never too low, so a window in a cell counted once is unique;
-only windows whose cell was counted more often go on.  Their full 128-bit hashes
+only windows whose cell was counted more often go on.  Their full 96-bit hashes
 are grouped exactly, and the place of the first of each group returns to its
 block.  Sketch and corpus grow together: the number of cells follows the size
 of the corpus, and no task holds more than a shard or a block.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fleetloom.llm import text as T
-from fleetloom.llm.shared import in_blocks, in_order, rank_by, total_bytes
+from fleetloom.llm.shared import in_blocks, in_order, total_bytes
 
 WINDOW = 20
 BLOCK_BYTES = 8 << 20
@@ -50,13 +51,11 @@ def decode_cells(code: bytes) -> np.ndarray:
 
 
 def _windows(piece: pa.RecordBatch, size: int):
-    """Words of a piece, and first word and both hashes of each window."""
+    """Words of a piece, and first word and hash of each window."""
     spans = T.words(piece.column("body"), T.white_space())
     count = max(len(spans.text) - size + 1, 0)
     whole = np.flatnonzero(spans.text[:count] == spans.text[size - 1 :][:count])
-    first = T.runs(T.hashes(spans, 0), size, 0)[whole]
-    second = T.runs(T.hashes(spans, 1), size, 1)[whole]
-    return spans, whole, first, second
+    return spans, whole, T.runs(T.hashes(spans, 0), size, 0)[whole]
 
 
 def _cell(first: np.ndarray, bits: int) -> np.ndarray:
@@ -69,7 +68,7 @@ def sketch(table: pa.Table, size: int, bits: int, shard_bits: int) -> pa.Table:
     for batch in table.to_batches():
         for piece in T.pieces(batch, "body"):
             found.append(_cell(_windows(piece, size)[2], bits))
-    cells, times = np.unique(np.concatenate(found), return_counts=True)
+    cells, times = T.distinct(np.concatenate(found))
     cells = np.repeat(cells, np.minimum(times, 2))
     block = table.column("block")[0].as_py()
     return _by_shard(cells, shard_bits, block)
@@ -93,10 +92,10 @@ def merge(table: pa.Table) -> pa.Table:
     """Of a shard's sketches, the cells that are counted more than once in all, for each block."""
     parts = [decode_cells(code) for code in table.column("cells").to_pylist()]
     cells = np.sort(np.concatenate(parts))
-    often = np.unique(cells[1:][cells[1:] == cells[:-1]])
+    often = T.distinct(cells[1:][cells[1:] == cells[:-1]])[0]
     blocks, codes = [], []
     for block, part in zip(table.column("block").to_pylist(), parts, strict=True):
-        mine = np.intersect1d(part, often)
+        mine = T.distinct(part[_contains(often, part)])[0]
         if len(mine):
             blocks.append(block)
             codes.append(encode_cells(mine))
@@ -126,16 +125,19 @@ def _contains(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def _candidates(table: pa.Table, often: np.ndarray, size: int, bits: int):
-    """Per piece: its documents, words, first row, and the windows whose cell was counted often."""
+    """Per piece: documents, words, and first word, place and hash of the windows whose cell was counted often.
+
+    A place is the document's number in the block and the word's number in the document.
+    """
     row = 0
     for batch in table.to_batches():
         for piece in T.pieces(batch, "body"):
-            spans, at, first, second = _windows(piece, size)
+            spans, at, first = _windows(piece, size)
             chosen = np.flatnonzero(_contains(often, _cell(first, bits)))
             at = at[chosen]
             begins = np.cumsum(spans.per_text) - spans.per_text
             text = spans.text[at]
-            yield piece, spans, at, text + row, at - begins[text], first[chosen], second[chosen]
+            yield piece, spans, at, ((text + row) << 32) | (at - begins[text]), first[chosen]
             row += piece.num_rows
 
 
@@ -144,42 +146,56 @@ def repeated(table: pa.Table, flags: pa.Table, size: int, bits: int, shard_bits:
     table = in_order(table)
     often = _often(flags, shard_bits)
     none = np.zeros(0, np.int64)
-    rows, places, first, second = [none], [none], [none.view(np.uint64)], [none.view(np.uint64)]
-    for _, _, _, row, place, one, two in _candidates(table, often, size, bits):
-        rows.append(row)
+    places, first, second = [none], [none.view(np.uint64)], [none.view(np.uint32)]
+    for _, spans, at, place, hashed in _candidates(table, often, size, bits):
         places.append(place)
-        first.append(one)
-        second.append(two)
-    row, place = np.concatenate(rows), np.concatenate(places)
-    one, two = np.concatenate(first), np.concatenate(second)
-    # Rows and places ascend, so the first of each group is the earliest.
-    order, group = rank_by(one, two)
-    keep = order[np.r_[len(order) > 0, group[order][1:] != group[order][:-1]][: len(order)]]
-    row = row[keep]
+        first.append(hashed)
+        second.append(T.runs(T.hashes(spans, 1), size, 1)[at].astype(np.uint32))
+    place, one, two = np.concatenate(places), np.concatenate(first), np.concatenate(second)
+    # Places ascend, so the first of each group is the earliest.
+    order = np.argsort(one)
+    new = np.r_[len(one) > 0, one[order][1:] != one[order][:-1]][: len(one)]
+    if (~new[1:] & (two[order][1:] != two[order][:-1])).any():
+        order = np.lexsort((two, one))
+        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    starts = np.flatnonzero(new)
+    keep = np.sort(np.minimum.reduceat(order, starts)) if len(starts) else starts
+    place = place[keep]
+    # A null ID comes after all others.
+    ids = table.column("doc_id").fill_null(np.iinfo(np.int64).max).to_numpy()
     return pa.table(
         {
             "h1": one[keep].view(np.int64),
-            "h2": two[keep].view(np.int64),
-            "doc_id": table.column("doc_id").take(pa.array(row)),
-            "text_hash": table.column("text_hash").take(pa.array(row)),
-            "row": pa.array(row, pa.int32()),
-            "place": pa.array(place[keep], pa.int32()),
-            "block": pa.array(np.full(len(row), table.column("block")[0].as_py()), pa.int32()),
+            "h2": two[keep].view(np.int32),
+            "doc_id": ids[place >> 32],
+            "block": pa.array(np.full(len(place), table.column("block")[0].as_py()), pa.int32()),
+            "place": place,
         }
     )
 
 
+def earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by hash, document, block and place, the first of each hash."""
+    one = two = None
+    for batch in batches:
+        h1, h2 = batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
+        new = np.ones(len(h1), bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        new[:1] = one is None or (h1[0], h2[0]) != (one, two)
+        if len(h1):
+            one, two = h1[-1], h2[-1]
+        yield batch.select(["block", "place"]).filter(pa.array(new))
+
+
 def remaining(table: pa.Table, told: pa.Table, size: int, bits: int, shard_bits: int, with_text: bool) -> pa.Table:
     """Each document of a block without the words of windows that began earlier."""
     table = in_order(table)
     is_flag = told.column("cells").is_valid()
     often = _often(told.filter(is_flag), shard_bits)
-    first = told.filter(told.column("row").is_valid())
-    place = first.column("place").to_numpy().astype(np.int64)
-    stays = np.sort((first.column("row").to_numpy().astype(np.int64) << 32) | place)
+    stays = np.sort(told.column("place").drop_null().to_numpy())
     totals, removed, digests, kept = [], [], [], []
-    for piece, spans, at, row, place, _, _ in _candidates(table, often, size, bits):
-        again = at[~_contains(stays, (row << 32) | place)]
+    for piece, spans, at, place, _ in _candidates(table, often, size, bits):
+        again = at[~_contains(stays, place)]
         steps = np.zeros(len(spans.text) + 1, np.int64)
         steps[again] += 1
         np.add.at(steps, again + size, -1)
@@ -214,8 +230,8 @@ def remove_repeats(
     """Per row of ``docs(doc_id, text)``: words, removed words, checksum of what is left and, if asked for, it.
 
     A window that also starts in a smaller ID, or earlier in the same text, is
-    removed.  Null IDs come after all others.  Rows with the same ID go by their
-    text's hash, so of repeated rows one keeps its words.  A null text has no words.
+    removed.  Null IDs come after all others.  Rows with the same ID have a fixed
+    order by their texts, so of repeated rows one keeps its words.  A null text has no words.
     Other columns are not read.
     """
     total = total_bytes(docs)
@@ -224,17 +240,18 @@ def remove_repeats(
     shard = min(shard_bits, bits)
     coded = "block int, shard long, cells binary"
     cells = texts.groupBy("block").applyInArrow(lambda table: sketch(table, window, bits, shard), coded)
-    flags = cells.groupBy("shard").applyInArrow(merge, coded)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flags = cells.groupBy("shard").applyInArrow(merge, coded).repartition(parts, "block")
     candidates = (
         texts.groupBy("block")
         .cogroup(flags.groupBy("block"))
         .applyInArrow(
             lambda table, told: repeated(table, told, window, bits, shard),
-            "h1 long, h2 long, doc_id long, text_hash long, row int, place int, block int",
+            "h1 long, h2 int, doc_id long, block int, place long",
         )
     )
-    earliest = F.min(F.struct(F.isnull("doc_id"), "doc_id", "text_hash", "block", "row", "place")).alias("first")
-    firsts = candidates.groupBy("h1", "h2").agg(earliest).select("first.block", "first.row", "first.place")
+    grouped = candidates.repartition(parts, "h1", "h2").sortWithinPartitions("h1", "h2", "doc_id", "block", "place")
+    firsts = grouped.mapInArrow(earliest, "block int, place long")
     told = flags.unionByName(firsts, allowMissingColumns=True)
     result = "doc_id long, text_hash long, n_words long, n_removed long, kept_sha256 string"
     return (
