@@ -21,31 +21,14 @@ def running_total(
     order_by: Sequence[str],
     value: Column,
     out: str,
-    slice_by: Column | None = None,
 ) -> DataFrame:
     """Inclusive running sum of *value* per key.
 
-    By default rows are range-partitioned on key, order and a number that tells
-    equal rows apart, so slices are even whatever the data; the partition number,
-    fixed by a checkpoint, is the slice.  The number counts sorted rows, so that a
-    task run again after a lost executor places them the same.  *slice_by* saves that step where the
-    order itself gives slices of bounded size: it must be a deterministic
-    function of the row that does not decrease along *order_by*.
+    Slices are even whatever the data, and the partition number is the slice.
     """
-    keys, order = list(keys), list(order_by)
-    sliced = df.withColumn("_value", value.cast("bigint"))
-    if slice_by is not None:
-        sliced = sliced.withColumn("_slice", slice_by)
-    else:
-        order = [*order, "_tie"]
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        plain = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
-        sliced = cut_lineage(
-            sliced.sortWithinPartitions(*keys, *order_by, F.xxhash64(*plain))
-            .withColumn("_tie", F.monotonically_increasing_id())
-            .repartitionByRange(parts, *keys, *order)
-            .withColumn("_slice", F.spark_partition_id())
-        )
+    keys, order = list(keys), [*order_by, "_tie"]
+    sliced = _ranged(df.withColumn("_value", value.cast("bigint")), keys, order_by)
+    sliced = cut_lineage(sliced.withColumn("_slice", F.spark_partition_id()))
     inside = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     before = (
         W.partitionBy(*[f"_p_{k}" for k in keys])
@@ -72,8 +55,45 @@ def running_total(
 
 
 def ordinals(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], out: str) -> DataFrame:
-    """1-based position of each row inside its key, for any sortable order."""
-    return running_total(df, keys, order_by, F.lit(1), out)
+    """1-based position of each row inside its key, for any sortable order.
+
+    Rows are sorted where the range partitioning has put them, and their number in
+    the partition gives the position inside the slice, so rows are shuffled once.
+    The table of slices, one row per key and partition, is joined by its size.
+    """
+    keys = list(keys)
+    sorted_rows = _ranged(df, keys, order_by).sortWithinPartitions(*keys, *order_by, "_tie")
+    # The upper bits of this number are the partition, the lower ones count its rows.
+    rows = cut_lineage(sorted_rows.withColumn("_at", F.monotonically_increasing_id()).drop("_tie"))
+    rows = rows.withColumn("_slice", F.shiftright("_at", 33).cast("int"))
+    before = W.partitionBy(*[f"_p_{k}" for k in keys]).orderBy("_p_slice").rowsBetween(W.unboundedPreceding, -1)
+    slices = (
+        rows.groupBy(*keys, "_slice")
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_p_first"))
+        .select(*[F.col(k).alias(f"_p_{k}") for k in keys], F.col("_slice").alias("_p_slice"), "_rows", "_p_first")
+        .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        .drop("_rows")
+    )
+    condition = F.col("_slice") == F.col("_p_slice")
+    for key in keys:
+        condition = condition & F.col(key).eqNullSafe(F.col(f"_p_{key}"))
+    position = F.col("_at") - F.col("_p_first") + F.col("_before") + 1
+    return rows.join(slices, condition, "inner").select(*df.columns, position.alias(out))
+
+
+def _ranged(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+    """*df* in even ranges of key and order, with a number ``_tie`` that tells equal rows apart.
+
+    The number counts sorted rows, so that a task run again after a lost executor
+    places them the same.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plain = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    return (
+        df.sortWithinPartitions(*keys, *order_by, F.xxhash64(*plain))
+        .withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(parts, *keys, *order_by, "_tie")
+    )
 
 
 def pages(

@@ -89,14 +89,15 @@ def redact_with(text: Column | str, secrets: Sequence[str]) -> Column:
     return F.regexp_replace(column, F.lit(pattern), F.lit(MARKER)) if pattern else column
 
 
-def redact(df: DataFrame, text_col: str, secrets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Replace every secret in *text_col*; *keys* identify a row.
+def redact(df: DataFrame, text_col: str, secrets: DataFrame) -> DataFrame:
+    """Replace every secret in *text_col*.
 
-    A bounded secret set becomes one pattern; a larger one is joined.
+    A bounded secret set becomes one pattern; a larger one is joined.  Both give the
+    same text for every row, whatever its keys.
     """
     values = bounded_secrets(secrets)
     if values is None:
-        return redact_large(df, text_col, secrets, keys)
+        return redact_large(df, text_col, secrets)
     return df.withColumn(text_col, redact_with(text_col, values))
 
 
@@ -132,26 +133,28 @@ def find_hits(
     stats = prefixes.agg(
         F.count(F.lit(1)).alias("n"),
         F.array_distinct(F.flatten(F.collect_set("_ns"))).alias("grams"),
-        F.max(F.array_max("lengths")).alias("longest"),
     ).first()
     prefixes = prefixes.select("gram", "lengths")
     if not stats["n"]:
         return blocks.select(*keys, F.col("base").alias("pos"), F.lit(0).alias("len")).limit(0)
     passes = -(-stats["n"] // max_prefixes)
-    # A cell is short, because reaching a character costs a walk over those before it.
-    cell = max(CELL_CHARS, stats["longest"] // 4)
+    # A cell is short, because reaching a character costs a walk over those before it,
+    # and holds no more than its grams need: long secrets do not widen it.
+    cell, reach = CELL_CHARS, max(stats["grams"])
     first = F.col("_cell") * cell
     cells = blocks.withColumn(
         "_cell",
         F.explode(F.sequence(F.lit(0), F.call_function("div", F.col("body") - 1, F.lit(cell)).cast("int"))),
     ).select(
         *keys,
-        (F.col("base") + first).alias("_first"),
+        "base",
+        F.col("text").alias("_block"),
+        first.alias("_first"),
         F.least(F.lit(cell), F.col("body") - first).cast("int").alias("_width"),
-        F.substring("text", first + 1, F.lit(cell + stats["longest"] - 1)).alias("_chars"),
+        F.substring("text", first + 1, F.lit(cell + reach - 1)).alias("_chars"),
     )
     grams = cells.select(
-        *keys, "_first", "_chars", F.explode(F.sequence(F.lit(0), F.col("_width") - 1)).alias("_i")
+        *keys, "base", "_block", "_first", "_chars", F.explode(F.sequence(F.lit(0), F.col("_width") - 1)).alias("_i")
     )
     lengths = sorted(stats["grams"])
     if len(lengths) > 1:
@@ -167,12 +170,12 @@ def find_hits(
         found.append(grams.join(F.broadcast(part), "gram"))
     candidates = (
         reduce(DataFrame.unionByName, found)
-        .select(*keys, "_first", "_i", "_chars", F.explode("lengths").alias("len"))
+        .select(*keys, "base", "_first", "_i", "_block", F.explode("lengths").alias("len"))
         .select(
             *keys,
-            (F.col("_first") + F.col("_i")).alias("pos"),
+            (F.col("base") + F.col("_first") + F.col("_i")).alias("pos"),
             "len",
-            F.substring("_chars", F.col("_i") + 1, F.col("len")).alias("secret"),
+            F.substring("_block", F.col("_first") + F.col("_i") + 1, F.col("len")).alias("secret"),
         )
     )
     return (
@@ -238,32 +241,41 @@ def _rebuild(text: Column, first: Column, size: Column, kept: Column) -> Column:
     return F.get(F.transform(F.array(kept), pieces), F.lit(0))
 
 
+def _text_key(text: Column) -> list[Column]:
+    """128 bits that stand for a text; what is redacted depends on nothing else."""
+    return [F.xxhash64(text).alias("_text_1"), F.xxhash64(F.lit("2"), text).alias("_text_2")]
+
+
 def redact_large(
     df: DataFrame,
     text_col: str,
     secrets: DataFrame,
-    keys: Sequence[str],
     prefix_chars: Sequence[int] = PREFIX_CHARS,
     max_prefixes: int = MAX_BROADCAST_PREFIXES,
 ) -> DataFrame:
-    """Same text as :func:`redact` for a secret table of any size."""
-    keys = list(keys)
+    """Same text as :func:`redact` for a secret table of any size.
+
+    Hits are tied to the text itself and not to keys of the row, so rows with
+    missing or repeated keys are redacted like all others.
+    """
     secrets = cut_lineage(secrets)
     overhang = max(longest_secret(secrets) - 1, 0)
-    size = F.length(text_col)
+    size = F.length("_text")
+    key = ["_text_1", "_text_2"]
     blocks = (
-        df.where(size > 0)
+        df.where(F.length(text_col) > 0)
+        .select(*_text_key(F.col(text_col)), F.col(text_col).alias("_text"))
         .select(
-            *keys,
-            F.col(text_col).alias("_text"),
+            *key,
+            "_text",
             F.explode(
                 F.sequence(F.lit(0), F.call_function("div", size - 1, F.lit(BLOCK_CHARS)).cast("int"))
             ).alias("_b"),
         )
         .select(
-            *keys,
+            *key,
             (F.col("_b") * BLOCK_CHARS).cast("bigint").alias("base"),
-            F.least(F.lit(BLOCK_CHARS), F.length("_text") - F.col("_b") * BLOCK_CHARS).alias("body"),
+            F.least(F.lit(BLOCK_CHARS), size - F.col("_b") * BLOCK_CHARS).alias("body"),
             F.substring("_text", F.col("_b") * BLOCK_CHARS + 1, F.lit(BLOCK_CHARS + overhang)).alias(
                 "text"
             ),
@@ -271,41 +283,39 @@ def redact_large(
     )
     # One text holds at most as many hits as characters, so this list is bounded.
     hits = (
-        find_hits(blocks, keys, secrets, prefix_chars, max_prefixes)
-        .groupBy(*keys)
+        find_hits(blocks, key, secrets, prefix_chars, max_prefixes)
+        .groupBy(*key)
         .agg(F.sort_array(F.collect_list(F.struct("pos", "len"))).alias("_hits"))
     )
-    joined = df.join(hits, keys, "left")
+    hits = hits.select(F.struct(*key).alias("_text_key"), "_hits")
+    own = F.struct(*_text_key(df[text_col]))
+    joined = df.join(hits, own == hits["_text_key"], "left")
     zero = F.lit(0).cast("bigint")
-    rebuilt = _rebuild(F.col(text_col), zero, size, _kept(F.col("_hits"), zero))
-    return joined.withColumn(
-        text_col, F.when(F.col("_hits").isNull(), F.col(text_col)).otherwise(rebuilt)
-    ).select(*df.columns)
+    rebuilt = _rebuild(df[text_col], zero, F.length(df[text_col]), _kept(hits["_hits"], zero))
+    done = F.when(hits["_hits"].isNull(), df[text_col]).otherwise(rebuilt).alias(text_col)
+    return joined.select(*[done if c == text_col else df[c] for c in df.columns])
 
 
-def rechunk(
-    chunks: DataFrame,
-    size: int,
-    overhang: int = 0,
-    slice_rows: int = 4_096,
-) -> DataFrame:
+def rechunk(chunks: DataFrame, size: int, overhang: int = 0) -> DataFrame:
     """Cut each stream into blocks of *size* characters: ``(stream_id, block, body, text)``.
 
-    *chunks* is ``(stream_id, seq, chunk)`` with unique whole-number ``seq``.  A
-    block's *text* runs *overhang* characters (at most *size*) into the next
-    block.  Offsets are running totals over slices of *slice_rows* sequence
-    numbers; no stream is ever gathered whole.
+    *chunks* is ``(stream_id, seq, chunk)``; two chunks of a stream with the same
+    ``seq`` are an error.  A null ``stream_id`` is a stream of its own.  A block's
+    *text* runs *overhang* characters (at most *size*) into the next block.
+    Offsets are running totals over even slices of the data, however far apart the
+    numbers in ``seq`` are; no stream is ever gathered whole.
     """
     if overhang > size:
         raise ValueError("overhang must not exceed the block size")
-    placed = running_total(
-        chunks.where(F.length("chunk") > 0).select("stream_id", "seq", "chunk"),
-        ["stream_id"],
-        ["seq"],
-        F.length("chunk"),
-        "_end",
-        slice_by=F.call_function("div", F.col("seq").cast("bigint"), F.lit(slice_rows)),
-    ).withColumn("_off", F.col("_end") - F.length("chunk"))
+    # As a struct a null ID equals itself in every join below.
+    chunks = chunks.where(F.length("chunk") > 0).select(F.struct("stream_id").alias("stream_id"), "seq", "chunk")
+    lengths = chunks.select("stream_id", "seq", F.length("chunk").alias("_length"))
+    repeated = lengths.groupBy("stream_id", "seq").count().where("count > 1")
+    if not repeated.isEmpty():
+        raise ValueError("a stream has several chunks with the same seq")
+    ends = running_total(lengths, ["stream_id"], ["seq"], F.col("_length"), "_end")
+    placed = chunks.join(ends.select("stream_id", "seq", "_end"), ["stream_id", "seq"])
+    placed = placed.withColumn("_off", F.col("_end") - F.length("chunk"))
     div = lambda a: F.call_function("div", a, F.lit(size))
     spread = placed.select(
         "stream_id",
@@ -336,7 +346,7 @@ def rechunk(
         .agg(text.alias("text"))
         .where(F.length("text") > 0)
         .select(
-            "stream_id",
+            F.col("stream_id.stream_id").alias("stream_id"),
             "block",
             F.least(F.lit(size), F.length("text")).alias("body"),
             "text",
@@ -350,7 +360,6 @@ def redact_chunks(
     block_chars: int = BLOCK_CHARS,
     page_chars: int = 65_536,
     prefix_chars: Sequence[int] = PREFIX_CHARS,
-    slice_rows: int = 4_096,
 ) -> DataFrame:
     """Redact chunked streams, also secrets that straddle chunks.
 
@@ -361,7 +370,8 @@ def redact_chunks(
     secrets = cut_lineage(secrets)
     overhang = max(longest_secret(secrets) - 1, 0)
     size = max(block_chars, overhang + 1)
-    blocks = cut_lineage(rechunk(chunks, size, overhang, slice_rows))
+    cut = rechunk(chunks, size, overhang).withColumn("stream_id", F.struct("stream_id"))
+    blocks = cut_lineage(cut)
     key = ["stream_id", "block"]
     hits = cut_lineage(
         find_hits(blocks.withColumn("base", F.lit(0).cast("bigint")), key, secrets, prefix_chars)
@@ -373,11 +383,11 @@ def redact_chunks(
     carry = F.coalesce("carry", F.lit(0).cast("bigint"))
     kept = F.coalesce(_kept(F.col("hits"), carry), F.array().cast("array<struct<pos:bigint,len:int>>"))
     redacted = joined.select(
-        "stream_id",
+        F.col("stream_id.stream_id").alias("stream_id"),
         F.col("block").alias("seq"),
         _rebuild(F.col("text"), carry, F.col("body").cast("bigint"), kept).alias("chunk"),
     )
-    return rechunk(redacted, page_chars, 0, slice_rows).select(
+    return rechunk(redacted, page_chars).select(
         "stream_id", F.col("block").alias("page"), "text"
     )
 

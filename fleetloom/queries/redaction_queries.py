@@ -65,7 +65,7 @@ def secret_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     docs = docs.withColumn("original", F.col("text"))
-    done = ops.redact(docs, "text", document_secrets(spark, sf_dir), ["doc_id"])
+    done = ops.redact(docs, "text", document_secrets(spark, sf_dir))
     return done.select("doc_id", "text", (F.col("text") != F.col("original")).alias("changed"))
 
 
@@ -74,7 +74,7 @@ def redact_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The joined form, whatever the number of secrets."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     docs = docs.withColumn("original", F.col("text"))
-    done = ops.redact_large(docs, "text", document_secrets(spark, sf_dir), ["doc_id"])
+    done = ops.redact_large(docs, "text", document_secrets(spark, sf_dir))
     return done.select("doc_id", "text", (F.col("text") != F.col("original")).alias("changed"))
 
 

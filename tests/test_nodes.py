@@ -142,11 +142,20 @@ def test_running_total_matches_plain_window(spark):
     rows = [(rng.choice("ab"), i, rng.randint(0, 3)) for i in range(500)] + [(None, 1, 2), (None, 2, 5)]
     df = spark.createDataFrame(rows, "k string, i int, v int")
     plain = as_set(df.select("k", "i", F.expr("sum(v) over (partition by k order by i)")))
-    sliced = running_total(df, ["k"], ["i"], F.col("v"), "t", slice_by=F.expr("i div 7"))
-    assert as_set(sliced.select("k", "i", "t")) == plain
     assert as_set(running_total(df, ["k"], ["i"], F.col("v"), "t").select("k", "i", "t")) == plain
 
 
+def test_ranks_shuffle_rows_once(spark):
+    rows = [("hot" if i % 3 else None, f"h{i % 50}") for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, host string").repartition(5)
+    got = [(r.k, r.rn) for r in ordinals(df, ["k"], ["host"], "rn").collect()]
+    assert sorted(rn for k, rn in got if k is None) == list(range(1, 201))
+    assert sorted(rn for k, rn in got if k) == list(range(1, 401))
+    plan = ordinals(df, ["k"], ["host"], "rn")._jdf.queryExecution().executedPlan().toString()
+    # What comes after the range step are the checkpointed rows joined with a table of slices.
+    assert "rangepartitioning" not in plan and "Window" in plan
+
+
 def test_equal_rows_are_spread_too(spark):
     df = spark.createDataFrame([("hot", "same")] * 4000 + [("k", "a")], "k string, host string").repartition(3)
     ranked = ordinals(df, ["k"], ["host"], "rn")

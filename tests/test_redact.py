@@ -78,8 +78,8 @@ def test_cases_in_spark(spark, number):
     secrets, chunks, _, expected = CASES[number]
     known = ops.secret_set(table(spark, secrets))
     docs = spark.createDataFrame([(1, "".join(chunks))], "id int, t string")
-    assert ops.redact(docs, "t", known, ["id"]).first().t == expected
-    assert ops.redact_large(docs, "t", known, ["id"]).first().t == expected
+    assert ops.redact(docs, "t", known).first().t == expected
+    assert ops.redact_large(docs, "t", known).first().t == expected
 
 
 def random_world(seed, texts, length):
@@ -95,8 +95,8 @@ def test_both_forms_equal_the_scan(spark, prefix_chars, max_prefixes):
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
     known = table(spark, secrets)
     expected = {i: scan(text, secrets) for i, text in enumerate(texts)}
-    small = {r.id: r.t for r in ops.redact(docs, "t", known, ["id"]).collect()}
-    large = ops.redact_large(docs, "t", known, ["id"], prefix_chars, max_prefixes)
+    small = {r.id: r.t for r in ops.redact(docs, "t", known).collect()}
+    large = ops.redact_large(docs, "t", known, prefix_chars, max_prefixes)
     assert small == expected
     assert {r.id: r.t for r in large.collect()} == expected
 
@@ -107,13 +107,33 @@ def test_many_secrets_take_the_joined_form(spark, monkeypatch):
     known = table(spark, secrets)
     assert ops.bounded_secrets(known) is None
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
-    got = {r.id: r.t for r in ops.redact(docs, "t", known, ["id"]).collect()}
+    got = {r.id: r.t for r in ops.redact(docs, "t", known).collect()}
     assert got == {i: scan(text, secrets) for i, text in enumerate(texts)}
 
 
+def test_rows_with_missing_and_repeated_keys(spark):
+    texts = [(None, "x SECRETVALUE y"), (None, "aa SECRETVALUE"), (1, "SECRETVALUE"), (1, "a SECRETVALUE b"), (1, None), (2, "")]
+    docs = spark.createDataFrame([(k, t, k) for k, t in texts], "_text int, t string, _hits int")
+    known = table(spark, ["SECRETVALUE", "L" * 4000])
+    expected = sorted(((k, t and t.replace("SECRETVALUE", M)) for k, t in texts), key=repr)
+    for done in (ops.redact(docs, "t", known), ops.redact_large(docs, "t", known)):
+        assert done.columns == docs.columns
+        assert sorted(((r["_text"], r.t) for r in done.collect()), key=repr) == expected
+
+
+def test_chunks_of_odd_streams(spark):
+    far = 10**15
+    rows = [(None, 0, "x SECRET"), (None, far, "VALUE y"), ("s", 5, "SECRETV"), ("s", 10**12, "ALUE")]
+    log = spark.createDataFrame(rows, "stream_id string, seq long, chunk string")
+    done = ops.redact_chunks(log, table(spark, ["SECRETVALUE"]))
+    assert sorted(((r.stream_id, r.text) for r in done.collect()), key=repr) == sorted([(None, f"x {M} y"), ("s", M)], key=repr)
+    with pytest.raises(ValueError, match="same seq"):
+        ops.redact_chunks(log.union(log.limit(1)), table(spark, ["SECRETVALUE"]))
+
+
 def test_redaction_runs_without_python(spark):
     docs = spark.createDataFrame([(1, "a key")], "id int, t string")
-    plan = ops.redact(docs, "t", table(spark, ["key"]), ["id"])._jdf.queryExecution().executedPlan().toString()
+    plan = ops.redact(docs, "t", table(spark, ["key"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
 
 
@@ -144,12 +164,12 @@ def streams():
     return secrets, chunks, {name: text for name, text in expected.items() if text}
 
 
-@pytest.mark.parametrize("block, prefix, slice_rows", [(10, (1, 2), 3), (64, ops.PREFIX_CHARS, 1000)])
-def test_chunked_streams_equal_the_scan(spark, streams, block, prefix, slice_rows):
+@pytest.mark.parametrize("block, prefix", [(10, (1, 2)), (64, ops.PREFIX_CHARS)])
+def test_chunked_streams_equal_the_scan(spark, streams, block, prefix):
     secrets, chunks, expected = streams
     rows = [(name, seq, chunk) for name, parts in chunks.items() for seq, chunk in enumerate(parts)]
     log = spark.createDataFrame(rows, "stream_id string, seq long, chunk string").repartition(5)
-    done = ops.redact_chunks(log, table(spark, secrets), block, 50, prefix, slice_rows)
+    done = ops.redact_chunks(log, table(spark, secrets), block, 50, prefix)
     assert joined(done, "page") == expected
     assert max(len(r.text) for r in done.collect()) == 50
 
@@ -179,7 +199,7 @@ def test_secret_set(spark):
 def test_rechunk_keeps_the_text(spark):
     rows = [("s", i, "x" * (i % 4) + str(i)) for i in range(40)]
     log = spark.createDataFrame(rows, "stream_id string, seq long, chunk string")
-    blocks = ops.rechunk(log, 7, 3, 5).orderBy("block").collect()
+    blocks = ops.rechunk(log, 7, 3).orderBy("block").collect()
     whole = "".join(chunk for _, _, chunk in rows)
     assert [b.text for b in blocks] == [whole[i : i + 10] for i in range(0, len(whole), 7)]
     assert sum(b.body for b in blocks) == len(whole)
