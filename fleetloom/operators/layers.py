@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fleetloom.functions.columns import path_key
 from fleetloom.session import cut_lineage
 
+# Stands for a missing role; no role layer can name it.
+NO_ROLE = "\u0000"
+
 # Fixed order of scopes, lowest precedence first.
 SCOPES = ("base", "all", "role", "node")
 
@@ -185,6 +188,8 @@ def merged_settings(
     *document_keys* names further columns of both that keep documents apart.
     """
     extra = list(document_keys)
+    # A node without a role has the layers of its cluster, like every other.
+    nodes = nodes.withColumn("role", F.coalesce("role", F.lit(NO_ROLE)))
     wide, by_role, by_host = _by_reach(with_precedence(settings))
     group = ["cluster_name", "role"]
     node = ["cluster_name", "host", "role"]
@@ -213,4 +218,4 @@ def merged_settings(
         [*node, *extra],
         list_mode,
     )
-    return passed.select(*out).unionByName(remade.select(*out))
+    return passed.select(*out).unionByName(remade.select(*out)).withColumn("role", F.nullif("role", F.lit(NO_ROLE)))

@@ -45,6 +45,7 @@ def flatten_leaves(
     max_depth: int = 16,
     walk_lists: bool = True,
     directives: bool = False,
+    mark_deep: bool = False,
 ) -> DataFrame:
     """One row per leaf of a nested document: ``path ARRAY<STRING>, kind, value``.
 
@@ -54,7 +55,8 @@ def flatten_leaves(
     *walk_lists* list items become leaves with their index in the path;
     otherwise a list is one leaf.  With *directives* a map that holds
     ``$patch: delete`` becomes a leaf of kind ``delete``.  Documents deeper than
-    *max_depth* stop the job rather than lose leaves.
+    *max_depth* stop the job rather than lose leaves; with *mark_deep* what lies
+    deeper is one leaf of kind ``deep`` instead.
     """
     keep = [c for c in df.columns if c != variant_col]
     state = df.select(
@@ -71,12 +73,13 @@ def flatten_leaves(
             F.expr("coalesce(_child.value, _v)").alias("_v"),
         )
     # As a filter, the check runs whichever columns are read later.
-    whole = F.expr(
-        f"case when size({_children(walk_lists, directives)}) > 0"
-        f" then cast(raise_error('document deeper than {max_depth}') as boolean) else true end"
-    )
+    deeper = F.expr(f"coalesce(size({_children(walk_lists, directives)}) > 0, false)")
+    failed = F.raise_error(F.lit(f"document deeper than {max_depth}")).cast("boolean")
+    whole = F.lit(True) if mark_deep else F.when(deeper, failed).otherwise(F.lit(True))
     named = state.where(F.col("_v").isNotNull() & whole).withColumn("_k", _kind("_v"))
     kind = F.when(F.col("_k").isin("string", "scalar", "null"), F.col("_k"))
+    if mark_deep:
+        kind = kind.when(deeper, F.lit("deep"))
     if directives:
         kind = kind.when((F.col("_k") == "map") & F.expr(_IS_DELETE), F.lit("delete"))
     kind = kind.when(F.col("_k") == "map", F.lit("empty")).otherwise(F.lit("list"))
@@ -130,8 +133,9 @@ def value_at(
 def values_at(leaves: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Look up per-row paths ``(keys, path)`` in a leaf table."""
     on = [*keys, "path"]
-    side = leaves.select(*on, "value", F.lit(True).alias("_hit"))
-    return wanted.join(side, on, "left").select(
+    side = leaves.select(F.struct(*on).alias("_key"), "value", F.lit(True).alias("_hit"))
+    keyed = wanted.withColumn("_key", F.struct(*on))
+    return keyed.join(side, "_key", "left").select(
         *wanted.columns, F.coalesce("_hit", F.lit(False)).alias("found"), "value"
     )
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -31,10 +30,16 @@ DEFAULTS: Mapping[str, str] = {
 
 
 def filter_nodes(nodes: DataFrame, pattern: str = "") -> DataFrame:
-    """Nodes whose host contains a match of *pattern*; an empty pattern keeps all."""
+    """Nodes whose host contains a match of *pattern*; an empty pattern keeps all.
+
+    The pattern is tried at once by the engine that will run it.
+    """
     if not pattern:
         return nodes
-    re.compile(pattern)
+    try:
+        nodes.sparkSession.range(1).select(F.lit("").rlike(pattern)).first()
+    except Exception as problem:
+        raise ValueError(f"not a valid pattern: {pattern!r}") from problem
     return nodes.where(F.col("host").rlike(pattern))
 
 

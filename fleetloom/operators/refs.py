@@ -17,8 +17,13 @@ def content_id(text: Column | str) -> Column:
 def once_per_key(
     df: DataFrame, keys: Sequence[str], work: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
-    """Run *work* on the distinct keys only and join its columns back."""
-    return df.join(work(df.select(*keys).distinct()), list(keys), "left")
+    """Run *work* on the distinct keys only and join its columns back; null is a key too."""
+    done = work(df.select(*keys).distinct())
+    condition = F.lit(True)
+    for key in keys:
+        condition = condition & df[key].eqNullSafe(done[key])
+    added = [done[c] for c in done.columns if c not in keys]
+    return df.join(done, condition, "left").select(*[df[c] for c in df.columns], *added)
 
 
 def resolve_refs(
@@ -28,13 +33,16 @@ def resolve_refs(
 
     Adds ``resolved_id`` and ``error``.  Plain IDs pass through; they join on a
     key of their own row that no path can equal, so they do not pile up in one
-    task the way null keys would.
+    task the way null keys would.  A path that is defined twice in different ways
+    is an error of the nodes that refer to it.
     """
     ref = F.col(ref_col)
     is_path = F.coalesce(F.startswith(ref, F.lit("@")), F.lit(False))
     own_key = F.concat_ws("\u0000", F.lit(""), *[F.col(k).cast("string") for k in row_key])
-    ids = definitions.select(
-        F.col("path").alias("_path"), content_id("definition").alias("_id")
+    ids = (
+        definitions.select(F.col("path").alias("_path"), content_id("definition").alias("_id"))
+        .groupBy("_path")
+        .agg(F.min("_id").alias("_id"), (F.min("_id") != F.max("_id")).alias("_several"))
     )
     keyed = nodes.withColumn(
         "_path", F.when(is_path, F.substring(ref, F.lit(2), F.length(ref))).otherwise(own_key)
@@ -42,11 +50,13 @@ def resolve_refs(
     joined = keyed.join(ids, "_path", "left")
     return joined.select(
         *nodes.columns,
-        F.when(is_path, F.col("_id")).otherwise(ref).alias("resolved_id"),
+        F.when(is_path, F.when(~F.col("_several"), F.col("_id"))).otherwise(ref).alias("resolved_id"),
         F.when(
             is_path & F.col("_id").isNull(),
             F.concat(F.lit("definition not found: "), F.col("_path")),
-        ).alias("error"),
+        )
+        .when(is_path & F.col("_several"), F.concat(F.lit("several definitions: "), F.col("_path")))
+        .alias("error"),
     )
 
 

@@ -9,13 +9,16 @@ def config_drift(desired: DataFrame, current: DataFrame, keys: list[str]) -> Dat
     """Full outer comparison of two leaf tables ``(keys, path, value)``.
 
     ``change`` is added (only desired), removed (only current), changed or same.
+    Null keys are keys like others.
     """
     on = [*keys, "path"]
-    left = desired.select(*on, F.col("value").alias("desired"), F.lit(True).alias("_d"))
-    right = current.select(*on, F.col("value").alias("current"), F.lit(True).alias("_c"))
-    joined = left.join(right, on, "full")
+    # As one struct of keys, nulls equal each other.
+    key = F.struct(*on).alias("_key")
+    left = desired.select(key, F.col("value").alias("desired"), F.lit(True).alias("_d"))
+    right = current.select(key, F.col("value").alias("current"), F.lit(True).alias("_c"))
+    joined = left.join(right, "_key", "full")
     return joined.select(
-        *on,
+        *[F.col("_key")[name].alias(name) for name in on],
         "desired",
         "current",
         F.when(F.col("_c").isNull(), F.lit("added"))

@@ -46,9 +46,11 @@ def _bag(df: DataFrame, keys: list[str], prefix: str, out: str, max_depth: int)
     """Dotted leaves of the ``data`` document of each row; one document, one map."""
     leaves = flatten_leaves(df.select(*keys, "data"), "data", max_depth)
     named = F.concat(F.lit(prefix), F.array_join("path", "."))
-    entry = F.struct(named.alias("key"), F.coalesce("value", F.lit("")).alias("value"))
+    entry = F.struct(F.col("_name").alias("key"), F.coalesce("value", F.lit("")).alias("value"))
     held = leaves.where((F.size("path") > 0) & (F.col("kind") != "empty"))
-    return held.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias(out))
+    # A key with dots and a nested key can have the same name: the nested one counts.
+    once = held.groupBy(*keys, named.alias("_name")).agg(F.max_by("value", F.size("path")).alias("value"))
+    return once.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias(out))
 
 
 def template_context(nodes: DataFrame, clusters: DataFrame, max_depth: int = 8) -> DataFrame:
@@ -73,8 +75,8 @@ def template_context(nodes: DataFrame, clusters: DataFrame, max_depth: int = 8)
             F.coalesce("_node_bag", none),
         ).alias("_own"),
     )
-    return own.join(wide, "cluster_name").select(
-        *node_key, F.map_concat("_shared", "_own").alias("context")
+    return own.join(wide, "cluster_name", "left").select(
+        *node_key, F.map_concat(F.coalesce("_shared", none), "_own").alias("context")
     )
 
 
@@ -124,7 +126,7 @@ def render(
         keyed = parsed.withColumn("doc_kind", kind).withColumn(
             "doc_name", F.when(F.col("doc_kind") != "", name).otherwise(F.lit(""))
         )
-        return flatten_leaves(keyed, "body", max_depth, walk_lists=False, directives=True)
+        return flatten_leaves(keyed, "body", max_depth, walk_lists=False, directives=True, mark_deep=True)
 
     installer = with_installer(
         resolve_defaults(
@@ -140,20 +142,27 @@ def render(
         F.lit("string").alias("kind"),
         F.col("installer").alias("value"),
     )
-    own = with_precedence(
-        leaves(made).select(*installer.columns).unionByName(installer)
-    )
-    broken = F.col("error").isNotNull()
+    plain_leaves, made_leaves = cut_lineage(leaves(plain)), cut_lineage(leaves(made))
+    own = with_precedence(made_leaves.select(*installer.columns).unionByName(installer))
+    broken, deep = F.col("error").isNotNull(), F.col("kind") == "deep"
+    too_deep = F.lit(f"document deeper than {max_depth}").alias("error")
+    place = ["cluster_name", "scope", "scope_value", "layer_path"]
+    deep_plain = plain_leaves.where(deep).select(*place, too_deep).distinct()
+    deep_made = made_leaves.where(deep).select(*node_key, "layer_path", too_deep).distinct()
+    unlisted = nodes.join(clusters.select("cluster_name"), "cluster_name", "left_anti")
     errors = cut_lineage(
         resolved.where(F.col("_ref_error").isNotNull())
         .select(*node_key, F.col("_ref_error").alias("error"))
         .unionByName(_failures(applicable_layers(nodes, plain.where(broken))))
         .unionByName(_failures(filled.where(broken)))
         .unionByName(_failures(made.where(broken)))
+        .unionByName(_failures(applicable_layers(nodes, deep_plain)))
+        .unionByName(_failures(deep_made))
+        .unionByName(unlisted.select(*node_key, F.lit("cluster is not listed").alias("error")))
     )
     failed = errors.select(*node_key).distinct()
     healthy = nodes.join(failed, node_key, "left_anti")
-    settings = merged_settings(healthy, cut_lineage(leaves(plain)), list_mode, own, DOCUMENT_KEYS)
+    settings = merged_settings(healthy, plain_leaves, list_mode, own, DOCUMENT_KEYS)
     return settings, errors
 
 

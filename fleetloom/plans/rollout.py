@@ -45,7 +45,8 @@ def rollout_waves(processed: DataFrame, spec: Column | str, selected: Column | N
     *spec* is a text such as ``"5"`` or ``"25%"``, or a column holding one.
     *n* is resolved on every processed node of the cluster, also those that
     *selected* leaves out of the plan.  Positions come from range-partitioned
-    ordinals, so a cluster of any size is ranked by many tasks.
+    ordinals, so a cluster of any size is ranked by many tasks.  A *spec* that is
+    no positive integer or percentage is an error.
     """
     picked = F.lit(True) if selected is None else F.coalesce(selected, F.lit(False))
     nodes = processed.select(
@@ -57,7 +58,11 @@ def rollout_waves(processed: DataFrame, spec: Column | str, selected: Column | N
     )
     ranked = ordinals(nodes.where("_picked"), ["cluster_name", "_rank"], ["host"], "_rn")
     sized = ranked.join(totals, "cluster_name").withColumn(
-        "parallel", effective_parallel("_total", F.lit(spec))
+        "parallel",
+        F.coalesce(
+            effective_parallel("_total", F.lit(spec)),
+            F.raise_error(F.concat(F.lit("invalid concurrency: "), F.coalesce(F.lit(spec), F.lit("null")))).cast("bigint"),
+        ),
     )
     worker_wave = F.col("_leads") + 1 + F.call_function("div", F.col("_rn") - 1, F.col("parallel"))
     return sized.select(

@@ -142,7 +142,7 @@ def extract_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
         return orders.select(
             F.col("o_orderkey").alias("file"),
             F.posexplode(F.array(F.to_json(first), second)).alias("doc_index", "text"),
-        ).select("file", "doc_index", F.try_parse_json("text").alias("doc"))
+        ).select("file", "doc_index", documents.parse_whole("text").alias("doc"))
 
     def first(value):
         return F.struct(F.struct(value.alias("status")).alias("spec"), F.lit("plain").alias("other"))
@@ -380,21 +380,21 @@ def write_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
     WITH {FLEET_SQL}, placed AS (
-      SELECT *, (row_number() OVER (PARTITION BY cluster_name ORDER BY host) - 1) // 500 AS page FROM fleet)
-    SELECT n_name || '-' || page AS cluster_name, 'https://' || lower(n_name) || ':6443' AS cluster_endpoint,
+      SELECT * FROM fleet)
+    SELECT n_name AS cluster_name, 'https://' || lower(n_name) || ':6443' AS cluster_endpoint,
            host, role, ip, segment AS platform, acctbal < 0 AS secureboot
     FROM placed JOIN nation ON n_nationkey = cluster_name
     """
 )
 def load_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cluster documents of up to 500 nodes, written as text and loaded again."""
+    """Clusters written as text, in documents of up to 500 nodes under one name, and loaded again."""
     entry = F.struct("host", "ip", "role", F.col("segment").alias("platform"), (F.col("acctbal") < 0).alias("secureboot"))
     lists = pages(fleet(spark, sf_dir), ["cluster_name"], ["host"], entry, 500, "nodes")
     nation = table(spark, sf_dir, "nation")
     texts = lists.join(nation, F.col("cluster_name") == F.col("n_nationkey")).select(
         F.to_json(
             F.struct(
-                F.concat("n_name", F.lit("-"), "page").alias("clusterName"),
+                F.col("n_name").alias("clusterName"),
                 F.concat(F.lit("https://"), F.lower("n_name"), F.lit(":6443")).alias("clusterEndpoint"),
                 "nodes",
             )

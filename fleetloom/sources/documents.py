@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from fleetloom.functions.columns import ROLES
+from fleetloom.operators.nodes import rejection_reasons
 
 # File name pattern of a layer and key names of a cluster document.
 LAYER_FILE_PATTERN = r".*\.ya?ml(\.tpl)?"
@@ -108,11 +109,42 @@ def _decoded_path() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
+def _wrong(value: str, fields: list[T.StructField], prefix: str) -> str:
+    """Expression: names of the fields of a VARIANT object that do not have their type."""
+    checks = []
+    for field in fields:
+        kind = f"coalesce(schema_of_variant(try_variant_get({value}, '$.{field.name}', 'variant')), 'VOID')"
+        if isinstance(field.dataType, T.BooleanType):
+            fits = f"{kind} in ('BOOLEAN', 'VOID')"
+        elif isinstance(field.dataType, T.StringType):
+            fits = f"not startswith({kind}, 'OBJECT') and not startswith({kind}, 'ARRAY')"
+        else:
+            start = "ARRAY" if isinstance(field.dataType, T.ArrayType) else "OBJECT"
+            fits = f"(startswith({kind}, '{start}') or {kind} = 'VOID')"
+        checks.append(f"if({fits}, null, '{prefix}{field.name}')")
+    return f"array_compact(array({', '.join(checks)}))"
+
+
+def _mistyped() -> Column:
+    node = _wrong("n", _NODE.fields, "nodes.")
+    is_object = "startswith(schema_of_variant(n), 'OBJECT')"
+    nodes = f"transform(try_variant_get(_v, '$.nodes', 'array<variant>'), n -> if({is_object}, {node}, array('nodes')))"
+    return F.expr(f"array_distinct(concat({_wrong('_v', _CLUSTER.fields, '')}, coalesce(flatten({nodes}), array())))")
+
+
+def _bad_nodes() -> Column:
+    reasons = lambda n: F.array_join(rejection_reasons(n["role"], n["host"]), ", ")
+    found = F.filter(F.transform("c.nodes", reasons), lambda text: text != "")
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
 def parse_clusters(texts: DataFrame, encoding: str = "yaml") -> tuple[DataFrame, DataFrame]:
     """(clusters, nodes) from a table of documents ``(file, text)``.
 
     Schemas are fixed; ``data`` stays a VARIANT.  A document that cannot be
-    read or that uses a deprecated field stops the load.
+    read, has a field of the wrong type or a node without host or valid role, or uses a
+    deprecated field stops the load.  Unknown fields are ignored.  A cluster may be
+    spread over several documents of the same name; its settings are those of one of them.
     """
     if encoding == "yaml":
         documents = yaml_to_json(texts, "text").where(F.col("json").isNull() | (F.col("json") != "null"))
@@ -121,10 +153,14 @@ def parse_clusters(texts: DataFrame, encoding: str = "yaml") -> tuple[DataFrame,
     else:
         raise ValueError(f"encoding must be 'yaml' or 'json': {encoding!r}")
     parsed = documents.select(
-        "file", "error", F.from_json("json", _CLUSTER, {"mode": "PERMISSIVE"}).alias("c")
-    )
+        "file", "error", parse_whole("json").alias("_v"),
+        F.from_json("json", _CLUSTER, {"mode": "PERMISSIVE"}).alias("c"),
+    )
     problem = (
         F.when(F.col("error").isNotNull(), F.col("error"))
+        .when(F.col("_v").isNull(), F.lit("not one document"))
+        .when(F.size(_mistyped()) > 0, F.concat(F.lit("wrong type of "), F.array_join(_mistyped(), ", ")))
+        .when(F.size(_bad_nodes()) > 0, F.concat(F.lit("bad node: "), F.array_join(_bad_nodes(), "; ")))
         .when(F.col("c").isNull() | F.col("c.clusterName").isNull(), F.lit("not a cluster document"))
         .when(F.coalesce(F.col(f"c.{DEPRECATED_FIELD}"), F.lit("")) != "", F.lit(f"deprecated field {DEPRECATED_FIELD}"))
     )
@@ -140,7 +176,7 @@ def parse_clusters(texts: DataFrame, encoding: str = "yaml") -> tuple[DataFrame,
         *settings,
         F.coalesce("c.secureboot", F.lit(False)).alias("secureboot"),
         F.col("c.data").alias("data"),
-    )
+    ).dropDuplicates(["cluster_name"])
     node = checked.select("cluster_name", F.explode("c.nodes").alias("n"))
     nodes = node.select(
         "cluster_name",
@@ -196,11 +232,38 @@ def discover_layers(spark: SparkSession, root: str) -> DataFrame:
     return classify_layer_paths(texts.withColumn("file", inside), "file")
 
 
+#: Lines between documents: ``---`` or ``...``, with blanks or a comment behind it.
+SEPARATOR = r"(?m)^(?:---|\.\.\.)(?:[ \t]+#.*|[ \t]*)$"
+
+
+def _whole(body: str) -> str:
+    """Expression of the VARIANT of a JSON text; null if anything follows its first value.
+
+    The parser stops behind one value.  Here the text is followed by its own hash
+    inside a list, and only a text that is one value leaves that hash in second place.
+    """
+    held = f"try_parse_json(concat('[', {body}, ',\"', md5({body}), '\"]'))"
+    return (
+        f"transform(array({held}), v -> if(try_variant_get(v, '$[1]', 'string') = md5({body}),"
+        " try_variant_get(v, '$[0]', 'variant'), null))[0]"
+    )
+
+
+def parse_whole(text_col: str) -> Column:
+    """VARIANT of a text column that holds exactly one JSON value; null for any other text."""
+    return F.expr(_whole(f"`{text_col}`"))
+
+
 def _judged(bodies: str) -> Column:
-    """Array of ``(kind, body)`` for the array *bodies* of JSON document texts."""
+    """Array of ``(kind, body)`` for the array *bodies* of JSON document texts.
+
+    Blank and comment lines before and behind a document do not belong to it.
+    """
+    lines = r"'^(?:[ \t]*(?:#.*)?(?:\r?\n|$))+|(?:\r?\n[ \t]*(?:#.*)?)+$'"
+    trimmed = f"transform({bodies}, body -> regexp_replace(body, r{lines}, ''))"
     opened = (
-        rf"transform({bodies}, body -> struct(body, trim(regexp_replace(body, r'(?m)^\s*#.*$|\s+', '')) as bare,"
-        " coalesce(schema_of_variant(try_parse_json(body)), '') as type))"
+        rf"transform({trimmed}, body -> struct(body, regexp_replace(body, r'\s+', '') as bare,"
+        f" coalesce(schema_of_variant({_whole('body')}), '') as type))"
     )
     kind = """case when d.bare in ('', 'null', '{}') then 'skip'
         when d.type = '' then 'undecodable'
@@ -225,12 +288,13 @@ def _numbered(df: DataFrame, documents: Column, keep: list[str]) -> DataFrame:
 def split_documents(df: DataFrame, text_col: str) -> DataFrame:
     """Mapping documents of multi-document JSON texts: ``doc_index, body, error``.
 
-    Documents are separated by ``---`` lines.  Blank, comment-only and empty ones
-    are skipped and not counted.  A text with a list, a scalar or an unreadable
-    document gives one error row and none of its documents.  Row by row, in the JVM.
+    Documents are separated by ``---`` or ``...`` lines, which may end in a comment.
+    Blank, comment-only and empty ones are skipped and not counted.  A text with a
+    list, a scalar or an unreadable document, or with anything behind a document,
+    gives one error row and none of its documents.  Row by row, in the JVM.
     """
     keep = [c for c in df.columns if c != text_col]
-    parts = df.withColumn("_parts", F.split(text_col, r"(?m)^---[ \t]*$"))
+    parts = df.withColumn("_parts", F.split(text_col, SEPARATOR))
     return _numbered(parts, _judged("_parts"), keep)
 
 

@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+HOST_SLICES = 64
+
+
 def write_by_host(
     rendered: DataFrame, directory: str, per_host_files: bool = False
 ) -> tuple[str, str]:
-    """Write good rows to ``directory/configs`` and failed ones to ``directory/errors``.
+    """Write good rows to ``outcome=configs`` and failed ones to ``outcome=errors`` below *directory*.
 
-    A failed row never holds up the others.  By default files are split by
-    cluster and sorted by host, so one host is found by file statistics;
-    *per_host_files* adds a folder per host, which suits small fleets only.
-    Hosts are spread by range, so a cluster of any size is written by many tasks.
+    A failed row never holds up the others, and the input is computed once for
+    both.  Files are split by cluster and sorted by host; *per_host_files* adds a
+    folder per host, which suits small fleets only.  Hosts of a cluster are dealt
+    into slices by hash, so a cluster of any size is written by many tasks.
     """
-    good, bad = f"{directory}/configs", f"{directory}/errors"
-    columns = ["cluster_name", "host"]
-    placed = rendered.where(F.col("error").isNull()).drop("error").repartitionByRange(*columns)
-    folders = columns if per_host_files else columns[:1]
-    placed.sortWithinPartitions(*columns).write.partitionBy(*folders).parquet(good)
-    rendered.where(F.col("error").isNotNull()).select(*columns, "error").write.parquet(bad)
-    return good, bad
+    outcome = F.when(F.col("error").isNull(), F.lit("configs")).otherwise(F.lit("errors"))
+    folders = ["outcome", "cluster_name", *(["host"] if per_host_files else [])]
+    piece = F.pmod(F.xxhash64("host"), F.lit(HOST_SLICES))
+    placed = rendered.withColumn("outcome", outcome).repartition("outcome", "cluster_name", piece)
+    placed.sortWithinPartitions(*folders, "host").write.partitionBy(*folders).parquet(directory)
+    return f"{directory}/outcome=configs", f"{directory}/outcome=errors"

@@ -198,5 +198,5 @@ def test_write_by_host(spark, tmp_path, per_host):
         ("a", "h1", "x"),
         ("a", "h2", "y"),
     }
-    assert [tuple(r) for r in spark.read.parquet(bad).collect()] == [("b", "h1", "broken")]
+    assert [(r.cluster_name, r.host, r.error) for r in spark.read.parquet(bad).collect()] == [("b", "h1", "broken")]
     assert os.path.isdir(os.path.join(good, "cluster_name=a", "host=h1")) == per_host
