@@ -26,6 +26,8 @@ _STATE = "spark.sql.streaming.stateStore"
 _SETTINGS = {
     f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{_STATE}.rocksdb.changelogCheckpointing.enabled": "true",
+    # Without it each store takes megabytes of disk before it holds anything.
+    f"{_STATE}.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -102,16 +104,19 @@ def deduplicate(
     state = update_state(spark, path, progress or shared_path(spark, "dedup-progress"), digest)
     state = stored(state, "dedup-state")
     files = _marked(spark.read.parquet(path), digest)
-    several = state.where("size > 1")
-    if fits_broadcast(several.count(), 256):
-        several = F.broadcast(several)
-    members = files.join(several, "digest")
-    collided = stored(_differing(members).select("digest").distinct(), "collisions")
-    rows = files.select("doc_id", "digest", "place", F.sha2("body", 256).alias("text_sha256"))
+    rows = stored(files.select("doc_id", "digest", "place", F.sha2("body", 256).alias("text_sha256")), "digests")
     found = rows.join(state, "digest")
+    # Rows with a hit, by their place: only their texts are looked at again, once.
+    hits = found.where("size > 1").select("place.file", "place.row", "digest", "keeper", "size")
+    hits = stored(hits, "hits")
+    hits = F.broadcast(hits) if fits_broadcast(hits.count(), 384) else hits
+    located = files.select("body", "place", F.col("place.file").alias("file"), F.col("place.row").alias("row"))
+    members = stored(located.join(hits, ["file", "row"]).drop("file", "row"), "members")
+    collided = stored(_differing(members).select("digest").distinct(), "collisions")
     if not collided.isEmpty():
         # Digests shared by different texts: these groups are made by the whole text.
         same = members.drop("keeper", "size").join(collided, "digest", "left_semi")
+        same = same.withColumn("doc_id", F.col("place.doc_id"))
         exact = same.groupBy("digest", "body").agg(F.min("place").alias("keeper"), F.count("*").alias("size"))
         split = same.join(exact, ["digest", "body"])
         split = split.select("digest", "doc_id", "place", F.sha2("body", 256).alias("text_sha256"), "keeper", "size")
