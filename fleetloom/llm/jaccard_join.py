@@ -26,8 +26,12 @@ from fleetloom.llm.shared import fits_broadcast, stored
 CELLS, SPARE = 2, 1
 #: Ways to cut the domain that are tried until a set fills its cells.
 CUTS = 3
-#: Groups of at most so many sets are compared pair by pair, larger ones from a centre.
-SMALL_GROUP = 8
+#: Nodes of a group in a slice; two slices are compared in one task.
+SLICE = 2048
+#: Pairs of two components that a block may have compared in the second round.
+MORE_PAIRS = 32
+#: Parts in which elements are counted to rule out pairs before they are compared.
+PARTS = 512
 #: Longest group whose list is compared with other groups' lists before it is passed on.
 LISTED = 4096
 _ONE = np.uint64(1)
@@ -244,72 +248,118 @@ class JaccardJoin:
         ordered = signed.repartition(self.parts, "sig").sortWithinPartitions("sig", "node")
         return ordered.mapInArrow(_members, "grp long, node long").distinct()
 
-    def sets(self, nodes: DataFrame) -> DataFrame:
-        """``(node, elements)`` of the nodes asked for, made from one row of each."""
+    def _of_nodes(self, nodes: DataFrame, extract, kinds: str) -> DataFrame:
+        """``(node, ...)``: *extract* of the sets of the nodes asked for, made from one row of each."""
         size = self.size
         chosen = self.rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")).join(nodes, "node")
         chosen = stored(chosen.select("row.doc_id", "row.text_hash"), "chosen-rows")
+        rows_of = self.rows.select("doc_id", "text_hash").join(chosen, ["doc_id", "text_hash"])
+        repeated = not rows_of.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
         chosen = F.broadcast(chosen) if fits_broadcast(chosen.count(), 16) else chosen
         same = self.docs["doc_id"].eqNullSafe(chosen["doc_id"]) & (self.docs["text_hash"] == chosen["text_hash"])
 
-        def list_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for piece in T.pieces(batch, "body"):
                     text, value = shingles(piece, size)
                     count, first, _ = _digests(text, value, piece.num_rows)
-                    bounds = pa.array(np.r_[0, np.cumsum(count)], pa.int32())
-                    elements = pa.ListArray.from_arrays(bounds, pa.array(value.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), elements], ["node", "elements"])
+                    columns = {"node": pa.array(first.view(np.int64))} | extract(text, value, count)
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+        found = self.docs.join(chosen, same, "left_semi").select("body").mapInArrow(apply, f"node long, {kinds}")
+        return found.dropDuplicates(["node"]) if repeated else found
+
+    def profiles(self, nodes: DataFrame) -> DataFrame:
+        """``(node, size, profile)``: how many elements of a set fall into each of ``PARTS`` parts."""
+
+        def count_parts(text, value, count):
+            part = (value >> np.uint64(20)).astype(np.int64) % PARTS
+            found = np.bincount(text * PARTS + part, minlength=len(count) * PARTS).reshape(len(count), PARTS)
+            # A part with too many elements for a byte makes the profile useless: null, and never ruled out.
+            rows = [None if row.max() > 255 else row.astype(np.uint8).tobytes() for row in found]
+            return {"size": pa.array(count, pa.int64()), "profile": pa.array(rows, pa.binary())}
+
+        return self._of_nodes(nodes, count_parts, "size long, profile binary")
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """``(node, elements)`` of the nodes asked for."""
+
+        def list_elements(text, value, count):
+            bounds = pa.array(np.r_[0, np.cumsum(count)], pa.int32())
+            return {"elements": pa.ListArray.from_arrays(bounds, pa.array(value.view(np.int64)))}
 
-        listed = self.docs.join(chosen, same, "left_semi").select("body").mapInArrow(list_elements, "node long, elements array<long>")
-        return listed.dropDuplicates(["node"])
+        return self._of_nodes(nodes, list_elements, "elements array<long>")
 
     def _linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Of ``pairs(a, b)`` those that are similar enough, compared element by element."""
         left = sets.select(F.col("node").alias("a"), F.col("elements").alias("_a"))
         right = sets.select(F.col("node").alias("b"), F.col("elements").alias("_b"))
         common = F.size(F.array_intersect("_a", "_b"))
-        both = pairs.join(left, "a").join(right, "b")
         union = F.size("_a") + F.size("_b") - common
+        both = pairs.join(left, "a").join(right, "b")
         return both.where(self.den * common >= self.num * union).select("a", "b")
 
+    def _possible(self, members: DataFrame, profiles: DataFrame, limit: int | None) -> DataFrame:
+        """Pairs ``(a, b)`` of ``members(grp, node, root)`` in different components that may be linked.
+
+        Groups are compared in blocks of two slices.  Only pairs that sizes and profiles
+        do not rule out leave a task, and of those at most *limit* for two components
+        of a block; with a *limit* of 0, just enough to tie the block's components together.
+        """
+        num, den = self.num, self.den
+        slices = F.ceil(F.col("members") / SLICE).cast("int")
+        sized = members.join(members.groupBy("grp").agg(F.count("*").alias("members")), "grp")
+        own = F.pmod(F.xxhash64("node"), slices).cast("int").alias("slice")
+        dealt = sized.select("grp", "node", "root", own, F.explode(F.sequence(F.lit(0), slices - 1)).alias("other"))
+        block = F.struct(F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"))
+        rows = dealt.select("grp", block.alias("block"), "node", "root", "slice").join(profiles, "node")
+        flat = rows.select("grp", "block.i", "block.j", "node", "root", "slice", "size", "profile")
+        ordered = flat.repartition(self.parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "node")
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            waiting = None
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                table = (table if waiting is None else pa.concat_tables([waiting, table])).combine_chunks()
+                keys = np.stack([table.column(c).to_numpy() for c in ("grp", "i", "j")])
+                starts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+                waiting = table.slice(int(starts[-1]))
+                yield from _compared(table, starts, num, den, limit)
+            if waiting is not None:
+                yield from _compared(waiting, np.array([0, waiting.num_rows]), num, den, limit)
+
+        return ordered.mapInArrow(compare, "a long, b long").distinct()
+
     def links(self) -> DataFrame:
         """Links ``(a, b)`` that connect all that is connected.
 
-        Small groups are compared pair by pair.  A larger group is compared with its
-        centre, the node that is in most groups; nodes of it that are then still in
-        different components are compared with further centres until there are none, so
-        no link between components is missed and no group is expanded into all pairs.
+        In each round pairs of different components are compared, first just enough
+        of them to tie each group together, then more, until no pair is left that
+        profiles allow and that is not compared yet.  So no link between components is
+        missed, and groups of near copies, which soon are one component, are not
+        expanded into all pairs.
         """
         groups = stored(self.groups(), "groups")
-        degree = groups.groupBy("node").agg(F.count("*").alias("degree"))
-        sizes = groups.groupBy("grp").agg(F.count("*").alias("members"))
-        sets = stored(self.sets(degree.select("node")), "sets")
-        small = groups.join(sizes.where(F.col("members") <= SMALL_GROUP), "grp").select("grp", "node")
-        pairs = (
-            small.select("grp", F.col("node").alias("a"))
-            .join(small.select("grp", F.col("node").alias("b")), "grp")
-            .where("a < b")
-            .select("a", "b")
-        )
-        large = stored(groups.join(sizes.where(F.col("members") > SMALL_GROUP), "grp").select("grp", "node").join(degree, "node"), "large-groups")
-        centre = large.groupBy("grp").agg(F.max(F.struct("degree", "node")).alias("top")).select("grp", F.col("top.node").alias("centre"))
-        pairs = pairs.unionByName(_star(large, centre))
-        links = stored(self._linked(pairs.distinct(), sets), "links")
-        large = stored(large.join(centre, "grp").where("node <> centre").select("grp", "node"), "large-groups")
-        while not large.isEmpty():
-            roots = components(links)
-            placed = large.join(roots, "node", "left").select("grp", "node", F.coalesce("root", "node").alias("root"))
-            open_ = placed.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-            placed = stored(placed.join(open_.select("grp"), "grp"), "open-groups")
-            rarest = placed.groupBy("grp", "root").agg(F.count("*").alias("members"), F.min("node").alias("node"))
-            centre = rarest.groupBy("grp").agg(F.min(F.struct("members", "node", "root")).alias("top"))
-            centre = stored(centre.select("grp", F.col("top.node").alias("centre"), F.col("top.root").alias("own")), "centres")
-            pairs = _star(placed.join(centre.select("grp", "own"), "grp").where("root <> own"), centre.drop("own"))
-            more = self._linked(pairs.distinct(), sets)
-            links = stored(links.unionByName(more), "links")
-            large = stored(placed.join(centre, "grp").where("node <> centre").select("grp", "node"), "large-groups")
-        return links
+        nodes = groups.select("node").distinct()
+        profiles = stored(self.profiles(nodes), "profiles")
+        tested = stored(self._possible(groups.withColumn("root", F.col("node")), profiles, 0), "tested")
+        some = stored(tested.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+        # Whoever may be linked with anything is in a pair by now; all others need no more looks.
+        groups = stored(groups.join(some, "node").select("grp", "node"), "groups")
+        profiles = profiles.join(some, "node")
+        sets = stored(self.sets(some), "sets")
+        links = stored(self._linked(tested, sets), "links")
+        limit: int | None = MORE_PAIRS
+        while True:
+            placed = groups.join(components(links), "node", "left").select("grp", "node", F.coalesce("root", "node").alias("root"))
+            apart = placed.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+            placed = stored(placed.join(apart.select("grp"), "grp"), "open-groups")
+            pairs = stored(self._possible(placed, profiles, limit).join(tested, ["a", "b"], "left_anti"), "pairs")
+            if limit is None and pairs.isEmpty():
+                return links
+            links = stored(links.unionByName(self._linked(pairs, sets)), "links")
+            tested = stored(tested.unionByName(pairs), "tested")
+            limit = None
 
     def classes(self) -> DataFrame:
         """``doc_id``, ``text_hash``, ``n_shingles`` of each row, its class, and the class's smallest ID."""
@@ -327,9 +377,64 @@ class JaccardJoin:
         return found.unionByName(alone)
 
 
-def _star(members: DataFrame, centre: DataFrame) -> DataFrame:
-    pairs = members.join(centre, "grp").where("node <> centre")
-    return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+def _compared(table: pa.Table, starts: np.ndarray, num: int, den: int, limit: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs of each block (rows from one start to the next) that may be linked."""
+    node, root, piece, size = (table.column(c).to_numpy() for c in ("node", "root", "slice", "size"))
+    profile = table.column("profile")
+    blank = bytes(PARTS)
+    counts = np.frombuffer(b"".join(x or blank for x in profile.to_pylist()), np.uint8).reshape(-1, PARTS)
+    sure = profile.is_null().to_numpy(zero_copy_only=False)
+    crossing = table.column("i").to_numpy() != table.column("j").to_numpy()
+    found_a, found_b = [], []
+    for start, stop in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        first, second = [], []
+        for i in range(start, stop - 1):
+            j = np.arange(i + 1, stop)
+            fits = (root[j] != root[i]) & (np.minimum(size[j], size[i]) * den >= np.maximum(size[j], size[i]) * num)
+            if crossing[start]:
+                fits &= piece[j] != piece[i]
+            j = j[fits]
+            if len(j):
+                common = np.minimum(counts[j], counts[i]).sum(axis=1, dtype=np.int64)
+                j = j[sure[j] | sure[i] | (den * common >= num * (size[j] + size[i] - common))]
+                first.append(np.full(len(j), i))
+                second.append(j)
+        if first:
+            a, b = np.concatenate(first), np.concatenate(second)
+            chosen = _chosen(root[a], root[b], limit)
+            found_a.append(np.minimum(node[a[chosen]], node[b[chosen]]))
+            found_b.append(np.maximum(node[a[chosen]], node[b[chosen]]))
+    if found_a:
+        pairs = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+
+def _chosen(first: np.ndarray, second: np.ndarray, limit: int | None) -> np.ndarray:
+    """Which edges to test: all, some for each two roots, or (0) a forest over the roots."""
+    if limit is None:
+        return np.arange(len(first))
+    if limit:
+        low, high = np.minimum(first, second), np.maximum(first, second)
+        order = np.lexsort((high, low))
+        new = np.r_[True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])]
+        begins = np.flatnonzero(new)
+        place = np.arange(len(order)) - begins[np.cumsum(new) - 1]
+        return order[place < limit]
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
+    chosen = []
+    for at, (x, y) in enumerate(zip(first.tolist(), second.tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            above[max(x, y)] = min(x, y)
+            chosen.append(at)
+    return np.array(chosen, np.int64)
 
 
 def near_duplicates(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
