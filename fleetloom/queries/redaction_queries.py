@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fleetloom.operators import redact as ops
 from fleetloom.queries.registry import query, table
 from fleetloom.session import spread
-from fleetloom.streaming.redaction import redact_stream as redact_live
+from fleetloom.streaming.redaction import live_secrets, redact_stream as redact_live
 from fleetloom.streaming.replay import replay
 
 TOKEN = r'token = "([^"]+)"'
@@ -92,16 +92,9 @@ def redact_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_REDACTED_CHUNKS_SQL)
 def redact_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as a live stream whose user turns arrive first.
-
-    Secrets beyond the size of one pattern go through the batch operator, which
-    gives the same text.
-    """
-    secrets = conversation_secrets(spark, sf_dir)
-    values = ops.bounded_secrets(secrets)
+    """Conversations as a live stream whose user turns arrive first."""
+    values = live_secrets(conversation_secrets(spark, sf_dir))
     chunks = _chunks(spark, sf_dir)
-    if values is None:
-        return ops.redact_chunks(chunks.drop("role"), secrets, page_chars=PAGE)
     ends = chunks.groupBy("stream_id").agg(F.max("seq").alias("_end"))
     live = chunks.join(ends, "stream_id").select(
         "stream_id", "seq", "chunk", (F.col("seq") == F.col("_end")).alias("last"), "role"

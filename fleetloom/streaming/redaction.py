@@ -7,9 +7,12 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from fleetloom.operators.redact import MARKER, secret_pattern
+from fleetloom.operators.redact import MARKER, MAX_PATTERN_CHARS, MAX_PATTERN_SECRETS, secret_pattern
+
+#: Characters of secrets that every task of a live stream may hold.
+MAX_LIVE_CHARS = 64 << 20
 
 _STATE = "next_seq long, part long, tail string, last_seq long, seqs array<long>, chunks array<string>"
 
@@ -17,14 +20,34 @@ _STATE = "next_seq long, part long, tail string, last_seq long, seqs array<long>
 class Masker:
     """Replaces secrets in a text that is still growing.
 
-    Text that as a whole may yet become a longer secret is held back.
+    Text that as a whole may yet become a longer secret is held back.  Up to the
+    size of one pattern, secrets are found by it; more of them by their first
+    characters and a set.  Both find the longest secret at the first place that has one.
     """
 
-    def __init__(self, secrets: Sequence[str]):
+    def __init__(self, secrets: Sequence[str], pattern_secrets: int = MAX_PATTERN_SECRETS):
         self.words = sorted({s for s in secrets if s})
         self.longest = max(map(len, self.words), default=0)
-        pattern = secret_pattern(self.words)
-        self.find = re.compile(pattern).search if pattern else (lambda text, pos: None)
+        small = len(self.words) <= pattern_secrets and sum(map(len, self.words)) <= MAX_PATTERN_CHARS
+        pattern = secret_pattern(self.words) if small else ""
+        if pattern:
+            search = re.compile(pattern).search
+            self.find = lambda text, pos: (m.span() if (m := search(text, pos)) else None)
+            return
+        self.known = set(self.words)
+        lengths: dict[str, set[int]] = {}
+        for word in self.words:
+            lengths.setdefault(word[:2], set()).add(len(word))
+        self.lengths = {start: sorted(some, reverse=True) for start, some in lengths.items()}
+        self.find = self._look_up
+
+    def _look_up(self, text: str, pos: int) -> tuple[int, int] | None:
+        for at in range(pos, len(text)):
+            for start in (text[at : at + 2], text[at]):
+                for size in self.lengths.get(start, ()):
+                    if text[at : at + size] in self.known:
+                        return at, at + size
+        return None
 
     def may_grow(self, text: str) -> bool:
         """Is *text* the beginning of a longer secret?"""
@@ -34,50 +57,71 @@ class Masker:
     def drain(self, text: str, flush: bool) -> tuple[str, str]:
         """(text that can be shown now, text to hold back)."""
         out, pos = [], 0
+        # Places from which the rest of the text may become a longer secret, found once.
+        tail = () if flush else range(max(0, len(text) - self.longest + 1), len(text))
+        growing = [p for p in tail if self.may_grow(text[p:])]
         while pos < len(text):
             match = self.find(text, pos)
-            stop = match.start() if match else len(text)
-            if not flush:
-                first = max(pos, len(text) - self.longest + 1)
-                last = min(stop, len(text) - 1)
-                held = next((p for p in range(first, last + 1) if self.may_grow(text[p:])), None)
-                if held is not None:
-                    out.append(text[pos:held])
-                    return "".join(out), text[held:]
+            stop = match[0] if match else len(text)
+            held = next((p for p in growing if pos <= p <= stop), None)
+            if held is not None:
+                out.append(text[pos:held])
+                return "".join(out), text[held:]
             out.append(text[pos:stop])
             if match:
                 out.append(MARKER)
-            pos = match.end() if match else len(text)
+            pos = match[1] if match else len(text)
         return "".join(out), ""
 
 
+def live_secrets(secrets: DataFrame, limit: int = MAX_LIVE_CHARS) -> list[str]:
+    """The values of a secret table for :func:`redact_stream`; more than *limit* characters are an error."""
+    size = secrets.agg(F.coalesce(F.sum(F.length("secret")), F.lit(0))).first()[0]
+    if size > limit:
+        raise ValueError(f"{size} characters of secrets are more than a live stream can hold: {limit}")
+    return [row["secret"] for row in secrets.select("secret").collect()]
+
+
 def redact_stream(chunks: DataFrame, secrets: Sequence[str], idle_ms: int | None = None) -> DataFrame:
-    """Redact ``(stream_id, seq, chunk, last)`` as it arrives: ``(stream_id, part, text)``.
+    """Redact ``(stream_id, seq, chunk, last)`` as it arrives: ``(stream_id, part, text, late)``.
 
     Parts in order spell the redacted stream.  Chunks count from 0 and may come
     out of order; a gap is waited for.  The chunk marked *last* closes the stream
-    and flushes it, and so does silence of *idle_ms* when given.  *secrets* is a
-    list as returned by ``bounded_secrets``; a table too large for that is for
-    ``redact_chunks`` over the closed streams.  The state holds the gap chunks and
-    less than one secret of text.
+    and flushes it, and so does silence of *idle_ms* when given: then gaps are
+    passed over.  A chunk that comes after that is not lost: it is redacted by itself
+    and given out with *late* set.  A stream closed by silence is forgotten after
+    the same time again.  Such a stream needs a trigger that goes on: Spark runs empty
+    batches for timers of this kind without end.  *secrets* is a list as returned by :func:`live_secrets`.
+    The state holds the gap chunks and less than one secret of text.
     """
-    words = list(secrets)
+    words = chunks.sparkSession.sparkContext.broadcast(list(secrets))
     maskers: list[Masker] = []
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if not maskers:
-            maskers.append(Masker(words))
+            maskers.append(Masker(words.value))
         next_seq, part, tail, last_seq, seqs, texts = (
             state.get if state.exists else (0, 0, "", -1, [], [])
         )
         waiting = {int(seq): text for seq, text in zip(seqs, texts)}
-        closing = state.hasTimedOut
+        closing, closed, late = state.hasTimedOut, part < 0, []
+        if closing and closed:
+            state.remove()
+            return
         for frame in () if closing else frames:
             for seq, chunk, last in zip(frame["seq"], frame["chunk"], frame["last"]):
-                if seq >= next_seq:
+                if closed or seq < next_seq:
+                    late.append(maskers[0].drain(chunk or "", True)[0])
+                else:
                     waiting[int(seq)] = chunk or ""
                 if last:
                     last_seq = int(seq)
+        if late:
+            yield pd.DataFrame({"stream_id": [key[0]] * len(late), "part": [max(part, -part)] * len(late), "text": late, "late": True})
+        if closed:
+            state.update((next_seq, part, "", -1, [], []))
+            state.setTimeoutDuration(idle_ms)
+            return
         arrived = [tail]
         if closing:
             arrived += [waiting[seq] for seq in sorted(waiting)]
@@ -90,19 +134,22 @@ def redact_stream(chunks: DataFrame, secrets: Sequence[str], idle_ms: int | None
         closing = closing or ended
         shown, tail = maskers[0].drain("".join(arrived), closing)
         if shown:
-            yield pd.DataFrame({"stream_id": [key[0]], "part": [part], "text": [shown]})
+            yield pd.DataFrame({"stream_id": [key[0]], "part": [part], "text": [shown], "late": False})
             part += 1
         if ended:
             state.remove()
             return
+        if closing:
+            # A negative part marks a stream that silence has closed.
+            part = min(-part, -1)
         state.update((next_seq, part, tail, last_seq, list(waiting), list(waiting.values())))
-        if idle_ms is not None and not closing:
+        if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
 
     id_type = chunks.schema["stream_id"].dataType.simpleString()
     return chunks.groupBy("stream_id").applyInPandasWithState(
         step,
-        f"stream_id {id_type}, part long, text string",
+        f"stream_id {id_type}, part long, text string, late boolean",
         _STATE,
         "append",
         "NoTimeout" if idle_ms is None else "ProcessingTimeTimeout",

@@ -41,7 +41,11 @@ def _stable_start(ts: np.ndarray, bad: np.ndarray, began: int, quiet: int) -> tu
 
 
 def stable_stream(
-    events: DataFrame, quiet_seconds: int, deadline_seconds: int, delay_seconds: int = 60
+    events: DataFrame,
+    quiet_seconds: int,
+    deadline_seconds: int,
+    delay_seconds: int = 60,
+    forget_seconds: int | None = None,
 ) -> DataFrame:
     """Streaming form of ``first_stable``: one row per node, when it is decided.
 
@@ -50,7 +54,9 @@ def stable_stream(
     its node less the delay, passes it.  So disorder within the delay changes
     nothing; later rows are dropped and counted by Spark.  A timer makes silence
     count.  The rows of one node in a trigger share a task: bound them with the
-    source's ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``.
+    source's ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``.  A decided node that
+    is silent for *forget_seconds* of event time leaves the state; if it comes back
+    after that, a new wait begins.  Without it decided nodes are kept.
     """
     quiet, limit = quiet_seconds * 1_000_000, deadline_seconds * 1_000_000
     delay = delay_seconds * 1_000_000
@@ -59,6 +65,7 @@ def stable_stream(
         t0, began, done, ts, ids, bad = state.get if state.exists else (-1, -1, False, [], [], [])
         rows = [f for f in frames if len(f)] if not state.hasTimedOut else []
         if done:
+            _keep_or_forget(state, (t0, -1, True, [], [], []), [_micros(f["ts"]) for f in rows], forget_seconds)
             return
         ts, ids, bad = (np.array(ts, "int64"), np.array(ids, "int64"), np.array(bad, bool))
         for frame in rows:
@@ -81,7 +88,7 @@ def stable_stream(
         elif start >= 0 or t0 + limit <= now:
             result = ("timeout", t0 + limit)
         if result is not None:
-            state.update((t0, -1, True, [], [], []))
+            _keep_or_forget(state, (t0, -1, True, [], [], []), [ts], forget_seconds)
             yield pd.DataFrame(
                 {"node": [key[0]], "outcome": [result[0]], "at": [pd.Timestamp(result[1], unit="us")]}
             )
@@ -105,16 +112,34 @@ def stable_stream(
     )
 
 
-def retry_stream(attempts: DataFrame, budget_seconds: int, delay_seconds: int = 60) -> DataFrame:
+def _keep_or_forget(state, value: tuple, times: list[np.ndarray], forget_seconds: int | None) -> None:
+    """Keep a decided key, and remove it when it has been silent long enough."""
+    if forget_seconds is None:
+        state.update(value)
+    elif state.hasTimedOut and state.exists and not any(map(len, times)) and state.get[2]:
+        state.remove()
+    else:
+        last = max([int(t.max()) for t in times if len(t)], default=0) // 1000
+        mark = state.getCurrentWatermarkMs()
+        state.update(value)
+        state.setTimeoutTimestamp(max(last, mark) + forget_seconds * 1000 + 1)
+
+
+def retry_stream(
+    attempts: DataFrame, budget_seconds: int, delay_seconds: int = 60, forget_seconds: int | None = None
+) -> DataFrame:
     """Streaming form of ``retry_outcome`` over ``(key, ts TIMESTAMP, ok)``.
 
-    The state is two timestamps, so a key may have any number of attempts.
+    The state is two timestamps, so a key may have any number of attempts.  Decided
+    keys are forgotten as in :func:`stable_stream`.
     """
     budget = budget_seconds * 1_000_000
 
     def decide(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         t0, hit, done = state.get if state.exists else (-1, -1, False)
         if done:
+            times = [_micros(f["ts"]) for f in frames] if not state.hasTimedOut else []
+            _keep_or_forget(state, (t0, hit, True), times, forget_seconds)
             return
         for frame in frames if not state.hasTimedOut else ():
             ts = _micros(frame["ts"])
@@ -126,7 +151,7 @@ def retry_stream(attempts: DataFrame, budget_seconds: int, delay_seconds: int =
         now = state.getCurrentWatermarkMs() * 1000
         in_time = 0 <= hit <= t0 + budget
         if (in_time and hit <= now) or t0 + budget <= now:
-            state.update((t0, hit, True))
+            _keep_or_forget(state, (t0, hit, True), [np.array([t0], "int64")], forget_seconds)
             outcome, at = ("success", hit) if in_time else ("gave up", t0 + budget)
             yield pd.DataFrame(
                 {"key": [key[0]], "outcome": [outcome], "at": [pd.Timestamp(at, unit="us")]}

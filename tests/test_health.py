@@ -183,6 +183,21 @@ def test_stable_stream_equals_batch(spark, seed, pieces):
     assert decided.where("node is not null").count() == len(got)
 
 
+def test_decided_keys_leave_the_state(spark, tmp_path):
+    rows = [(f"k{i}", at(i), False) for i in range(20)]
+    attempts = spark.createDataFrame(rows, "key string, ts timestamp, ok boolean")
+    beats = [spark.createDataFrame([("beat", at(t), True)], attempts.schema) for t in (500, 5000, 9000)]
+    source, progress = str(tmp_path / "source"), str(tmp_path / "log")
+    sizes = []
+    for part in (attempts, *beats):
+        part.write.mode("append").parquet(source)
+        stream = stability.retry_stream(spark.readStream.schema(attempts.schema).parquet(source), 10, 5, forget_seconds=100)
+        writer = stream.writeStream.format("noop").option("checkpointLocation", progress).trigger(availableNow=True)
+        writer.start().awaitTermination()
+        sizes.append(spark.read.format("statestore").load(progress).count())
+    assert sizes[0] == 20 and sizes[-1] <= 1
+
+
 def test_stage_and_retry(spark):
     events = spark.createDataFrame(
         [("a", at(0), "booting"), ("a", at(5), "maintenance"), ("a", at(9), "maintenance"), ("b", at(0), "booting"), ("c", at(0), "x"), ("c", at(11), "maintenance")],

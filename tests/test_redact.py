@@ -1,11 +1,13 @@
 """Every redaction form against a direct left-to-right, longest-first scan."""
 
+import os
 import random
+import time
 
 import pytest
 
 from fleetloom.operators import redact as ops
-from fleetloom.streaming.redaction import Masker, redact_stream
+from fleetloom.streaming.redaction import Masker, live_secrets, redact_stream
 from fleetloom.streaming.replay import replay
 
 M = ops.MARKER
@@ -191,6 +193,56 @@ def test_live_stream_equals_the_scan(spark, streams, seed):
     assert joined(parts, "part") == expected
 
 
+def test_more_secrets_than_a_pattern_holds():
+    rng = random.Random(8)
+    for _ in range(300):
+        secrets = ["".join(rng.choices("ab", k=rng.randint(1, 6))) for _ in range(rng.randint(1, 8))]
+        text = "".join(rng.choices("abc", k=rng.randint(0, 30)))
+        masker, shown, tail = Masker(secrets, pattern_secrets=0), "", ""
+        for piece in cut(rng, text, 4):
+            part, tail = masker.drain(tail + piece, flush=False)
+            shown += part
+        assert shown + masker.drain(tail, flush=True)[0] == scan(text, secrets)
+
+
+def test_many_live_secrets(spark):
+    secrets = [f"secret-{i:05d}" for i in range(2500)]
+    rows = [("s", 0, "a secret-0", False), ("s", 1, "0042 and secret-02499", True)]
+    log = spark.createDataFrame(rows, "stream_id string, seq long, chunk string, last boolean")
+    values = live_secrets(table(spark, secrets))
+    parts = replay([log], lambda stream: redact_stream(stream, values), "many-secrets")
+    assert joined(parts, "part") == {"s": f"a {M} and {M}"}
+    with pytest.raises(ValueError, match="more than a live stream"):
+        live_secrets(table(spark, secrets), 100)
+
+
+def test_idle_streams_close_and_report_late_chunks(spark, tmp_path):
+    schema = "stream_id string, seq long, chunk string, last boolean"
+    source, sink = str(tmp_path / "source"), str(tmp_path / "sink")
+    spark.createDataFrame([("s", 0, "zero ", False), ("s", 2, "two ", False)], schema).write.parquet(source)
+    stream = redact_stream(spark.readStream.schema(schema).parquet(source), ["key"], idle_ms=1500)
+    writer = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", str(tmp_path / "log"))
+    running = writer.start()
+
+    def rows():
+        return spark.read.schema(stream.schema).parquet(sink).collect() if os.path.isdir(sink) else []
+
+    try:
+        for _ in range(100):
+            if "two" in "".join(r.text for r in rows()):
+                break
+            time.sleep(0.3)
+        spark.createDataFrame([("s", 1, "key one ", False)], schema).write.mode("append").parquet(source)
+        for _ in range(100):
+            if "one" in "".join(r.text for r in rows()):
+                break
+            time.sleep(0.3)
+    finally:
+        running.stop()
+    assert "".join(r.text for r in sorted(rows(), key=lambda r: r.part) if not r.late).startswith("zero two ")
+    assert f"{M} one " in [r.text for r in rows()]
+
+
 def test_secret_set(spark):
     got = ops.secret_set(table(spark, ["a", "", "b"]), table(spark, ["b", None, "c"], "other"))
     assert sorted(r.secret for r in got.collect()) == ["a", "b", "c"]
