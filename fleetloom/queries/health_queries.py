@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetloom.functions.columns import version_gte
+from fleetloom.functions.columns import is_encrypted, version_gte
 from fleetloom.operators import health
-from fleetloom.plans import drift, rollout
+from fleetloom.plans import chains, drift, rollout
 from fleetloom.queries.registry import FLEET_SQL, fleet, query, table
 
 DAY = 86_400
@@ -442,3 +442,88 @@ def upgrade_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_status(spark, sf_dir).select(
         "cluster_name", "host", "running_version", version_gte("running_version", "1.13.7").alias("lifecycle")
     )
+
+
+@query(
+    f"""
+    WITH {FLEET_SQL}, n AS (
+      SELECT f.*, n_regionkey, acctbal >= 0 AS good, custkey % 7 = 0 AS pinned,
+             'v1.' || (12 + n_regionkey % 2) || '.0' AS base_version FROM fleet f JOIN nation ON n_nationkey = cluster_name),
+    wanted AS (
+      SELECT *, CASE WHEN pinned THEN '1.11.5' ELSE substr(base_version, 2) END AS desired FROM n WHERE good),
+    totals AS (SELECT cluster_name, count(*) AS total,
+        count(*) FILTER (role = 'control-plane' AND desired <> '1.12.0') AS leads FROM wanted GROUP BY 1),
+    ranked AS (
+      SELECT cluster_name, host, role, row_number() OVER (PARTITION BY cluster_name, role ORDER BY host) AS rn
+      FROM wanted WHERE desired <> '1.12.0')
+    SELECT r.cluster_name, host,
+           CASE WHEN role = 'control-plane' THEN rn
+                ELSE leads + 1 + (rn - 1) // greatest((total * 20 + 99) // 100, 1) END AS wave,
+           CAST(NULL AS VARCHAR) AS problem
+    FROM ranked r JOIN totals t ON t.cluster_name = r.cluster_name
+    UNION ALL
+    SELECT cluster_name, host, NULL, 'stage is not running: booting' FROM n WHERE NOT good
+    """
+)
+def upgrade_rollout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Check, merge of the installer, plan and waves; nodes that fail the check are problems."""
+    nodes = fleet(spark, sf_dir)
+    nation = table(spark, sf_dir, "nation")
+
+    def layer(df: DataFrame, scope: str, value, image) -> DataFrame:
+        return df.select(
+            "cluster_name",
+            F.lit(scope).alias("scope"),
+            value.cast("string").alias("scope_value"),
+            F.lit("10-install.yaml").alias("layer_path"),
+            F.lit(0).alias("doc_index"),
+            F.array(F.lit("machine"), F.lit("install"), F.lit("image")).alias("path"),
+            F.lit("string").alias("kind"),
+            image.alias("value"),
+        )
+
+    shared = F.concat(F.lit("factory/metal-installer/abc:v1."), 12 + F.col("n_regionkey") % 2, F.lit(".0"))
+    clusters = nation.withColumn("cluster_name", F.col("n_nationkey"))
+    settings = layer(clusters, "all", F.lit(None), shared).unionByName(
+        layer(nodes.where("custkey % 7 = 0"), "node", F.col("host"), F.lit("factory/metal-installer/abc:v1.11.5"))
+    )
+    status = nodes.select(
+        "cluster_name",
+        "host",
+        F.when(F.col("acctbal") >= 0, F.lit("running")).otherwise(F.lit("booting")).alias("stage"),
+        F.lit(None).cast("string").alias("error"),
+        F.lit("1.12.0").alias("running_version"),
+        F.lit("abc").alias("running_schematic"),
+    )
+    waves, problems = chains.upgrade_rollout(nodes.select("cluster_name", "host", "role"), settings, status, "20%")
+    return waves.select("cluster_name", "host", "wave").unionByName(problems, allowMissingColumns=True)
+
+
+@query(
+    """
+    SELECT o_orderkey, path, change, desired, current FROM (
+      SELECT o_orderkey, 'token' AS path, 'changed' AS change, 'key=' || '*** redacted ***' AS desired, 'key=old' AS current
+      FROM orders WHERE o_orderstatus = 'F'
+      UNION ALL
+      SELECT o_orderkey, 'priority', 'added', CASE WHEN o_orderpriority > '3' THEN '*** redacted ***' ELSE o_orderpriority END,
+             NULL
+      FROM orders WHERE o_orderstatus = 'O')
+    """
+)
+def redacted_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift of order settings; decrypted priorities above 3 and tokens are secrets."""
+    orders = table(spark, sf_dir, "orders")
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    leaf = lambda path, value, when: orders.where(when).select(
+        "o_orderkey", F.lit(path).alias("path"), value.alias("value")
+    )
+    token = F.concat(F.lit("key=s3cr3t-"), F.col("o_orderkey") % 5)
+    desired = leaf("token", token, status == "F").unionByName(leaf("priority", priority, status == "O"))
+    current = leaf("token", F.lit("key=old"), status == "F").unionByName(leaf("state", status, F.lit(False)))
+    secret = F.filter(F.array(F.concat(F.lit("s3cr3t-"), F.col("o_orderkey") % 5), F.when(priority > "3", priority)), lambda v: v.isNotNull())
+    sealed = F.transform(secret, lambda v: F.concat(F.lit("ENC["), F.sha2(v, 256), F.lit("]")))
+    document = lambda values: orders.select(
+        F.col("o_orderkey").alias("file"), F.lit(0).alias("doc_index"), F.parse_json(F.to_json(F.struct(values.alias("v")))).alias("doc")
+    )
+    found = chains.redacted_drift(desired, current, ["o_orderkey"], document(sealed), document(secret), is_encrypted)
+    return found.select("o_orderkey", "path", "change", "desired", "current")
