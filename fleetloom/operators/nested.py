@@ -140,6 +140,33 @@ def values_at(leaves: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> Data
     )
 
 
+def values_at_paths(
+    df: DataFrame, variant_col: str, path_col: str, max_depth: int = 16, out: str = "value"
+) -> DataFrame:
+    """Add ``found`` and the value at each row's own path, an array of keys and indices as text.
+
+    Only the containers on the path are opened, row by row in the JVM; nothing is
+    exploded or joined.  Missing keys, indices out of range, containers of the wrong kind and
+    paths longer than *max_depth* are "not found".
+    """
+    held = df.withColumn("_v", F.col(variant_col))
+    for depth in range(max_depth):
+        step = F.get(path_col, F.lit(depth))
+        number = step.try_cast("int")
+        index = F.when((number >= 0) & (number.cast("string") == step), number)
+        inner = F.coalesce(
+            F.try_element_at(F.try_variant_get("_v", "$", "map<string,variant>"), step),
+            F.get(F.try_variant_get("_v", "$", "array<variant>"), index),
+        )
+        held = held.withColumn("_v", F.when(F.size(path_col) > depth, inner).otherwise(F.col("_v")))
+    held = held.withColumn("_v", F.when(F.size(path_col) <= max_depth, F.col("_v")))
+    text = F.coalesce(
+        F.when(_kind("_v") == "string", F.try_variant_get("_v", "$", "string")),
+        F.when(~F.is_variant_null("_v"), F.to_json("_v")),
+    )
+    return held.withColumns({"found": F.col("_v").isNotNull(), out: text}).drop("_v")
+
+
 def extract_changed(
     before: DataFrame,
     after: DataFrame,

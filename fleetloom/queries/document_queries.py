@@ -103,9 +103,9 @@ def values_at_row_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.split(F.lit("tags.1.v"), "\\."))
         .alias("path"),
     )
-    leaves = nested.flatten_leaves(_order_documents(spark, sf_dir), "doc", max_depth=4)
-    found = nested.values_at(leaves, wanted, ["o_orderkey"])
-    return found.withColumn("path", F.array_join("path", "."))
+    asked = wanted.join(_order_documents(spark, sf_dir), "o_orderkey")
+    found = nested.values_at_paths(asked, "doc", "path", max_depth=4)
+    return found.select("o_orderkey", F.array_join("path", ".").alias("path"), "found", "value")
 
 
 @query(

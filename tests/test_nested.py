@@ -121,3 +121,24 @@ def test_fill_templates(spark, template, text, failed):
     df = spark.createDataFrame([(template, context)], "t string, c map<string,string>")
     row = templates.fill_templates(df, "t", "c").first()
     assert (row.text, row.error is not None) == (text, failed)
+
+
+def test_values_at_own_paths(spark):
+    doc = '{"a": {"1": "key", "b": [10, {"c": null}], "e": {}}, "s": "text"}'
+    wanted = {
+        ("a", "1"): (True, "key"),
+        ("a", "b", "0"): (True, "10"),
+        ("a", "b", "00"): (False, None),
+        ("a", "b", "1", "c"): (True, None),
+        ("a", "b", "2"): (False, None),
+        ("a", "b", "x"): (False, None),
+        ("s",): (True, "text"),
+        ("s", "x"): (False, None),
+        ("a", "e"): (True, "{}"),
+        ("gone",): (False, None),
+    }
+    rows = spark.createDataFrame([(doc, list(path)) for path in wanted], "t string, path array<string>")
+    docs = rows.select("path", F.parse_json("t").alias("doc"))
+    found = nested.values_at_paths(docs, "doc", "path", 5).collect()
+    assert {tuple(r.path): (r.found, r.value) for r in found} == wanted
+    assert not any(r.found for r in nested.values_at_paths(docs, "doc", "path", 1).collect() if len(r.path) > 1)
