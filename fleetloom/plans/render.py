@@ -143,7 +143,7 @@ def render(
         F.col("installer").alias("value"),
     )
     plain_leaves, made_leaves = cut_lineage(leaves(plain)), cut_lineage(leaves(made))
-    own = with_precedence(made_leaves.select(*installer.columns).unionByName(installer))
+    own = with_precedence(made_leaves.select(*installer.columns))
     broken, deep = F.col("error").isNotNull(), F.col("kind") == "deep"
     too_deep = F.lit(f"document deeper than {max_depth}").alias("error")
     place = ["cluster_name", "scope", "scope_value", "layer_path"]
@@ -163,7 +163,25 @@ def render(
     failed = errors.select(*node_key).distinct()
     healthy = nodes.join(failed, node_key, "left_anti")
     settings = merged_settings(healthy, plain_leaves, list_mode, own, DOCUMENT_KEYS)
-    return settings, errors
+    # The installer is the lowest layer: it stands wherever no layer says anything there. Added
+    # to the merged rows, it does not make every node one with layers of its own.
+    said = applicable_layers(healthy, plain_leaves.where(_at_installer()).select(*place).distinct())
+    said = said.select(*node_key).unionByName(made_leaves.where(_at_installer()).select(*node_key)).distinct()
+    standing = with_precedence(healthy.select(*node_key, "role").join(installer, node_key).join(said, node_key, "left_anti"))
+    return settings.unionByName(standing.select(*settings.columns)), errors
+
+
+def _at_installer() -> Column:
+    """Leaves of the main document that decide about the installer setting.
+
+    Such are leaves at its path, at a path above it that are no empty map, and below it.
+    """
+    target = F.array(*map(F.lit, INSTALLER_PATH))
+    depth = len(INSTALLER_PATH)
+    shorter = F.slice(target, F.lit(1), F.least(F.size("path"), F.lit(depth)))
+    meets = F.slice("path", 1, depth) == shorter
+    above = (F.size("path") < depth) & (F.col("kind") == "empty")
+    return (F.col("doc_kind") == "") & meets & ~above
 
 
 def _chosen_ids(nodes: DataFrame, clusters: DataFrame) -> DataFrame:
