@@ -200,3 +200,82 @@ def test_write_by_host(spark, tmp_path, per_host):
     }
     assert [(r.cluster_name, r.host, r.error) for r in spark.read.parquet(bad).collect()] == [("b", "h1", "broken")]
     assert os.path.isdir(os.path.join(good, "cluster_name=a", "host=h1")) == per_host
+
+
+def test_render_loses_nobody(spark):
+    none = "CAST(NULL AS STRING)"
+    clusters = spark.sql(
+        f"SELECT 'c' AS cluster_name, 'https://c' AS cluster_endpoint, '1.34' AS kubernetes_version, {none} AS talos_version,"
+        f" 'id' AS schematic_id, {none} AS factory, {none} AS platform, false AS secureboot, parse_json('{{}}') AS data"
+    )
+    rows = [("c", "n1", "worker"), ("c", "n2", None), ("x", "n3", "worker"), ("c", "n4", "worker"), ("c", "n5", "worker")]
+    nodes = spark.createDataFrame(rows, "cluster_name string, host string, role string").selectExpr(
+        "*", f"{none} AS ip", f"{none} AS talos_version", f"{none} AS schematic_id", f"{none} AS factory", f"{none} AS platform",
+        "false AS secureboot", """parse_json('{"a.b": 1, "a": {"b": 2}}') AS data""",
+    )
+    deep = '{"a": {"b": {"c": {"d": {"e": 1}}}}}'
+    layers = [
+        ("c", "all", None, "10.yaml", '{"k": 1}'),
+        ("c", "role", "worker", "20.yaml", '{"w": 1}'),
+        ("c", "all", None, "30.yaml.tpl", '{"v": "{{ .Node.Data.a.b }}"}'),
+        ("c", "node", "n4", "40.yaml", deep),
+        ("c", "node", "n5", "40.yaml", '{"machine": {"install": {"$patch": "delete"}}}'),
+    ]
+    files = spark.createDataFrame(layers, "cluster_name string, scope string, scope_value string, layer_path string, text string")
+    definitions = spark.createDataFrame([], "path string, definition string")
+    settings, errors = render(nodes, clusters, files, definitions, "v1.13.0", encoding="json", max_depth=4)
+    got = {}
+    for r in settings.collect():
+        got.setdefault((r.host, r.role), {})[".".join(r.path)] = r.value
+    image = got["n1", "worker"].pop("machine.install.image")
+    assert image.endswith("/id:v1.13.0")
+    assert got == {
+        ("n1", "worker"): {"k": "1", "w": "1", "v": "2"},
+        ("n2", None): {"k": "1", "v": "2", "machine.install.image": image},
+        ("n5", "worker"): {"k": "1", "w": "1", "v": "2"},
+    }
+    assert sorted((r.host, r.error) for r in errors.collect()) == [
+        ("n3", "cluster is not listed"),
+        ("n4", "40.yaml: document deeper than 4"),
+    ]
+
+
+def test_documents_are_whole_or_an_error(spark):
+    good = '{"a": 1}'
+    texts = {
+        good: [good],
+        f"{good}\n--- # note\n{good}": [good, good],
+        f"{good}\n...\n{good}\n": [good, good],
+        f"# about\n\n{good}\n# end": [good],
+        f"{good} {good}": "undecodable",
+        f"{good} garbage": "undecodable",
+        f"{good}] junk": "undecodable",
+        f"{good}, {good}": "undecodable",
+        "# only a comment": [],
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("text AS origin", "text")
+    found = {t: [] for t in texts}
+    for r in documents.split_documents(df, "text").orderBy("doc_index").collect():
+        if r.error:
+            found[r.origin] = r.error
+        else:
+            found[r.origin].append(r.body)
+    assert found == texts
+
+
+def test_mistyped_clusters_stop_the_load(spark):
+    node = '{"host": "h", "role": "worker"}'
+    fine = f'{{"clusterName": "c", "nodes": [{node}], "unknown": 1}}'
+    for bad, why in (
+        ('{"clusterName": "c", "secureboot": "yes"}', "wrong type of secureboot"),
+        ('{"clusterName": "c", "nodes": {"host": "x"}}', "wrong type of nodes"),
+        ('{"clusterName": "c", "nodes": [{"host": "", "role": "worker"}]}', "host is empty"),
+        ('{"clusterName": "c", "nodes": [{"host": "h", "role": "bogus"}]}', "bad node"),
+        (fine + " {}", "not one document"),
+    ):
+        texts = spark.createDataFrame([("f", bad)], "file string, text string")
+        with pytest.raises(Exception, match=why):
+            documents.parse_clusters(texts, "json")[0].collect()
+    texts = spark.createDataFrame([("f", fine), ("g", fine)], "file string, text string")
+    clusters, loaded = documents.parse_clusters(texts, "json")
+    assert clusters.count() == 1 and loaded.count() == 2
