@@ -22,10 +22,10 @@ from fleetloom.llm import text as T
 from fleetloom.llm.components import components
 from fleetloom.llm.shared import fits_broadcast, stored
 
-#: Second-level cells of a partition, and how many of them may differ.
+#: Second-level cells of a partition, and how many of them may differ; a subset is one cell.
 CELLS, SPARE = 2, 1
 #: Ways to cut the domain that are tried until a set fills its cells.
-CUTS = 3
+CUTS = 5
 #: Nodes of a group in a slice; two slices are compared in one task.
 SLICE = 2048
 #: Pairs of two components that a block may have compared in the second round.
@@ -75,28 +75,40 @@ def bands(num: int, den: int, largest: int = 1 << 40) -> tuple[np.ndarray, np.nd
     return uppers, 2 * uppers * (den - num) // (den + num)
 
 
-def _partitions(differ: np.ndarray) -> np.ndarray:
-    """First-level partitions: one more than can hold over SPARE differences, and one for cells left empty."""
-    needed = differ // (SPARE + 1) + 1
-    return needed + (needed >= 8)
+def _partitions(upper: np.ndarray, differ: np.ndarray, num: int, den: int) -> np.ndarray:
+    """First-level partitions of each band.
+
+    There must be more cells than elements can differ, and beyond that as many as the
+    smallest sets that use the band can be expected to leave empty.
+    """
+    least = upper * (num / den) ** 2
+    spare = np.zeros(len(upper))
+    for _ in range(3):
+        cells = differ + 1 + spare
+        empty = cells * np.exp(-least / cells)
+        spare = np.minimum(np.ceil(empty + 2 * np.sqrt(empty)), (differ + 1) // 3)
+    return np.ceil((differ + 1 + spare) / CELLS).astype(np.int64)
 
 
 def signatures(text: np.ndarray, value: np.ndarray, texts: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Text number and signature for the sets given by (text, value), in each set's band and the next.
 
     A subset of cells without elements is no signature, as it would join all sets that
-    lack them.  A set too many of whose partitions have such a subset is cut in
-    another way as well; one that stays so in all ways has signatures for empty subsets too.
+    lack them.  If one of two similar sets has fewer empty cells than agree beyond one, the
+    two agree on a filled one.  A set with more is cut in another way as well; one
+    that has too many in all ways has signatures for empty subsets too.
     """
     uppers, differ = bands(num, den)
+    partitions = _partitions(uppers, differ, num, den)
     sizes = np.bincount(text, minlength=texts)
     own = np.searchsorted(uppers, sizes)
     out_text, out_value = [], []
     for step in (0, 1):
         band = own + step
         exact = differ[band] == 0
-        parts = np.where(exact, 1, _partitions(differ[band]))
-        spare = np.where(exact, 0, parts - differ[band] // (SPARE + 1) - 1)
+        parts = np.where(exact, 1, partitions[band])
+        # So many cells agree beyond one; as many may be empty in both sets.
+        spare = parts * CELLS - differ[band] - 1
         todo = sizes > 0
         for cut in range(CUTS):
             mine = todo[text]
@@ -117,7 +129,7 @@ def signatures(text: np.ndarray, value: np.ndarray, texts: int, num: int, den: i
             index = (np.arange(total) - starts[owner]).astype(np.uint64)
             subsets = list(combinations(range(CELLS), CELLS - SPARE))
             some = np.stack([filled[:, s].any(axis=1) for s in subsets])
-            lacking = np.bincount(owner, ~some.all(axis=0), minlength=texts)
+            lacking = np.bincount(owner, CELLS - filled.sum(axis=1), minlength=texts)
             poor = todo & ~exact & (lacking > spare)
             for number, subset in enumerate(subsets):
                 given = some[number].copy()

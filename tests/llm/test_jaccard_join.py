@@ -90,6 +90,15 @@ def test_similar_sets_share_a_signature(num):
             assert shared or 100 * common < num * union
 
 
+def test_slices_rounds_and_long_groups(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SLICE", 5)
+    monkeypatch.setattr(jaccard_join, "MORE_PAIRS", 1)
+    monkeypatch.setattr(jaccard_join, "LISTED", 4)
+    rows = near_copies(6)
+    found = jaccard_join.near_duplicates(frame(spark, rows), 4, 85, 100)
+    assert result(found, "doc_id", "n_shingles", "component_id") == brute(rows, 4, 85, 100)
+
+
 def test_components(spark):
     draw = random.Random(2)
     links = [(draw.randrange(300), draw.randrange(300)) for _ in range(140)] + [(i, i + 1) for i in range(1000, 1060)]
