@@ -20,6 +20,8 @@ from fleetloom.session import shared_path
 
 #: Bytes of files that one micro-batch reads; bounds the memory and the work that is lost with it.
 BATCH_BYTES = 256 << 20
+#: Bytes of hit places that are sent to every executor; beyond them they are joined.
+PLACES_BYTES = 64 << 20
 #: Rows of one group that are compared in one task.
 GROUP_SLICE = 512
 _STATE = "spark.sql.streaming.stateStore"
@@ -109,8 +111,12 @@ def deduplicate(
     # Rows with a hit, by their place: only their texts are looked at again, once.
     hits = found.where("size > 1").select("place.file", "place.row", "digest", "keeper", "size")
     hits = stored(hits, "hits")
-    hits = F.broadcast(hits) if fits_broadcast(hits.count(), 384) else hits
+    # Sixteen bytes a hit pick the rows whose texts are shuffled; all others stay where they are.
+    at = F.xxhash64("file", "row")
+    places = hits.select(at.alias("at"))
+    places = F.broadcast(places) if fits_broadcast(places.count(), 16, PLACES_BYTES) else places
     located = files.select("body", "place", F.col("place.file").alias("file"), F.col("place.row").alias("row"))
+    located = located.withColumn("at", at).join(places, "at", "left_semi").drop("at")
     members = stored(located.join(hits, ["file", "row"]).drop("file", "row"), "members")
     collided = stored(_differing(members).select("digest").distinct(), "collisions")
     if not collided.isEmpty():
