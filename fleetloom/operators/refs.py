@@ -19,11 +19,11 @@ def once_per_key(
 ) -> DataFrame:
     """Run *work* on the distinct keys only and join its columns back; null is a key too."""
     done = work(df.select(*keys).distinct())
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & df[key].eqNullSafe(done[key])
-    added = [done[c] for c in done.columns if c not in keys]
-    return df.join(done, condition, "left").select(*[df[c] for c in df.columns], *added)
+    added = [c for c in done.columns if c not in keys]
+    # As one struct of keys, nulls equal each other.
+    done = done.select(F.struct(*keys).alias("_once_key"), *added)
+    keyed = df.withColumn("_once_key", F.struct(*keys))
+    return keyed.join(done, "_once_key", "left").select(*df.columns, *added)
 
 
 def resolve_refs(

@@ -180,6 +180,12 @@ def test_refs(spark):
     assert as_set(refs.missing_definitions(nodes, definitions, "ref")) == {("gone",)}
 
 
+def test_a_null_key_has_its_result(spark):
+    rows = spark.createDataFrame([("a", 1), (None, 2), (None, 3)], "k string, v int")
+    done = refs.once_per_key(rows, ["k"], lambda keys: keys.withColumn("r", F.coalesce("k", F.lit("none"))))
+    assert sorted((r.v, r.r) for r in done.collect()) == [(1, "a"), (2, "none"), (3, "none")]
+
+
 def test_costly_work_runs_once_per_key(spark):
     calls = spark.sparkContext.accumulator(0)
 
