@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that a task works on at a time; one longer text is taken alone.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _SHIFT = np.uint64(29)
