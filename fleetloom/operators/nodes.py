@@ -157,7 +157,7 @@ def first_reachable(nodes: DataFrame, reachable: Column) -> DataFrame:
         .agg(chosen.alias("host"))
         .withColumn(
             "error",
-            F.when(F.col("host").isNull(), F.lit("no reachable control-plane node available")),
+            F.when(F.col("host").isNull(), F.lit("every control-plane node is out of reach")),
         )
     )
 

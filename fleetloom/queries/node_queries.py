@@ -126,7 +126,7 @@ def nodes_filtered_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH {FLEET_SQL}
     SELECT cluster_name, min(host) FILTER (role = 'control-plane' AND acctbal >= 0) AS host,
            CASE WHEN min(host) FILTER (role = 'control-plane' AND acctbal >= 0) IS NULL
-                THEN 'no reachable control-plane node available' END AS error
+                THEN 'every control-plane node is out of reach' END AS error
     FROM fleet GROUP BY cluster_name
     """
 )
