@@ -156,12 +156,14 @@ def _digests(text: np.ndarray, value: np.ndarray, texts: int) -> tuple[np.ndarra
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (sig, node), groups of several nodes; equal lists get the same name."""
+    """Of rows sorted by (sig, node), groups of several nodes; equal lists get the same name.
+
+    A node may repeat.  Only distinct nodes count for the length of a group, so that all
+    parts of a group that is passed on go by its signature.
+    """
     sig_left, node_left, passing = np.zeros(0, np.int64), np.zeros(0, np.int64), None
 
-    def named(sig, node, last):
-        new = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
-        sig, node = sig[new], node[new]
+    def named(sig, node):
         starts = np.r_[True, sig[1:] != sig[:-1]]
         run = np.cumsum(starts) - 1
         size = np.bincount(run)
@@ -188,14 +190,16 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             passing = None
         sig, node = np.r_[sig_left, sig], np.r_[node_left, node]
+        new = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
+        sig, node = sig[new], node[new]
         last = int(np.searchsorted(sig, sig[-1], "left"))
-        if len(sig) - last > LISTED and node[-1] != node[last]:
+        if len(sig) - last > LISTED:
             passing = sig[-1]
             last = len(sig)
         sig_left, node_left = sig[last:], node[last:]
-        if last and (found := named(sig[:last], node[:last], last)) is not None:
+        if last and (found := named(sig[:last], node[:last])) is not None:
             yield found
-    if len(sig_left) and (found := named(sig_left, node_left, len(sig_left))) is not None:
+    if len(sig_left) and (found := named(sig_left, node_left)) is not None:
         yield found
 
 

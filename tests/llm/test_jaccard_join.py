@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fleetloom.llm import jaccard_join
@@ -99,6 +100,24 @@ def test_slices_rounds_and_long_groups(spark, monkeypatch):
     assert result(found, "doc_id", "n_shingles", "component_id") == brute(rows, 4, 85, 100)
 
 
+@pytest.mark.parametrize("rows", [1, 2, 3, 5, 100])
+def test_repeated_nodes_in_batches_of_a_few_rows(monkeypatch, rows):
+    monkeypatch.setattr(jaccard_join, "LISTED", 4)
+    groups = {1: "AAAABC", 2: "AB", 3: "AAAAAAAAA", 4: "ABBCCCDDE", 5: "AAAAAABBBBBBCDEF", 6: "BA", 7: "ABCDEEEEEEE"}
+    pairs = sorted((sig, ord(node)) for sig, nodes in groups.items() for node in nodes)
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs[at : at + rows], strict=True)], ["sig", "node"])
+        for at in range(0, len(pairs), rows)
+    ]
+    named = {}
+    for batch in jaccard_join._members(iter(batches)):
+        for row in batch.to_pylist():
+            named.setdefault(row["grp"], set()).add(chr(row["node"]))
+    # Short lists have one group each, long ones one for each signature.
+    assert sorted("".join(sorted(x)) for x in named.values()) == ["AB", "ABC", "ABCDE", "ABCDE", "ABCDEF"]
+    assert {4, 5, 7} <= set(named)
+
+
 def test_components(spark):
     draw = random.Random(2)
     links = [(draw.randrange(300), draw.randrange(300)) for _ in range(140)] + [(i, i + 1) for i in range(1000, 1060)]
