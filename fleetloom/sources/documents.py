@@ -138,13 +138,33 @@ def _bad_nodes() -> Column:
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
+def _given(variant: str) -> Column:
+    """The VARIANT column, where a JSON null is no value."""
+    return F.when(~F.is_variant_null(variant), F.col(variant))
+
+
+def _one_per_name(given: DataFrame) -> DataFrame:
+    """Settings of each cluster: the one value of each column; two different ones are an error."""
+    names = [c for c in given.columns if c != "cluster_name"]
+    # A VARIANT has no order; objects hold their keys sorted, so equal ones have equal text.
+    plain = {c: F.to_json(c) if c == "data" else F.col(c) for c in names}
+    ends = [F.struct(F.min(plain[c]).alias("low"), F.max(plain[c]).alias("high")).alias(f"_{c}") for c in names]
+    found = given.groupBy("cluster_name").agg(*[F.first(c, ignorenulls=True).alias(c) for c in names], *ends)
+    differing = F.array_compact(F.array(*[F.when(F.col(f"_{c}.low") < F.col(f"_{c}.high"), F.lit(c)) for c in names]))
+    failed = F.raise_error(F.concat("cluster_name", F.lit(": documents disagree on "), F.array_join(differing, ", ")))
+    # As a filter, the check runs whichever columns are read later.
+    fine = F.when(F.size(differing) == 0, F.lit(True)).otherwise(failed.cast("boolean"))
+    return found.where(fine).select("cluster_name", *names)
+
+
 def parse_clusters(texts: DataFrame, encoding: str = "yaml") -> tuple[DataFrame, DataFrame]:
     """(clusters, nodes) from a table of documents ``(file, text)``.
 
     Schemas are fixed; ``data`` stays a VARIANT.  A document that cannot be
     read, has a field of the wrong type or a node without host or valid role, or uses a
     deprecated field stops the load.  Unknown fields are ignored.  A cluster may be
-    spread over several documents of the same name; its settings are those of one of them.
+    spread over several documents of the same name; each setting is the one value that
+    they give.  Documents that give two values of one setting stop the load of clusters.
     """
     if encoding == "yaml":
         documents = yaml_to_json(texts, "text").where(F.col("json").isNull() | (F.col("json") != "null"))
@@ -168,15 +188,10 @@ def parse_clusters(texts: DataFrame, encoding: str = "yaml") -> tuple[DataFrame,
     # As a filter, the check runs whichever columns are read later.
     fine = F.when(problem.isNull(), F.lit(True)).otherwise(failed.cast("boolean"))
     checked = parsed.where(fine).select(F.col("c.clusterName").alias("cluster_name"), "c")
-    settings = [F.col(f"c.{key}").alias(column) for key, column in _SETTINGS.items()]
-    clusters = checked.select(
-        "cluster_name",
-        F.col("c.clusterEndpoint").alias("cluster_endpoint"),
-        F.col("c.kubernetesVersion").alias("kubernetes_version"),
-        *settings,
-        F.coalesce("c.secureboot", F.lit(False)).alias("secureboot"),
-        F.col("c.data").alias("data"),
-    ).dropDuplicates(["cluster_name"])
+    columns = {"clusterEndpoint": "cluster_endpoint", "kubernetesVersion": "kubernetes_version"} | _SETTINGS
+    settings = [F.col(f"c.{key}").alias(column) for key, column in columns.items()]
+    given = checked.select("cluster_name", *settings, "c.secureboot", _given("c.data").alias("data"))
+    clusters = _one_per_name(given).withColumn("secureboot", F.coalesce("secureboot", F.lit(False)))
     node = checked.select("cluster_name", F.explode("c.nodes").alias("n"))
     nodes = node.select(
         "cluster_name",

@@ -279,3 +279,25 @@ def test_mistyped_clusters_stop_the_load(spark):
     texts = spark.createDataFrame([("f", fine), ("g", fine)], "file string, text string")
     clusters, loaded = documents.parse_clusters(texts, "json")
     assert clusters.count() == 1 and loaded.count() == 2
+
+
+def test_settings_of_a_cluster_come_from_all_its_documents(spark):
+    whole = {
+        "clusterName": "c", "clusterEndpoint": "https://c", "kubernetesVersion": "1.34", "talosVersion": "1.10",
+        "schematicId": "id", "factory": "f", "platform": "p", "secureboot": True, "data": {"b": 1, "a": [2]},
+    }
+    pages = [{"clusterName": "c", "data": None, "nodes": [{"host": f"h{i}", "role": "worker"}]} for i in range(20)]
+    pieces = [{"clusterName": "c", key: value} for key, value in whole.items() if key != "clusterName"]
+    for given in ([whole, *pages], [*pages, whole], [*pieces, *pages], [whole, {**whole, "data": {"a": [2], "b": 1}}]):
+        rows = [(f"f{i}", json.dumps(d)) for i, d in enumerate(given)]
+        texts = spark.createDataFrame(rows, "file string, text string").repartition(3, "file")
+        clusters, nodes = documents.parse_clusters(texts, "json")
+        (row,) = clusters.withColumn("data", F.to_json("data")).collect()
+        assert tuple(row)[:8] == tuple(whole.values())[:8] and json.loads(row.data) == whole["data"]
+        assert nodes.count() == (20 if pages[0] in given else 0)
+    for key, value in (("talosVersion", "1.11"), ("secureboot", False), ("data", {"b": 2})):
+        rows = [("f", json.dumps(whole)), ("g", json.dumps({"clusterName": "c", key: value}))]
+        clusters, _ = documents.parse_clusters(spark.createDataFrame(rows, "file string, text string"), "json")
+        column = documents._SETTINGS.get(key, key)
+        with pytest.raises(PySparkException, match=f"c: documents disagree on {column}"):
+            clusters.select("cluster_name").collect()
