@@ -8,6 +8,7 @@ from fleetloom.llm import (
     class_lm,
     decontamination,
     exact_dedup,
+    filter_audit,
     jaccard_join,
     line_dedup,
     mixing,
@@ -15,6 +16,8 @@ from fleetloom.llm import (
     sharding,
     substring_dedup,
     token_counts,
+    toxicity,
+    whitening,
 )
 from fleetloom.queries.registry import Query, table
 
@@ -27,6 +30,10 @@ def query(function: Query) -> Query:
     return function
 
 
+def oracle(name: str, sql: str) -> None:
+    ORACLES[name] = sql
+
+
 @query
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into eight shards, and where they would be with a ninth."""
@@ -100,3 +107,67 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the corpus's tokens, from at most four passes over a source."""
     docs = with_domain(table(spark, sf_dir, "documents"))
     return mixing.mix(docs, MIX_LEVELS, mix_weights(), F.col("tokens") / 2)
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all 120 orders, by source."""
+    masked = filter_audit.failures(table(spark, sf_dir, "documents"))
+    return filter_audit.audit(masked, table(spark, sf_dir, "labels"))
+
+
+oracle(
+    "op11_filter_audit",
+    """
+    WITH doc AS (
+      SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    test AS (
+      SELECT doc_id, part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+             100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) AS c,
+             regexp_matches(text, '[#$%&*|]') AS d,
+             coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e FROM doc),
+    label AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS bad FROM labels GROUP BY doc_id),
+    tally AS (
+      SELECT part, a, b, c, d, e, coalesce(good, false) AS good, coalesce(bad, false) AS bad, count(*) AS n
+      FROM test LEFT JOIN label USING (doc_id) GROUP BY ALL),
+    letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+    sequence AS (
+      SELECT p.f || q.f || r.f || s.f || t.f AS filter_order
+      FROM letter p, letter q, letter r, letter s, letter t
+      WHERE len(list_distinct([p.f, q.f, r.f, s.f, t.f])) = 5),
+    gone AS (
+      SELECT tally.*, filter_order, coalesce(least(
+          CASE WHEN a THEN instr(filter_order, 'A') END, CASE WHEN b THEN instr(filter_order, 'B') END,
+          CASE WHEN c THEN instr(filter_order, 'C') END, CASE WHEN d THEN instr(filter_order, 'D') END,
+          CASE WHEN e THEN instr(filter_order, 'E') END), 6) AS gone_at,
+        a::INT + b::INT + c::INT + d::INT + e::INT AS failed
+      FROM tally, sequence),
+    laid AS (
+      SELECT gone.*, step, substr(filter_order, step, 1) AS f, gone_at = step AS here,
+        CASE substr(filter_order, step, 1) WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END AS fails
+      FROM gone, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+    counted AS (
+      SELECT part, filter_order, step, any_value(f) AS f,
+        sum(CASE WHEN gone_at > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN here THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN fails AND gone_at < step THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN fails AND failed = 1 THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN here AND good THEN n ELSE 0 END) AS good_lost,
+        sum(CASE WHEN here AND bad THEN n ELSE 0 END) AS toxic_lost
+      FROM laid GROUP BY part, filter_order, step)
+    SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+      redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+      toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+    FROM counted""",
+)
+
+
+@query
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; ``passages`` are the significant toxic ones."""
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
