@@ -223,6 +223,35 @@ def _drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_FEW_SQL = """WITH desired AS (
+  SELECT o_orderkey, 'spec.status' AS path, o_orderstatus AS value FROM orders
+  UNION ALL SELECT o_orderkey, 'spec.priority', o_orderpriority FROM orders
+  UNION ALL SELECT o_orderkey, 'meta.year', CAST(year(o_orderdate) AS VARCHAR) FROM orders),
+current AS (
+  SELECT o_orderkey, path, CASE WHEN path = 'spec.status' AND o_orderkey % 100 = 7 THEN 'X' ELSE value END AS value
+  FROM desired WHERE o_orderkey % 1000 <> 3
+  UNION ALL SELECT o_orderkey, 'extra.flag', CAST(NULL AS VARCHAR) FROM orders WHERE o_orderkey % 500 = 11)
+SELECT coalesce(d.o_orderkey, c.o_orderkey) AS o_orderkey, coalesce(d.path, c.path) AS path,
+       d.value AS desired, c.value AS current,
+       CASE WHEN c.path IS NULL THEN 'added' WHEN d.path IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM desired d FULL JOIN current c ON d.o_orderkey = c.o_orderkey AND d.path = c.path
+WHERE c.path IS NULL OR d.path IS NULL OR d.value IS DISTINCT FROM c.value"""
+
+
+@query(_FEW_SQL)
+def drift_by_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few orders differ: found by digests of whole documents, then of their parts."""
+    key = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    values = {"spec.status": F.col("o_orderstatus"), "spec.priority": F.col("o_orderpriority"), "meta.year": F.year("o_orderdate").cast("string")}
+    leaves = F.inline(F.array(*[F.struct(F.lit(path).alias("path"), value.alias("value")) for path, value in values.items()]))
+    desired = orders.select(key, leaves)
+    other = F.when((F.col("path") == "spec.status") & (key % 100 == 7), F.lit("X")).otherwise(F.col("value"))
+    current = desired.where(key % 1000 != 3).withColumn("value", other)
+    extra = orders.where(key % 500 == 11).select(key, F.lit("extra.flag").alias("path"), F.lit(None).cast("string").alias("value"))
+    return drift.drift_by_digest(desired, current.unionByName(extra), ["o_orderkey"])
+
+
 @query(f"WITH {_DRIFT_SQL} SELECT * FROM drift")
 def config_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drift(spark, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetloom.functions.columns import (
@@ -14,7 +16,9 @@ from fleetloom.functions.columns import (
 )
 from fleetloom.operators import health, layers, nodes as node_ops, refs
 from fleetloom.operators.ordered import ordinals
+from fleetloom.plans import incremental
 from fleetloom.queries.registry import FLEET_SQL, fleet, query, table
+from fleetloom.session import shared_path
 
 
 @query(
@@ -105,6 +109,69 @@ def layered_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """
+    WITH customers AS (
+      SELECT c_nationkey AS cluster_name, c_name AS host, c_custkey, c_acctbal, c_mktsegment,
+             CASE WHEN c_mktsegment = 'MACHINERY' THEN 'control-plane' ELSE 'worker' END AS role
+      FROM customer),
+    applied AS (
+      SELECT c.cluster_name, host, role, 'install.image' AS path, 'img-' || n_regionkey AS value, 0 AS ord
+      FROM customers c JOIN nation ON n_nationkey = c.cluster_name
+      UNION ALL
+      SELECT c.cluster_name, host, role, 'labels.region', CASE WHEN n_nationkey % 5 = 0 THEN r_name || '-new' ELSE r_name END, 1
+      FROM customers c JOIN nation ON n_nationkey = c.cluster_name JOIN region ON r_regionkey = n_regionkey
+      UNION ALL
+      SELECT cluster_name, host, role, 'limits.max', '100', 1 FROM customers WHERE cluster_name % 5 <> 0
+      UNION ALL
+      SELECT cluster_name, host, role, 'limits.max', '7', 2 FROM customers WHERE role = 'control-plane'
+      UNION ALL
+      SELECT cluster_name, host, role, 'limits.max', CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR), 3
+      FROM customers WHERE c_acctbal > 5000 AND c_custkey % 10 <> 0
+      UNION ALL
+      SELECT cluster_name, host, role, 'install.image', 'pinned', 3
+      FROM customers WHERE c_mktsegment = 'BUILDING')
+    SELECT cluster_name, host, role, path, max_by(value, ord) AS value, max(ord) AS layer_rank
+    FROM applied GROUP BY cluster_name, host, role, path
+    """
+)
+def layered_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings kept as a store; the files of some clusters change, those of some nodes go."""
+    nodes = fleet(spark, sf_dir)
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    clusters = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_nationkey").alias("cluster_name"), "n_regionkey", "r_name"
+    )
+
+    def layer(df: DataFrame, scope: str, value_of, name, path: str, value) -> DataFrame:
+        return df.select(
+            "cluster_name", F.lit(scope).alias("scope"), value_of.cast("string").alias("scope_value"), name.alias("layer_path"),
+            F.lit(0).alias("doc_index"), F.split(F.lit(path), "[.]").alias("path"), F.lit("string").alias("kind"), value.alias("value"),
+        )
+
+    nobody, common = F.lit(None), F.lit("all/10-settings.yaml")
+    limits = F.concat(F.lit("node/"), F.col("host"), F.lit("/limits.yaml"))
+    image = F.concat(F.lit("node/"), F.col("host"), F.lit("/image.yaml"))
+    rich = nodes.where(F.col("acctbal") > 5000)
+    parts = [
+        layer(clusters, "base", nobody, F.lit("base/10-image.yaml"), "install.image", F.concat(F.lit("img-"), F.col("n_regionkey"))),
+        layer(clusters, "all", nobody, common, "labels.region", F.col("r_name")),
+        layer(clusters, "all", nobody, common, "limits.max", F.lit("100")),
+        layer(clusters, "role", F.lit("control-plane"), F.lit("control-plane/10-limits.yaml"), "limits.max", F.lit("7")),
+        layer(rich, "node", F.col("host"), limits, "limits.max", F.floor("acctbal").cast("string")),
+        layer(nodes.where(F.col("segment") == "BUILDING"), "node", F.col("host"), image, "install.image", F.lit("pinned")),
+    ]
+    store = incremental.MergedStore(spark, shared_path(spark, "layered-update"), shards=32)
+    store.build(nodes, reduce(DataFrame.unionByName, parts))
+    fifth = clusters.where(F.col("cluster_name") % 5 == 0)
+    changed = layer(fifth, "all", nobody, common, "labels.region", F.concat("r_name", F.lit("-new")))
+    gone = rich.where(F.col("custkey") % 10 == 0).select("cluster_name", limits.alias("layer_path"))
+    store.update(nodes, changed, fifth.select("cluster_name", common.alias("layer_path")).unionByName(gone))
+    return store.settings(nodes).select(
+        "cluster_name", "host", "role", F.array_join("path", ".").alias("path"), "value", F.col("precedence.layer_rank").alias("layer_rank")
+    )
+
+
 @query(
     f"""
     WITH {FLEET_SQL}
