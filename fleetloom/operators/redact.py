@@ -246,6 +246,18 @@ def _text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("_text_1"), F.xxhash64(F.lit("2"), text).alias("_text_2")]
 
 
+def blocks_of(texts: DataFrame, keys: Sequence[str], text: str, overhang: int) -> DataFrame:
+    """Blocks of the texts as :func:`find_hits` takes them: ``(keys, base, body, text)``."""
+    size, first = F.length(text), F.col("_b") * BLOCK_CHARS
+    last = F.call_function("div", size - 1, F.lit(BLOCK_CHARS)).cast("int")
+    return texts.select(*keys, text, F.explode(F.sequence(F.lit(0), last)).alias("_b")).select(
+        *keys,
+        first.cast("bigint").alias("base"),
+        F.least(F.lit(BLOCK_CHARS), size - first).alias("body"),
+        F.substring(text, first + 1, F.lit(BLOCK_CHARS + overhang)).alias("text"),
+    )
+
+
 def redact_large(
     df: DataFrame,
     text_col: str,
@@ -260,27 +272,9 @@ def redact_large(
     """
     secrets = cut_lineage(secrets)
     overhang = max(longest_secret(secrets) - 1, 0)
-    size = F.length("_text")
     key = ["_text_1", "_text_2"]
-    blocks = (
-        df.where(F.length(text_col) > 0)
-        .select(*_text_key(F.col(text_col)), F.col(text_col).alias("_text"))
-        .select(
-            *key,
-            "_text",
-            F.explode(
-                F.sequence(F.lit(0), F.call_function("div", size - 1, F.lit(BLOCK_CHARS)).cast("int"))
-            ).alias("_b"),
-        )
-        .select(
-            *key,
-            (F.col("_b") * BLOCK_CHARS).cast("bigint").alias("base"),
-            F.least(F.lit(BLOCK_CHARS), size - F.col("_b") * BLOCK_CHARS).alias("body"),
-            F.substring("_text", F.col("_b") * BLOCK_CHARS + 1, F.lit(BLOCK_CHARS + overhang)).alias(
-                "text"
-            ),
-        )
-    )
+    texts = df.where(F.length(text_col) > 0).select(*_text_key(F.col(text_col)), F.col(text_col).alias("_text"))
+    blocks = blocks_of(texts, key, "_text", overhang)
     # One text holds at most as many hits as characters, so this list is bounded.
     hits = (
         find_hits(blocks, key, secrets, prefix_chars, max_prefixes)

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetloom.operators import redact as ops
 from fleetloom.queries.registry import query, table
-from fleetloom.session import spread
-from fleetloom.streaming.redaction import live_secrets, redact_stream as redact_live
-from fleetloom.streaming.replay import replay
+from fleetloom.session import shared_path, spread
+from fleetloom.streaming.redaction import live_parts, redact_live
 
 TOKEN = r'token = "([^"]+)"'
 
@@ -92,14 +91,19 @@ def redact_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_REDACTED_CHUNKS_SQL)
 def redact_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as a live stream whose user turns arrive first."""
-    values = live_secrets(conversation_secrets(spark, sf_dir))
+    """Conversations as a live stream whose user turns arrive first; secrets are read anew at each trigger."""
+    vault, source, folder, progress = (shared_path(spark, f"live-{part}") for part in ("secrets", "source", "redacted", "progress"))
+    conversation_secrets(spark, sf_dir).write.parquet(vault)
     chunks = _chunks(spark, sf_dir)
     ends = chunks.groupBy("stream_id").agg(F.max("seq").alias("_end"))
     live = chunks.join(ends, "stream_id").select(
         "stream_id", "seq", "chunk", (F.col("seq") == F.col("_end")).alias("last"), "role"
     )
     slices = [live.where(F.col("role") == "user").drop("role"), live.where(F.col("role") != "user").drop("role")]
-    parts = replay(slices, lambda stream: redact_live(stream, values), "redaction")
-    whole = parts.select("stream_id", F.col("part").alias("seq"), F.col("text").alias("chunk"))
+    for part in slices:
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(part.schema).parquet(source)
+        writer = redact_live(stream, lambda session: session.read.parquet(vault), folder)
+        writer.option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    whole = live_parts(spark, folder, live.schema).select("stream_id", F.col("part").alias("seq"), F.col("text").alias("chunk"))
     return ops.rechunk(whole, PAGE).select("stream_id", F.col("block").alias("page"), "text")

@@ -13,9 +13,14 @@ SLICES = 3
 DELAY = 60
 
 
-def _slices(log: DataFrame, horizon_seconds: int) -> list[DataFrame]:
-    """The log in time slices, then one far heartbeat row that moves the watermark on."""
+def _slices(log: DataFrame, horizon_seconds: int) -> tuple[list[DataFrame], int]:
+    """The log in time slices, then one far heartbeat row that moves the watermark on; and how long to remember.
+
+    A decided key may come back at any time of the log, so it is remembered for the whole of it; the
+    heartbeat is later than that, and then all are forgotten.
+    """
     first, last = log.agg(F.min("ts"), F.max("ts")).first()
+    span = int((last - first).total_seconds()) + 1
     width = (last - first) / SLICES
     bounds = [first + width * i for i in range(1, SLICES)]
     parts = []
@@ -27,9 +32,9 @@ def _slices(log: DataFrame, horizon_seconds: int) -> list[DataFrame]:
             part = part.where(F.col("ts") < F.lit(bounds[i]))
         parts.append(part)
     beat = log.agg(
-        (F.max("ts") + F.make_dt_interval(secs=F.lit(horizon_seconds + 2 * DELAY))).alias("ts")
+        (F.max("ts") + F.make_dt_interval(secs=F.lit(max(horizon_seconds, span) + 2 * DELAY))).alias("ts")
     ).select(*[F.col("ts") if c == "ts" else F.lit(None).cast(log.schema[c].dataType).alias(c) for c in log.columns])
-    return [*parts, beat]
+    return [*parts, beat], span
 
 
 @query(FIRST_STABLE_SQL)
@@ -37,9 +42,10 @@ def stable_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = node_events(spark, sf_dir).select(
         "node", "event_id", F.col("ts").cast("timestamp").alias("ts"), "good"
     )
+    slices, span = _slices(log, 12 * DAY)
     decided = replay(
-        _slices(log, 12 * DAY),
-        lambda stream: stability.stable_stream(stream, 2 * DAY, 10 * DAY, DELAY),
+        slices,
+        lambda stream: stability.stable_stream(stream, 2 * DAY, 10 * DAY, DELAY, span),
         "stability",
     )
     return decided.where(F.col("node").isNotNull()).withColumn("at", F.col("at").cast("timestamp_ntz"))
@@ -52,9 +58,10 @@ def retry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("ts"),
         (F.col("event_type") == "purchase").alias("ok"),
     )
+    slices, span = _slices(log, DAY)
     decided = replay(
-        _slices(log, DAY),
-        lambda stream: stability.retry_stream(stream, DAY, DELAY),
+        slices,
+        lambda stream: stability.retry_stream(stream, DAY, DELAY, span),
         "retries",
     )
     return decided.where(F.col("key").isNotNull()).withColumn("at", F.col("at").cast("timestamp_ntz"))

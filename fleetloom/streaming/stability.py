@@ -8,8 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-_STABLE_STATE = "t0 long, began long, done boolean, ts array<long>, id array<long>, bad array<boolean>"
-_RETRY_STATE = "t0 long, hit long, done boolean"
+#: How long a decided key is remembered after its last event, in seconds of event time.
+FORGET_SECONDS = 30 * 86_400
+
+_STABLE_STATE = "t0 long, began long, last long, done boolean, ts array<long>, id array<long>, bad array<boolean>"
+_RETRY_STATE = "t0 long, hit long, last long, done boolean"
 
 
 def _micros(series: pd.Series) -> np.ndarray:
@@ -45,7 +48,7 @@ def stable_stream(
     quiet_seconds: int,
     deadline_seconds: int,
     delay_seconds: int = 60,
-    forget_seconds: int | None = None,
+    forget_seconds: int = FORGET_SECONDS,
 ) -> DataFrame:
     """Streaming form of ``first_stable``: one row per node, when it is decided.
 
@@ -54,18 +57,19 @@ def stable_stream(
     its node less the delay, passes it.  So disorder within the delay changes
     nothing; later rows are dropped and counted by Spark.  A timer makes silence
     count.  The rows of one node in a trigger share a task: bound them with the
-    source's ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``.  A decided node that
-    is silent for *forget_seconds* of event time leaves the state; if it comes back
-    after that, a new wait begins.  Without it decided nodes are kept.
+    source's ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``.  A decided node leaves the state
+    once the watermark is *forget_seconds* past its last event; if it comes back
+    after that, a new wait begins.
     """
     quiet, limit = quiet_seconds * 1_000_000, deadline_seconds * 1_000_000
     delay = delay_seconds * 1_000_000
 
     def decide(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        t0, began, done, ts, ids, bad = state.get if state.exists else (-1, -1, False, [], [], [])
+        t0, began, last, done, ts, ids, bad = state.get if state.exists else (-1, -1, -1, False, [], [], [])
         rows = [f for f in frames if len(f)] if not state.hasTimedOut else []
+        last = max([last, *(int(_micros(f["ts"]).max()) for f in rows)])
         if done:
-            _keep_or_forget(state, (t0, -1, True, [], [], []), [_micros(f["ts"]) for f in rows], forget_seconds)
+            _keep_or_forget(state, (t0, -1, last, True, [], [], []), last, forget_seconds)
             return
         ts, ids, bad = (np.array(ts, "int64"), np.array(ids, "int64"), np.array(bad, bool))
         for frame in rows:
@@ -88,13 +92,13 @@ def stable_stream(
         elif start >= 0 or t0 + limit <= now:
             result = ("timeout", t0 + limit)
         if result is not None:
-            _keep_or_forget(state, (t0, -1, True, [], [], []), [ts], forget_seconds)
+            _keep_or_forget(state, (t0, -1, last, True, [], [], []), last, forget_seconds)
             yield pd.DataFrame(
                 {"node": [key[0]], "outcome": [result[0]], "at": [pd.Timestamp(result[1], unit="us")]}
             )
             return
         ts, ids, bad = ts[ready:], ids[ready:], bad[ready:]
-        state.update((t0, began, False, ts.tolist(), ids.tolist(), bad.tolist()))
+        state.update((t0, began, last, False, ts.tolist(), ids.tolist(), bad.tolist()))
         moments = [t0 + limit, *([began + quiet] if began >= 0 else []), *ts[:1].tolist()]
         state.setTimeoutTimestamp(max(-(-min(moments) // 1000), mark + 1))
 
@@ -112,52 +116,55 @@ def stable_stream(
     )
 
 
-def _keep_or_forget(state, value: tuple, times: list[np.ndarray], forget_seconds: int | None) -> None:
-    """Keep a decided key, and remove it when it has been silent long enough."""
-    if forget_seconds is None:
-        state.update(value)
-    elif state.hasTimedOut and state.exists and not any(map(len, times)) and state.get[2]:
-        state.remove()
-    else:
-        last = max([int(t.max()) for t in times if len(t)], default=0) // 1000
-        mark = state.getCurrentWatermarkMs()
-        state.update(value)
-        state.setTimeoutTimestamp(max(last, mark) + forget_seconds * 1000 + 1)
+def _keep_or_forget(state, value: tuple, last: int, forget_seconds: int) -> None:
+    """Keep a decided key until the watermark is so far past its *last* event that it is forgotten.
+
+    Whatever comes later than that is at least as far from the last event, as older rows are dropped.
+    """
+    mark, due = state.getCurrentWatermarkMs(), last // 1000 + forget_seconds * 1000 + 1
+    if due <= mark:
+        if state.exists:
+            state.remove()
+        return
+    state.update(value)
+    state.setTimeoutTimestamp(due)
 
 
 def retry_stream(
-    attempts: DataFrame, budget_seconds: int, delay_seconds: int = 60, forget_seconds: int | None = None
+    attempts: DataFrame, budget_seconds: int, delay_seconds: int = 60, forget_seconds: int = FORGET_SECONDS
 ) -> DataFrame:
     """Streaming form of ``retry_outcome`` over ``(key, ts TIMESTAMP, ok)``.
 
-    The state is two timestamps, so a key may have any number of attempts.  Decided
+    The state is three timestamps, so a key may have any number of attempts.  Decided
     keys are forgotten as in :func:`stable_stream`.
     """
     budget = budget_seconds * 1_000_000
 
     def decide(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        t0, hit, done = state.get if state.exists else (-1, -1, False)
-        if done:
-            times = [_micros(f["ts"]) for f in frames] if not state.hasTimedOut else []
-            _keep_or_forget(state, (t0, hit, True), times, forget_seconds)
-            return
+        t0, hit, last, done = state.get if state.exists else (-1, -1, -1, False)
         for frame in frames if not state.hasTimedOut else ():
             ts = _micros(frame["ts"])
+            last = max([last, *([int(ts.max())] if len(ts) else [])])
+            if done:
+                continue
             ok = ts[frame["ok"].eq(True).to_numpy(bool)]
             if len(ts):
                 t0 = int(ts.min()) if t0 < 0 else min(t0, int(ts.min()))
             if len(ok):
                 hit = int(ok.min()) if hit < 0 else min(hit, int(ok.min()))
+        if done:
+            _keep_or_forget(state, (t0, hit, last, True), last, forget_seconds)
+            return
         now = state.getCurrentWatermarkMs() * 1000
         in_time = 0 <= hit <= t0 + budget
         if (in_time and hit <= now) or t0 + budget <= now:
-            _keep_or_forget(state, (t0, hit, True), [np.array([t0], "int64")], forget_seconds)
+            _keep_or_forget(state, (t0, hit, last, True), last, forget_seconds)
             outcome, at = ("success", hit) if in_time else ("gave up", t0 + budget)
             yield pd.DataFrame(
                 {"key": [key[0]], "outcome": [outcome], "at": [pd.Timestamp(at, unit="us")]}
             )
             return
-        state.update((t0, hit, False))
+        state.update((t0, hit, last, False))
         moment = min(t0 + budget, hit) if in_time else t0 + budget
         state.setTimeoutTimestamp(max(-(-moment // 1000), now // 1000 + 1))
 

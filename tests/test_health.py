@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from fleetloom.operators import health
 from fleetloom.streaming import stability
+from fleetloom.queries import QUERIES
+from fleetloom.streaming import replay as replay_module
 from fleetloom.streaming.replay import replay
 
 STATUS = (
@@ -198,6 +200,16 @@ def test_decided_keys_leave_the_state(spark, tmp_path):
     assert sizes[0] == 20 and sizes[-1] <= 1
 
 
+@pytest.mark.parametrize("name", ["stable_stream", "retry_stream"])
+def test_registered_streams_end_with_an_empty_state(spark, tables, tmp_path, monkeypatch, name):
+    places = iter(range(100))
+    monkeypatch.setattr(replay_module, "shared_path", lambda _, label: str(tmp_path / f"{label}-{next(places)}"))
+    decided = QUERIES[name](spark, tables).count()
+    progress = next(path for path in tmp_path.iterdir() if "-progress" in path.name)
+    # Only the heartbeat is left, whatever the number of keys.
+    assert decided > 10 and spark.read.format("statestore").load(str(progress)).count() <= 1
+
+
 def test_stage_and_retry(spark):
     events = spark.createDataFrame(
         [("a", at(0), "booting"), ("a", at(5), "maintenance"), ("a", at(9), "maintenance"), ("b", at(0), "booting"), ("c", at(0), "x"), ("c", at(11), "maintenance")],

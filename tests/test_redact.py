@@ -7,7 +7,7 @@ import time
 import pytest
 
 from fleetloom.operators import redact as ops
-from fleetloom.streaming.redaction import Masker, live_secrets, redact_stream
+from fleetloom.streaming.redaction import Masker, live_parts, live_secrets, redact_live, redact_stream
 from fleetloom.streaming.replay import replay
 
 M = ops.MARKER
@@ -141,7 +141,7 @@ def test_redaction_runs_without_python(spark):
 
 def joined(df, order):
     texts = {}
-    for row in sorted(df.collect(), key=lambda r: (r.stream_id, r[order])):
+    for row in sorted(df.collect(), key=lambda r: (r.stream_id or "", r[order])):
         texts[row.stream_id] = texts.get(row.stream_id, "") + row.text
     return texts
 
@@ -263,3 +263,60 @@ def test_pattern_prefers_the_longest():
     pattern = ops.secret_pattern(["ab", "abc", "abcde", "x"])
     assert re.sub(pattern, "#", "abcd abcde ab x") == "#d # # #"
     assert ops.secret_pattern([""]) == ""
+
+
+CHUNKS = "stream_id string, seq long, chunk string, last boolean"
+
+
+def run_live(spark, folder, slices, vault=None, before=()):
+    """Feed the slices one by one; *before* adds secrets ahead of a slice."""
+    vault = vault or f"{folder}/vault"
+    for number, rows in enumerate(slices):
+        for value in dict(before).get(number, []):
+            table(spark, [value]).write.mode("append").parquet(vault)
+        spark.createDataFrame(rows, CHUNKS).coalesce(1).write.mode("append").parquet(f"{folder}/source")
+        stream = spark.readStream.schema(CHUNKS).parquet(f"{folder}/source")
+        writer = redact_live(stream, lambda session: session.read.parquet(vault), f"{folder}/out")
+        writer.option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    return live_parts(spark, f"{folder}/out", stream.schema)
+
+
+def test_live_table_equals_the_scan(spark, streams, tmp_path):
+    secrets, chunks, expected = streams
+    rng = random.Random(3)
+    rows = [(name, seq, chunk, seq == len(parts) - 1) for name, parts in chunks.items() for seq, chunk in enumerate(parts)]
+    rng.shuffle(rows)
+    half = len(rows) // 2
+    table(spark, secrets).write.parquet(str(tmp_path / "vault"))
+    # Some chunks are sent twice, and all of one stream again after its end.
+    again = [row for row in rows[:half] if rng.random() < 0.3]
+    parts = run_live(spark, str(tmp_path), [rows[:half], rows[half:] + again, rows])
+    assert {k: v for k, v in joined(parts, "part").items() if v} == {k: v for k, v in expected.items() if v}
+
+
+def test_a_secret_added_while_the_stream_runs_is_masked(spark, tmp_path):
+    slices = [
+        [("s", 0, "one alpha two beta ", False), ("t", 1, "gamma", True)],
+        [("s", 1, "three alpha beta", False), ("t", 0, "alpha beta beta", False)],
+        [("s", 2, "ta", True)],
+    ]
+    parts = run_live(spark, str(tmp_path), slices, before=[(0, ["alpha"]), (1, ["beta", "betagamma", "betabeta"])])
+    # What was given out before stays: the "b" of the first "beta" was out already.
+    assert joined(parts, "part") == {"s": f"one {M} two beta three {M} {M}ta", "t": f"{M} {M} {M}"}
+    state = spark.read.parquet(f"{tmp_path}/out/open")
+    assert state.where("kind <> 'closed'").count() == 0
+
+
+def test_live_state_is_less_than_a_secret(spark, tmp_path):
+    rows = [("s", i, "abcdefghij" * 20, False) for i in range(50)] + [(None, 0, "null secretly", True)]
+    parts = run_live(spark, str(tmp_path), [rows[:30] + rows[50:], rows[32:50]], before=[(0, ["secret"])])
+    state = spark.read.parquet(f"{tmp_path}/out/open/slot=1").where("stream_id = 's'")
+    assert state.where("kind = 'open'").select("seq", "text").first() == (30, "fghij")
+    assert state.where("kind = 'chunk'").count() == 18
+    assert joined(parts, "part")[None] == f"null {M}ly"
+
+
+def test_live_without_secrets(spark, tmp_path):
+    table(spark, ["x"]).limit(0).write.parquet(str(tmp_path / "vault"))
+    parts = run_live(spark, str(tmp_path), [[("s", 0, "plain", False), ("s", 1, None, True)]])
+    assert joined(parts, "part") == {"s": "plain"}
