@@ -19,6 +19,7 @@ from fleetloom.llm import (
     toxicity,
     whitening,
 )
+from fleetloom.llm.shared import UPPER
 from fleetloom.queries.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -53,6 +54,48 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+_LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
+oracle(
+    "op2_decontamination",
+    f"""
+    WITH item AS (
+      SELECT item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM benchmark),
+    wanted AS (
+      SELECT DISTINCT item_id, least(len(words), 10) AS size, array_to_string(words[i : i + least(len(words), 10) - 1], ' ') AS span
+      FROM item, unnest(range(1, greatest(len(words) - 10, 0) + 2)) AS place(i) WHERE len(words) > 0),
+    doc AS (
+      SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+    found AS (
+      SELECT doc_id, i, w.size, item_id
+      FROM (SELECT doc_id, i, size, array_to_string(words[i : i + size - 1], ' ') AS span
+            FROM doc, (SELECT DISTINCT size FROM wanted), unnest(range(1, len(words) - size + 2)) AS place(i)) d
+      JOIN wanted w ON w.size = d.size AND w.span = d.span),
+    hit AS (
+      SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT doc_id, i, size FROM found), unnest(range(i, i + size)) AS word(j)
+      GROUP BY doc_id),
+    held AS (
+      SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN held USING (doc_id)""",
+)
+oracle(
+    "op3_line_dedup",
+    f"""
+    WITH line AS (
+      SELECT doc_id, pos, body, translate(regexp_replace(body, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'),
+                                          '{UPPER}', '{UPPER.lower()}') AS key
+      FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS body,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)),
+    judged AS (
+      SELECT doc_id, pos, body, coalesce(length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY key), false) AS dropped FROM line)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+           sha256(coalesce(string_agg(body, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+    FROM judged GROUP BY doc_id""",
+)
+
+
 @query
 def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score_documents(table(spark, sf_dir, "documents"))
@@ -64,6 +107,19 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+oracle(
+    "op5_exact_dedup",
+    """
+    WITH bare AS (
+      SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS body
+      FROM documents)
+    SELECT doc_id, first_value(doc_id) OVER (PARTITION BY body ORDER BY size DESC, doc_id) AS keep_id,
+           count(*) OVER (PARTITION BY body) AS group_size,
+           row_number() OVER (PARTITION BY body ORDER BY size DESC, doc_id) = 1 AS kept, sha256(body) AS text_sha256
+    FROM bare""",
+)
+
+
 @query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
