@@ -68,19 +68,26 @@ def _state_settings(spark: SparkSession):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def _streamed(spark: SparkSession, path: str) -> str:
+    """The path as a file stream takes it: a single file must be written as a pattern."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    alone = system.exists(place) and not system.getFileStatus(place).isDirectory()
+    return f"{path[:-1]}[{path[-1]}]" if alone else path
+
+
 def update_state(
     spark: SparkSession, path: str, progress: str, digest: Callable[[Column], Column] = sha256, batch_bytes: int = BATCH_BYTES
 ) -> DataFrame:
     """Read the file or folder *path* as far as *progress* has not seen it; return the state.
 
-    The state has one row for each digest: ``digest``, ``keeper`` (the place of the
-    row that stays) and ``size``.
+    A folder may be partitioned (``name=value`` folders below it).  As everywhere in Spark, a path
+    with the characters of a pattern is one.  The state has one row for each digest: ``digest``,
+    ``keeper`` (the place of the row that stays) and ``size``.
     """
     path = path.rstrip("/")
     schema = spark.read.parquet(path).schema
-    # As a pattern the path may also be that of a single file.
-    pattern = f"{path[:-1]}[{path[-1]}]"
-    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(pattern)
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(_streamed(spark, path))
     groups = _marked(stream, digest).groupBy("digest").agg(F.min("place").alias("keeper"), F.count("*").alias("size"))
     writer = groups.writeStream.format("noop").outputMode("update").option("checkpointLocation", progress)
     with _state_settings(spark):

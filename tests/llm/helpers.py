@@ -41,8 +41,8 @@ def frame(spark, rows, parts=3):
     """The rows as documents, with extra columns whose names clash with inner ones."""
     full = [(i, t, "en", f"src{(i or 0) % 3}", len(t or "")) for i, t in rows]
     df = spark.createDataFrame(full, SCHEMA).repartition(parts)
-    clash = ["block", "body", "text_hash", "key", "score", "n", "rank", "shard", "word", "node", "pos", "row"]
-    return df.selectExpr("*", *[f"'x' AS {name}" for name in clash])
+    clash = "block body text_hash key score n rank shard word node pos row domain digest keeper size label place slice"
+    return df.selectExpr("*", *[f"'x' AS {name}" for name in [*clash.split(), "file", "line", "term"]])
 
 
 def result(df, *names):

@@ -68,3 +68,14 @@ def test_a_single_file(spark, tables):
     found = exact_dedup.deduplicate(spark, f"{tables}/documents.parquet")
     rows = [tuple(r) for r in spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text").collect()]
     assert result(found, *COLUMNS) == brute(rows)
+
+
+def test_a_partitioned_folder(spark, tmp_path):
+    rows = rows_with_copies(4)
+    docs = frame(spark, rows)
+    folder = str(tmp_path / "docs")
+    docs.selectExpr("*", "pmod(coalesce(doc_id, 0), 3) AS v", "'p q' AS w").write.partitionBy("v", "w").parquet(folder)
+    assert result(exact_dedup.deduplicate(spark, folder), *COLUMNS) == brute(rows)
+    one = str(tmp_path / "docs" / "v=1")
+    some = [row for row in rows if (row[0] or 0) % 3 == 1]
+    assert result(exact_dedup.deduplicate(spark, one), *COLUMNS) == brute(some)
