@@ -85,7 +85,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ep
     """Weights learnt from ``labels(doc_id, quality)`` outside the held-out fold.
 
     Rows with a null ID or label teach nothing; an ID with several labels counts
-    as its highest.  Without any label all weights are zero.  Only the sample's
+    as its highest, an ID on several rows as the one with the least text hash.  Without any label all weights are zero.  Only the sample's
     features meet in one task, and only the weights reach the driver; both are bounded
     by *sample_rows* and ``BUCKET_BITS``.
     """
@@ -93,7 +93,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ep
     known = known.where(id_remainder(F.col("doc_id"), 4) != 2)
     sample = known.groupBy("doc_id").agg(F.max("quality").alias("label"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("body")).join(F.broadcast(sample), "doc_id")
+    marked = docs.select("doc_id", F.col("text").cast("binary").alias("body"), F.xxhash64("text").alias("text_hash"))
+    rows = marked.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label")
+    texts = rows.agg(F.min_by("body", F.struct("text_hash", "body")).alias("body"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

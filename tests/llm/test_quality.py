@@ -41,6 +41,15 @@ def test_awkward_tables(spark):
     assert quality.keep_good(docs, labels, 0.0).count() == len(rows)
 
 
+def test_an_id_on_many_rows_teaches_once(spark):
+    texts = [(i, f"word{i % 5} other{i % 3} words") for i in range(1, 40)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, quality int")
+    hot = next(i for i, _ in texts if zlib.crc32(str(i).encode()) % 4 != 2)
+    once = quality.train(frame(spark, texts), labels)
+    many = quality.train(frame(spark, texts + [texts[hot - 1]] * 500), labels)
+    assert np.array_equal(once, many)
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     scored = queries.op8_quality(spark, folder).where("held_out")
