@@ -144,17 +144,19 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Levels of the mixing tree; the domain is read off the number of the source.
-MIX_LEVELS = ("domain", "lang", "source")
+def mix_levels(domain: str = "domain") -> tuple[str, str, str]:
+    return domain, "lang", "source"
 
 
-def with_domain(docs: DataFrame) -> DataFrame:
+def with_domain(docs: DataFrame, name: str = "domain") -> DataFrame:
+    """The documents with the domain read off the number of their source, in a column *name*."""
     number = F.regexp_extract("source", r"([0-9]+)$", 1).try_cast("int")
-    return docs.withColumn("domain", F.when(number < 7, "web").when(number < 14, "books").otherwise("code"))
+    return docs.withColumn(name, F.when(number < 7, "web").when(number < 14, "books").otherwise("code"))
 
 
-def mix_weights() -> list:
+def mix_weights(name: str = "domain") -> list:
     """Three parts web, two books, one code; English counts double; sources are equal."""
-    domain = F.when(mixing.level_is("domain", "web"), 3).when(mixing.level_is("domain", "books"), 2).otherwise(1)
+    domain = F.when(mixing.level_is(name, "web"), 3).when(mixing.level_is(name, "books"), 2).otherwise(1)
     return [domain, F.when(mixing.level_is("lang", "en"), 2).otherwise(1), F.lit(1)]
 
 
@@ -162,7 +164,7 @@ def mix_weights() -> list:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the corpus's tokens, from at most four passes over a source."""
     docs = with_domain(table(spark, sf_dir, "documents"))
-    return mixing.mix(docs, MIX_LEVELS, mix_weights(), F.col("tokens") / 2)
+    return mixing.mix(docs, mix_levels(), mix_weights(), F.col("tokens") / 2)
 
 
 @query

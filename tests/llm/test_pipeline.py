@@ -38,6 +38,14 @@ def test_run_is_its_stages_on_what_is_left(spark, tables):
     assert {r.doc_id for r in found.collect()} == ids
 
 
+def test_mixing_leaves_a_column_named_domain_alone(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet").selectExpr("*", "'MINE' AS DOMAIN", "doc_id AS _domain")
+    mixed = corpus_pipeline.mixing_stage(spark, docs, tables)
+    assert mixed.columns == docs.columns
+    rows = mixed.collect()
+    assert rows and all(r.DOMAIN == "MINE" and r._domain == r.doc_id for r in rows)
+
+
 def test_stages_survive_awkward_rows(spark, tables):
     for rows in (corpus(), []):
         docs = frame(spark, rows)
