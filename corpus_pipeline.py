@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetloom.llm import decontamination, jaccard_join, mixing, quality, sharding
-from fleetloom.llm.queries import MIX_LEVELS, mix_weights, with_domain
+from fleetloom.llm.queries import mix_levels, mix_weights, with_domain
 from fleetloom.llm.shared import stored
 from fleetloom.queries.registry import table
 
@@ -34,8 +34,14 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that one seeded pass takes for four fifths of the corpus's tokens."""
-    mixed = mixing.keep_mixed(with_domain(docs), MIX_LEVELS, mix_weights(), F.col("tokens") * 0.8)
+    """Documents that one seeded pass takes for four fifths of the corpus's tokens.
+
+    The derived domain gets a name that no column of *docs* has, so a column ``domain`` stays as it is.
+    """
+    name = "domain"
+    while name in {column.lower() for column in docs.columns}:
+        name = f"_{name}"
+    mixed = mixing.keep_mixed(with_domain(docs, name), mix_levels(name), mix_weights(name), F.col("tokens") * 0.8)
     return mixed.select(*docs.columns)
 
 
