@@ -14,66 +14,59 @@ DELETE_VALUE = "delete"
 
 
 def _kind(value: str) -> Column:
-    """map, list, null, string or scalar; the schema text is computed once."""
+    """map, empty, list, null, string or scalar; the schema text is computed once."""
     return F.expr(
         f"transform(array(schema_of_variant({value})), s -> case when s = 'STRING' then 'string'"
-        " when startswith(s, 'OBJECT') then 'map' when startswith(s, 'ARRAY') then 'list'"
-        " when s = 'VOID' then 'null' else 'scalar' end)[0]"
+        " when s = 'OBJECT<>' then 'empty' when startswith(s, 'OBJECT') then 'map' when startswith(s, 'ARRAY')"
+        " then 'list' when s = 'VOID' then 'null' else 'scalar' end)[0]"
     )
 
 
-# Expressions over the document column ``_v``, as text: one call per level to build.
-_ENTRIES = "map_entries(try_variant_get(_v, '$', 'map<string,variant>'))"
-_ITEMS = (
-    "transform(try_variant_get(_v, '$', 'array<variant>'),"
-    " (x, i) -> struct(cast(i as string) as key, x as value))"
-)
+# Expressions over the document column ``_v``, as text.
 _IS_DELETE = (
     f"coalesce(try_variant_get(_v, \"$['{DELETE_KEY}']\", 'string') = '{DELETE_VALUE}', false)"
 )
+_HAS_ITEMS = "(try_variant_get(_v, '$[0]', 'variant') is not null)"
+_HAS_KEYS = "coalesce(size(try_variant_get(_v, '$', 'map<string,variant>')) > 0, false)"
+#: Keys that a path text may hold between quotes; the path parser skips white space and stops at these marks.
+_PLAIN_KEY = r"^[^'?\s][^'?]*$"
+
+
+def _opened(state: DataFrame, keep: Sequence[str], walk_lists: bool, directives: bool) -> DataFrame:
+    """Each container gives way to its children; leaves and empty containers stay."""
+    closed = [*([] if walk_lists else [_HAS_ITEMS]), *([_IS_DELETE] if directives else [])]
+    opened = F.expr(f"if({' or '.join(closed)}, null, _v)") if closed else F.col("_v")
+    children = state.sparkSession.tvf.variant_explode_outer(F.col("_open").outer()).toDF("_pos", "_key", "_child")
+    # The path as a text too; null where a key cannot be written into one.
+    place = F.when(F.isnull("_key"), F.concat(F.lit("["), "_pos", F.lit("]"))).when(
+        F.col("_key").rlike(_PLAIN_KEY), F.concat(F.lit("['"), "_key", F.lit("']"))
+    )
+    leaf, step = F.isnull("_child"), F.coalesce("_key", F.col("_pos").cast("string"))
+    return state.withColumn("_open", opened).lateralJoin(children).select(
+        *keep,
+        F.when(leaf, F.col("path")).otherwise(F.concat("path", F.array(step))).alias("path"),
+        F.when(leaf, F.col("_at")).otherwise(F.concat("_at", place)).alias("_at"),
+        F.coalesce("_child", "_v").alias("_v"),
+    )
 
 
-def _children(walk_lists: bool, directives: bool) -> str:
-    """Keyed children of a container; null for anything kept as a leaf."""
-    entries = f"if({_IS_DELETE}, null, {_ENTRIES})" if directives else _ENTRIES
-    return f"coalesce({entries}, {_ITEMS})" if walk_lists else entries
-
-
-def flatten_leaves(
-    df: DataFrame,
-    variant_col: str,
-    max_depth: int = 16,
-    walk_lists: bool = True,
-    directives: bool = False,
-    mark_deep: bool = False,
+def _leaves(
+    df: DataFrame, variant_col: str, max_depth: int, walk_lists: bool, directives: bool, mark_deep: bool
 ) -> DataFrame:
-    """One row per leaf of a nested document: ``path ARRAY<STRING>, kind, value``.
-
-    Each level is one generator over the rows above it, so the table is read
-    once and nothing is shuffled.  ``kind`` is string, scalar, null, and for
-    containers kept whole ``empty`` (an empty map) or ``list``.  With
-    *walk_lists* list items become leaves with their index in the path;
-    otherwise a list is one leaf.  With *directives* a map that holds
-    ``$patch: delete`` becomes a leaf of kind ``delete``.  Documents deeper than
-    *max_depth* stop the job rather than lose leaves; with *mark_deep* what lies
-    deeper is one leaf of kind ``deep`` instead.
-    """
+    """The rows of :func:`flatten_leaves`, and their path as a text ``_at`` for ``try_variant_get``."""
     keep = [c for c in df.columns if c != variant_col]
     state = df.select(
         *keep,
         F.array().cast("array<string>").alias("path"),
+        F.lit("$").alias("_at"),
         F.col(variant_col).alias("_v"),
     )
-    # A container gives way to its children; leaves and empty containers stay.
     for _ in range(max_depth):
-        child = F.expr(f"explode_outer({_children(walk_lists, directives)})").alias("_child")
-        state = state.select(*keep, "path", "_v", child).select(
-            *keep,
-            F.expr("if(_child.key is null, path, concat(path, array(_child.key)))").alias("path"),
-            F.expr("coalesce(_child.value, _v)").alias("_v"),
-        )
+        state = _opened(state, keep, walk_lists, directives)
+    deeper = F.expr(f"{_HAS_KEYS} and not {_IS_DELETE}" if directives else _HAS_KEYS)
+    if walk_lists:
+        deeper = deeper | F.expr(_HAS_ITEMS)
     # As a filter, the check runs whichever columns are read later.
-    deeper = F.expr(f"coalesce(size({_children(walk_lists, directives)}) > 0, false)")
     failed = F.raise_error(F.lit(f"document deeper than {max_depth}")).cast("boolean")
     whole = F.lit(True) if mark_deep else F.when(deeper, failed).otherwise(F.lit(True))
     named = state.where(F.col("_v").isNotNull() & whole).withColumn("_k", _kind("_v"))
@@ -82,7 +75,7 @@ def flatten_leaves(
         kind = kind.when(deeper, F.lit("deep"))
     if directives:
         kind = kind.when((F.col("_k") == "map") & F.expr(_IS_DELETE), F.lit("delete"))
-    kind = kind.when(F.col("_k") == "map", F.lit("empty")).otherwise(F.lit("list"))
+    kind = kind.when(F.col("_k") == "empty", F.lit("empty")).otherwise(F.lit("list"))
     return named.select(
         *keep,
         "path",
@@ -91,9 +84,33 @@ def flatten_leaves(
         .when((F.col("_k") == "null") | (F.lit(directives) & F.expr(_IS_DELETE)), F.lit(None))
         .otherwise(F.to_json("_v"))
         .alias("value"),
+        "_at",
     )
 
 
+def flatten_leaves(
+    df: DataFrame,
+    variant_col: str,
+    max_depth: int = 16,
+    walk_lists: bool = True,
+    directives: bool = False,
+    mark_deep: bool = False,
+) -> DataFrame:
+    """One row per leaf of a nested document: ``path ARRAY<STRING>, kind, value``.
+
+    Each level is one generator over the rows above it, so the table is read
+    once and nothing is shuffled; rows that are leaves pass further levels as they are.
+    ``kind`` is string, scalar, null, and for
+    containers kept whole ``empty`` (an empty map) or ``list``.  With
+    *walk_lists* list items become leaves with their index in the path;
+    otherwise a list is one leaf.  With *directives* a map that holds
+    ``$patch: delete`` becomes a leaf of kind ``delete``.  Documents deeper than
+    *max_depth* stop the job rather than lose leaves; with *mark_deep* what lies
+    deeper is one leaf of kind ``deep`` instead.
+    """
+    return _leaves(df, variant_col, max_depth, walk_lists, directives, mark_deep).drop("_at")
+
+
 def string_leaves(
     leaves: DataFrame, predicate: Callable[[Column], Column] | None = None
 ) -> DataFrame:
@@ -167,6 +184,13 @@ def values_at_paths(
     return held.withColumns({"found": F.col("_v").isNotNull(), out: text}).drop("_v")
 
 
+# Values of ``doc`` at the places in ``_asked``; a path that is no text is walked key by key.
+_STEP = """coalesce(try_element_at(try_variant_get(v, '$', 'map<string,variant>'), step),
+    get(try_variant_get(v, '$', 'array<variant>'), if(step rlike '^(0|[1-9][0-9]*)$', try_cast(step as int), null)))"""
+_FOUND = f"""transform(_asked, a -> struct(a.path as path, if(a.at is not null,
+    try_variant_get(doc, a.at, 'variant'), aggregate(a.path, doc, (v, step) -> {_STEP})) as found))"""
+
+
 def extract_changed(
     before: DataFrame,
     after: DataFrame,
@@ -177,7 +201,8 @@ def extract_changed(
 
     Both sides are ``(file, doc_index, doc VARIANT)``; a null ``doc`` could not be
     decoded and ends its file there.  Only non-empty strings are returned and
-    duplicates stay.
+    duplicates stay.  Only *before* is flattened: the matching paths of a document
+    meet its other form once and are looked up there.
     """
     broken = (
         before.where(F.col("doc").isNull())
@@ -186,20 +211,19 @@ def extract_changed(
         .groupBy("file")
         .agg(F.min("doc_index").alias("_stop"))
     )
-    on = ["file", "doc_index", "path"]
-    marked = string_leaves(
-        flatten_leaves(before.select("file", "doc_index", "doc"), "doc", max_depth), predicate
-    )
-    plain = string_leaves(
-        flatten_leaves(after.select("file", "doc_index", "doc"), "doc", max_depth),
-        lambda v: v != "",
-    )
+    on = ["file", "doc_index"]
+    leaves = _leaves(before.select(*on, "doc"), "doc", max_depth, walk_lists=True, directives=False, mark_deep=False)
+    # At most as many paths as the document has leaves.
+    asked = F.collect_list(F.struct("path", F.col("_at").alias("at"))).alias("_asked")
+    marked = string_leaves(leaves, predicate).groupBy(*on).agg(asked)
+    found = marked.join(after.select(*on, "doc"), on).select(*on, F.expr(f"inline({_FOUND})"))
+    plain = found.where(F.schema_of_variant("found") == "STRING")
     return (
-        marked.select(*on)
-        .join(plain.select(*on, F.col("value").alias("secret")), on, "inner")
+        plain.select(*on, "path", F.try_variant_get("found", "$", "string").alias("secret"))
+        .where(F.col("secret") != "")
         .join(broken, "file", "left")
         .where(F.col("_stop").isNull() | (F.col("doc_index") < F.col("_stop")))
-        .select(*on, "secret")
+        .select(*on, "path", "secret")
     )
 
 

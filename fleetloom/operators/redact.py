@@ -101,6 +101,18 @@ def redact(df: DataFrame, text_col: str, secrets: DataFrame) -> DataFrame:
     return df.withColumn(text_col, redact_with(text_col, values))
 
 
+def redact_columns(df: DataFrame, text_cols: Sequence[str], secrets: DataFrame) -> DataFrame:
+    """The same for several columns; *secrets* and, beyond one pattern, *df* are computed once."""
+    secrets = cut_lineage(secrets)
+    values = bounded_secrets(secrets)
+    if values is not None:
+        return df.withColumns({name: redact_with(name, values) for name in text_cols})
+    done = cut_lineage(df)
+    for name in text_cols:
+        done = redact_large(done, name, secrets)
+    return done
+
+
 def find_hits(
     blocks: DataFrame,
     keys: Sequence[str],

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fleetloom.operators.health import upgrade_precheck
 from fleetloom.operators.layers import merged_settings
 from fleetloom.operators.nested import extract_changed
-from fleetloom.operators.redact import redact, secret_set
+from fleetloom.operators.redact import redact_columns, secret_set
 from fleetloom.plans.drift import config_drift
 from fleetloom.plans.render import INSTALLER_PATH
 from fleetloom.plans.rollout import rollout_waves, upgrade_plan
@@ -58,4 +58,4 @@ def redacted_drift(
     """
     secrets = secret_set(extract_changed(before, after, predicate).select("secret"), *more_secrets)
     drift = config_drift(desired, current, keys).where(F.col("change") != "same")
-    return redact(redact(drift, "desired", secrets), "current", secrets)
+    return redact_columns(drift, ["desired", "current"], secrets)

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -91,6 +93,30 @@ def test_extract_changed(spark):
     assert got == ["same", "same", "second", "third"]
 
 
+def test_extract_changed_at_odd_keys(spark):
+    keys = ["it's", 'a "b"', "q?", " lead", "", "a.b[0]", "0", "x]['y", "tail \n", "\u00e9", "two'\"marks"]
+    sealed = json.dumps({key: {"in": ["ENC[1]", {key: "ENC[2]"}]} for key in keys})
+    plain = json.dumps({key: {"in": [f"first {i}", {key: f"second {i}"}]} for i, key in enumerate(keys)})
+    before, after = (pairs(spark, [("f", 0, text)]) for text in (sealed, plain))
+    got = {tuple(r.path): r.secret for r in nested.extract_changed(before, after, is_encrypted).collect()}
+    assert got == {(key, "in", "0"): f"first {i}" for i, key in enumerate(keys)} | {
+        (key, "in", "1", key): f"second {i}" for i, key in enumerate(keys)
+    }
+
+
+def test_one_flatten_per_extraction_and_one_generator_per_level(spark):
+    rows = pairs(spark, [("a", 0, '{"k": "ENC[1]"}')])
+    plan = nested.extract_changed(rows, rows, is_encrypted, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate variant_explode") == 3
+    assert "Join LeftOuter" in plan and "LateralJoin" not in plan
+
+
+def test_columns_named_like_those_of_the_generator(spark):
+    docs = spark.createDataFrame([(1, 2, 3, '{"a": {"b": 1}}')], "key int, value int, pos int, t string")
+    leaves = nested.flatten_leaves(docs.select("key", F.col("value").alias("val"), "pos", F.parse_json("t").alias("doc")), "doc")
+    assert [tuple(r) for r in leaves.collect()] == [(1, 2, 3, ["a", "b"], "scalar", "1")]
+
+
 def test_docs_with_refs(spark):
     rows = [
         (1, '{"a": ["x", {"b": "ref+vault://p#/k"}]}'),
