@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetloom.functions.columns import col_of
+from fleetloom.session import cut_lineage
 
 
 def content_id(text: Column | str) -> Column:
@@ -26,6 +28,38 @@ def once_per_key(
     return keyed.join(done, "_once_key", "left").select(*df.columns, *added)
 
 
+def once_ever(
+    df: DataFrame, keys: Sequence[str], work: Callable[[DataFrame], DataFrame], folder: str, run: str
+) -> DataFrame:
+    """:func:`once_per_key` with results kept in *folder*: *work* sees only keys that no earlier run had.
+
+    Adds the columns of *work* and ``done_in``, the name of the run that did the work.  Kept rows are
+    addressed by the digest of their key, so the keys themselves are not kept; null is a key too.
+    A run that dies leaves whole results or none of a key, and the next one does what
+    is missing.  Of results that two runs at a time have added, that of the least run name counts.
+    The folder belongs to one kind of work; each run adds files of its own to it.
+    """
+    spark = df.sparkSession
+    address = content_id(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    wanted = df.select(*keys).distinct()
+    try:
+        known = spark.read.parquet(folder).select("_id")
+        # A broken-off first run leaves a folder without any file of results.
+    except AnalysisException as absent:
+        if absent.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        known = spark.createDataFrame([], "_id string")
+    fresh = cut_lineage(wanted.withColumn("_id", address).join(known, "_id", "left_anti").drop("_id"))
+    done = work(fresh)
+    added = [c for c in done.columns if c not in keys]
+    kept = done.select(address.alias("_id"), *added, F.lit(run).alias("done_in"))
+    kept.write.mode("append").parquet(folder)
+    every = spark.read.schema(kept.schema).parquet(folder)
+    results = every.groupBy("_id").agg(F.min_by(F.struct(*added), "done_in").alias("_row"), F.min("done_in").alias("done_in"))
+    joined = df.withColumn("_id", address).join(results, "_id", "left")
+    return joined.select(*df.columns, *[F.col("_row")[c].alias(c) for c in added], "done_in")
+
+
 def resolve_refs(
     nodes: DataFrame, definitions: DataFrame, ref_col: str, row_key: Sequence[str]
 ) -> DataFrame:

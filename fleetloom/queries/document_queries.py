@@ -8,7 +8,7 @@ from fleetloom.functions.columns import is_encrypted, path_key, trim_space
 from fleetloom.operators import layers, nested, templates
 from fleetloom.operators.ordered import pages
 from fleetloom.queries.registry import FLEET_SQL, fleet, query, table
-from fleetloom.session import shared_path, spread
+from fleetloom.session import cut_lineage, shared_path, spread
 from fleetloom.plans.render import render
 from fleetloom.sources import documents, sinks
 
@@ -356,6 +356,74 @@ def discover_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.classify_layer_paths(files, "file")
 
 
+@query(
+    f"""
+    WITH {FLEET_SQL}, files AS (
+      SELECT DISTINCT 'c' || cluster_name AS cluster_name, 'all' AS scope, NULL AS scope_value, 'net/10.yml' AS layer_path,
+             '{{"net": "' || cluster_name || '"}}' AS text, NULL AS later, false AS goes FROM fleet
+      UNION ALL
+      SELECT 'c' || cluster_name, 'node', host, '30.yaml', '{{"segment": "' || segment || '"}}',
+             CASE WHEN acctbal < 0 THEN '{{"debt": true}}' END, acctbal > 9000
+      FROM fleet WHERE segment = 'HOUSEHOLD')
+    SELECT 1 AS step, cluster_name, scope, scope_value, layer_path, 'new' AS change, text FROM files
+    UNION ALL
+    SELECT 2, cluster_name, scope, scope_value, layer_path, CASE WHEN goes THEN 'gone' ELSE 'changed' END, later
+    FROM files WHERE goes OR later IS NOT NULL
+    UNION ALL
+    SELECT DISTINCT 2, 'c' || cluster_name, 'role', 'worker', '20.yaml.tpl', 'new', 'added' FROM fleet
+    """
+)
+def layer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layer files are written, discovered, changed, removed and added, and discovered again."""
+    nodes, root = fleet(spark, sf_dir), shared_path(spark, "layers")
+    cluster = F.concat(F.lit("c"), F.col("cluster_name"))
+    clusters = nodes.select("cluster_name").distinct()
+    held = nodes.where(F.col("segment") == "HOUSEHOLD")
+    shared = lambda path, text: clusters.select(F.concat(cluster, F.lit(path)).alias("file"), text.alias("text"))
+    own = F.concat(cluster, F.lit("/node/"), F.col("host"), F.lit("/30.yaml")).alias("file")
+    first = held.select(own, F.to_json(F.struct("segment")).alias("text"))
+    first = first.withColumn("text", F.replace("text", F.lit(":"), F.lit(": ")))
+    net = F.concat(F.lit('{"net": "'), F.col("cluster_name"), F.lit('"}'))
+    ignored = shared("/all/readme.md", F.lit("no layer"))
+    sinks.write_files(shared("/all/net/10.yml", net).unionByName(first).unionByName(ignored), root)
+    known, new = documents.discover_changes(spark, root)
+    new = cut_lineage(new)
+    debt = held.where("acctbal < 0").select(own, F.lit('{"debt": true}').alias("text"))
+    gone = held.where("acctbal > 9000").select(own, F.lit(None).cast("string").alias("text"))
+    sinks.write_files(debt.unionByName(gone).unionByName(shared("/worker/20.yaml.tpl", F.lit("added"))), root)
+    _, later = documents.discover_changes(spark, root, known)
+    return new.select(F.lit(1).alias("step"), "*").unionByName(later.select(F.lit(2).alias("step"), "*"))
+
+
+@query(
+    f"""
+    WITH {FLEET_SQL}
+    SELECT cluster_name, host, CASE WHEN acctbal >= 0 OR segment = 'BUILDING' THEN 'role: ' || role END AS config,
+           CASE WHEN acctbal < 0 AND segment <> 'BUILDING' THEN 'no config' END AS error,
+           CASE WHEN acctbal >= 0 OR segment = 'BUILDING' THEN 'configs' ELSE 'errors' END AS outcome, 'first' AS run
+    FROM fleet WHERE cluster_name <> 7
+    UNION ALL
+    SELECT cluster_name, host, 'again: ' || role, NULL, 'configs', 'second' FROM fleet WHERE cluster_name = 7
+    """
+)
+def published_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All clusters are published, one is published again, and a run that died before its manifest shows nothing."""
+    folder = shared_path(spark, "published")
+    failed = (F.col("acctbal") < 0) & (F.col("segment") != "BUILDING")
+    nodes = fleet(spark, sf_dir)
+    rows = nodes.select(
+        "cluster_name", "host", F.when(~failed, F.concat(F.lit("role: "), "role")).alias("config"),
+        F.when(failed, F.lit("no config")).alias("error"),
+    )
+    sinks.publish(rows, folder, "first")
+    again = nodes.where("cluster_name = 7").select(
+        "cluster_name", "host", F.concat(F.lit("again: "), "role").alias("config"), F.lit(None).cast("string").alias("error")
+    )
+    sinks.publish(again, folder, "second")
+    sinks.write_by_host(rows.withColumn("config", F.lit("half a run")), f"{folder}/runs/run=third")
+    return sinks.published(spark, folder)
+
+
 @query(
     f"""
     WITH {FLEET_SQL}

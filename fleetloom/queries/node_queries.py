@@ -420,6 +420,27 @@ def missing_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs.missing_definitions(rows, definitions, "ref")
 
 
+@query(
+    f"""
+    WITH {FLEET_SQL}, keyed AS (
+      SELECT host, role, cluster_name || '/' || segment AS spec, acctbal FROM fleet),
+    early AS (SELECT DISTINCT spec, role FROM keyed WHERE acctbal > 5000)
+    SELECT k.host, k.spec, k.role, sha256('spec: ' || k.spec || ' ' || k.role) AS schematic,
+           CASE WHEN e.spec IS NULL THEN 'run-2' ELSE 'run-1' END AS done_in
+    FROM keyed k LEFT JOIN early e ON e.spec = k.spec AND e.role = k.role
+    """
+)
+def kept_schematics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IDs of specifications; a second run over all nodes works only on those that the first has not met."""
+    spec = F.concat(F.col("cluster_name").cast("string"), F.lit("/"), F.col("segment")).alias("spec")
+    nodes = fleet(spark, sf_dir).select("host", "role", spec, "acctbal")
+    text = F.concat(F.lit("spec: "), F.col("spec"), F.lit(" "), F.col("role"))
+    submit = lambda keys: keys.withColumn("schematic", refs.content_id(text))
+    folder = shared_path(spark, "schematics")
+    refs.once_ever(nodes.where("acctbal > 5000"), ["spec", "role"], submit, folder, "run-1")
+    return refs.once_ever(nodes.drop("acctbal"), ["spec", "role"], submit, folder, "run-2")
+
+
 @query(
     f"""
     WITH {FLEET_SQL}

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from fleetloom.functions.columns import ROLES
 from fleetloom.operators.nodes import rejection_reasons
+from fleetloom.session import cut_lineage
 
 # File name pattern of a layer and key names of a cluster document.
 LAYER_FILE_PATTERN = r".*\.ya?ml(\.tpl)?"
@@ -138,6 +139,12 @@ def _bad_nodes() -> Column:
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
+def _listed(label: str, found: Column, between: str) -> Column:
+    """Label and entries of a list that is computed once; null if it is empty."""
+    text = lambda names: F.when(F.size(names) > 0, F.concat(F.lit(label), F.array_join(names, between)))
+    return F.get(F.transform(F.array(found), text), F.lit(0))
+
+
 def _given(variant: str) -> Column:
     """The VARIANT column, where a JSON null is no value."""
     return F.when(~F.is_variant_null(variant), F.col(variant))
@@ -172,17 +179,16 @@ def parse_clusters(texts: DataFrame, encoding: str = "yaml") -> tuple[DataFrame,
         documents = texts.select("file", F.col("text").alias("json"), F.lit(None).cast("string").alias("error"))
     else:
         raise ValueError(f"encoding must be 'yaml' or 'json': {encoding!r}")
-    parsed = documents.select(
-        "file", "error", parse_whole("json").alias("_v"),
-        F.from_json("json", _CLUSTER, {"mode": "PERMISSIVE"}).alias("c"),
-    )
-    problem = (
-        F.when(F.col("error").isNotNull(), F.col("error"))
-        .when(F.col("_v").isNull(), F.lit("not one document"))
-        .when(F.size(_mistyped()) > 0, F.concat(F.lit("wrong type of "), F.array_join(_mistyped(), ", ")))
-        .when(F.size(_bad_nodes()) > 0, F.concat(F.lit("bad node: "), F.array_join(_bad_nodes(), "; ")))
-        .when(F.col("c").isNull() | F.col("c.clusterName").isNull(), F.lit("not a cluster document"))
-        .when(F.coalesce(F.col(f"c.{DEPRECATED_FIELD}"), F.lit("")) != "", F.lit(f"deprecated field {DEPRECATED_FIELD}"))
+    decoded = F.struct(parse_whole("json").alias("_v"), F.from_json("json", _CLUSTER, {"mode": "PERMISSIVE"}).alias("c"))
+    # A generator, because a filter is not moved below it: the checks see decoded fields, not texts to decode again.
+    parsed = documents.select("file", "error", F.inline(F.array(decoded)))
+    problem = F.coalesce(
+        F.col("error"),
+        F.when(F.col("_v").isNull(), F.lit("not one document")),
+        _listed("wrong type of ", _mistyped(), ", "),
+        _listed("bad node: ", _bad_nodes(), "; "),
+        F.when(F.col("c").isNull() | F.col("c.clusterName").isNull(), F.lit("not a cluster document")),
+        F.when(F.coalesce(F.col(f"c.{DEPRECATED_FIELD}"), F.lit("")) != "", F.lit(f"deprecated field {DEPRECATED_FIELD}")),
     )
     failed = F.raise_error(F.concat(F.col("file"), F.lit(": "), problem))
     # As a filter, the check runs whichever columns are read later.
@@ -234,7 +240,7 @@ def classify_layer_paths(files: DataFrame, path_col: str) -> DataFrame:
 
 
 def discover_layers(spark: SparkSession, root: str) -> DataFrame:
-    """Layer files below *root* with their scope and text; no folder, no layers."""
+    """Layer files below *root* with their scope and text; no folder, no layers, and an empty file is none."""
     base = root.rstrip("/")
     try:
         texts = read_texts(spark, base, "file")
@@ -242,9 +248,74 @@ def discover_layers(spark: SparkSession, root: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(absent):
             raise
         texts = spark.createDataFrame([], "file string, text string")
-    folder = base.split(":", 1)[-1].lstrip("/")
-    inside = F.regexp_replace("file", f"^.*?{re.escape(folder)}/", "")
-    return classify_layer_paths(texts.withColumn("file", inside), "file")
+    return classify_layer_paths(texts.withColumn("file", _below(F.col("file"), root)), "file")
+
+
+def _below(path: Column, root: str) -> Column:
+    folder = root.rstrip("/").split(":", 1)[-1].lstrip("/")
+    return F.regexp_replace(path, f"^.*?{re.escape(folder)}/", "")
+
+
+def _inside(root: str) -> Column:
+    """Path below *root* of the file that a row was read from."""
+    return _below(_decoded_path(), root)
+
+
+def _layer_texts(files: DataFrame, root: str) -> DataFrame:
+    return classify_layer_paths(files.select(_inside(root).alias("file"), F.col("value").alias("text")), "file")
+
+
+#: So many changed files are read by their names; of more, all files are read and the changed ones kept.
+NAMED_FILES = 10_000
+_LAYER = ["cluster_name", "scope", "scope_value", "layer_path"]
+_STATE = [*_LAYER, "modified", "size"]
+
+
+def list_layers(spark: SparkSession, root: str) -> DataFrame:
+    """Layer files below *root* with scope, time of change, size and ``source``; no file is opened."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root.rstrip("/"))
+    except AnalysisException as absent:
+        if "PATH_NOT_FOUND" not in str(absent):
+            raise
+        return spark.createDataFrame([], _LISTING)
+    listed = files.select(
+        _inside(root).alias("file"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), F.col("path").alias("source")
+    )
+    return classify_layer_paths(listed, "file").select(*_STATE, "source")
+
+
+_LISTING = "cluster_name string, scope string, scope_value string, layer_path string, modified timestamp, size long, source string"
+
+
+def discover_changes(spark: SparkSession, root: str, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(listing, changes) of the layer files below *root* since the listing *known*.
+
+    Changes are ``(cluster_name, scope, scope_value, layer_path, change, text)``; ``change`` is new,
+    changed or gone, and the text of a file that is gone is null.  A file has changed when its time or
+    size has; only such files are opened.  An empty file sets nothing and counts as none.  One that changes while this runs is found again by the next call.
+    Keep the listing for that call once the changes have been worked in: then none is lost.
+    """
+    listing = cut_lineage(list_layers(spark, root))
+    known = spark.createDataFrame([], _LISTING) if known is None else known
+    # As structs of keys, nulls equal each other.
+    key, state = F.struct(*_LAYER).alias("_key"), F.struct(*_STATE).alias("_state")
+    before = known.select(key, state)
+    moved = listing.select("*", key, state).join(before.select("_state"), "_state", "left_anti")
+    moved = moved.join(before.select("_key", F.lit("changed").alias("change")), "_key", "left")
+    moved = cut_lineage(moved.select(*_LAYER, F.coalesce("change", F.lit("new")).alias("change"), "source"))
+    names = [row["source"] for row in moved.select("source").limit(NAMED_FILES + 1).collect()]
+    if len(names) > NAMED_FILES:
+        texts = discover_layers(spark, root)
+    elif names:
+        texts = _layer_texts(spark.read.text([re.sub(r"([\\{}\[\]*?])", r"\\\1", name) for name in names], wholetext=True), root)
+    else:
+        texts = spark.createDataFrame([], _LISTING).select(*_LAYER, F.lit("").alias("text"))
+    texts = texts.select(key, "text")
+    found = moved.select("*", key).join(texts, "_key", "left").select(*_LAYER, "change", "text")
+    gone = known.select("*", key).join(listing.select(key), "_key", "left_anti")
+    gone = gone.select(*_LAYER, F.lit("gone").alias("change"), F.lit(None).cast("string").alias("text"))
+    return listing, found.unionByName(gone)
 
 
 #: Lines between documents: ``---`` or ``...``, with blanks or a comment behind it.

@@ -252,3 +252,28 @@ def test_drift(spark):
         ("y", "p"): "same",
     }
     assert as_set(drift.any_change(found, ["n"])) == {("x", True), ("y", False)}
+
+
+def test_known_keys_are_not_worked_on_again(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+    folder = str(tmp_path / "kept")
+
+    def work(keys):
+        def note(frames):
+            for frame in frames:
+                calls.add(len(frame))
+                yield frame.assign(out=frame.k.fillna("none") + "!")
+
+        return keys.mapInPandas(note, "k string, out string")
+
+    def run(rows, name):
+        made = refs.once_ever(spark.createDataFrame(rows, "k string, v int"), ["k"], work, folder, name)
+        return sorted((r.v, r.out, r.done_in) for r in made.collect())
+
+    assert run([("a", 1), ("b", 2), ("a", 3)], "x") == [(1, "a!", "x"), (2, "b!", "x"), (3, "a!", "x")]
+    assert calls.value == 2
+    assert run([("b", 1), (None, 2), ("c", 3)], "y") == [(1, "b!", "x"), (2, "none!", "y"), (3, "c!", "y")]
+    assert calls.value == 4
+    assert run([("a", 1), (None, 2), ("c", 3)], "z") == [(1, "a!", "x"), (2, "none!", "y"), (3, "c!", "y")]
+    assert calls.value == 4
+    assert run([], "empty") == []

@@ -301,3 +301,79 @@ def test_settings_of_a_cluster_come_from_all_its_documents(spark):
         column = documents._SETTINGS.get(key, key)
         with pytest.raises(PySparkException, match=f"c: documents disagree on {column}"):
             clusters.select("cluster_name").collect()
+
+
+def configs(spark, rows):
+    return spark.createDataFrame(rows, "cluster_name string, host string, config string, error string")
+
+
+def seen(spark, folder):
+    return {(r.cluster_name, r.host, r.config, r.error, r.run) for r in sinks.published(spark, folder).collect()}
+
+
+def test_a_run_that_dies_is_never_read(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    with pytest.raises(ValueError):
+        sinks.published(spark, folder)
+    dies = F.when(F.col("host") == "h9", F.raise_error(F.lit("lost"))).otherwise(F.col("config"))
+    half = [("a", "h1", "half", None), ("b", "h9", "half", None), (None, "h3", "half", None)]
+    with pytest.raises(PySparkException):
+        sinks.publish(configs(spark, half).withColumn("config", dies), folder, "one")
+    with pytest.raises(ValueError):
+        sinks.published(spark, folder)
+    sinks.publish(configs(spark, [("a", "h1", "x", None), ("b", "h1", None, "bad"), (None, "h1", "n", None)]), folder, "one")
+    first = {("a", "h1", "x", None, "one"), ("b", "h1", None, "bad", "one"), (None, "h1", "n", None, "one")}
+    assert seen(spark, folder) == first
+    with pytest.raises(PySparkException):
+        sinks.publish(configs(spark, half).withColumn("config", dies), folder, "two")
+    assert seen(spark, folder) == first
+    # Done again under its name; clusters that it does not have stay as they were.
+    sinks.publish(configs(spark, [("b", "h9", "y", None), (None, "h3", "m", None)]), folder, "two")
+    assert seen(spark, folder) == {("a", "h1", "x", None, "one"), ("b", "h9", "y", None, "two"), (None, "h3", "m", None, "two")}
+    with pytest.raises(ValueError):
+        sinks.publish(configs(spark, half), folder, "two")
+
+
+def test_changes_of_layer_files(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "my layers+1")
+    put = lambda *rows: sinks.write_files(spark.createDataFrame(list(rows), "file string, text string"), root)
+    found = lambda df: {(r.cluster_name, r.scope, r.scope_value, r.layer_path): (r.change, r.text) for r in df.collect()}
+    listing, changes = documents.discover_changes(spark, root)
+    assert listing.count() == changes.count() == 0
+    odd = "a [1]{2}*?%41.yaml"
+    assert put(("east/all/" + odd, "odd"), ("east/node/e1/d.yaml", "one\ntwo"), ("east/worker/w.yml", ""), ("east/worker/full.yml", "text"), ("east/all/x.md", "no")) == 5
+    listing, changes = documents.discover_changes(spark, root)
+    assert found(changes) == {
+        ("east", "all", None, odd): ("new", "odd"),
+        ("east", "node", "e1", "d.yaml"): ("new", "one\ntwo"),
+        ("east", "role", "worker", "full.yml"): ("new", "text"),
+    }
+    assert documents.discover_changes(spark, root, listing)[1].count() == 0
+    put(("east/all/" + odd, "changed"), ("east/node/e1/d.yaml", None), ("west/all/deep/er/w.yaml", "west"), ("west/gone.yaml", None), ("east/worker/full.yml", ""))
+    after = {
+        ("east", "role", "worker", "full.yml"): ("gone", None),
+        ("east", "all", None, odd): ("changed", "changed"),
+        ("east", "node", "e1", "d.yaml"): ("gone", None),
+        ("west", "all", None, "deep/er/w.yaml"): ("new", "west"),
+    }
+    assert found(documents.discover_changes(spark, root, listing)[1]) == after
+    monkeypatch.setattr(documents, "NAMED_FILES", 1)
+    assert found(documents.discover_changes(spark, root, listing)[1]) == after
+
+
+def test_only_changed_layer_files_are_opened(spark, tmp_path):
+    root = str(tmp_path / "layers")
+    put = lambda *rows: sinks.write_files(spark.createDataFrame(list(rows), "file string, text string"), root)
+    put(*[(f"c{i}/all/a.yaml", "x") for i in range(30)])
+    listing, _ = documents.discover_changes(spark, root)
+    put(("c3/all/a.yaml", "longer"))
+    _, changes = documents.discover_changes(spark, root, listing)
+    assert [r.text for r in changes.collect()] == ["longer"]
+    opened = [path for path in changes.inputFiles() if path.endswith(".yaml")]
+    assert len(opened) == 1 and opened[0].endswith("c3/all/a.yaml")
+
+
+def test_file_names_stay_below_the_root(spark, tmp_path):
+    rows = spark.createDataFrame([("../x.yaml", "x")], "file string, text string")
+    with pytest.raises(PySparkException):
+        sinks.write_files(rows, str(tmp_path / "layers"))
