@@ -320,3 +320,15 @@ def test_live_without_secrets(spark, tmp_path):
     table(spark, ["x"]).limit(0).write.parquet(str(tmp_path / "vault"))
     parts = run_live(spark, str(tmp_path), [[("s", 0, "plain", False), ("s", 1, None, True)]])
     assert joined(parts, "part") == {"s": "plain"}
+
+
+@pytest.mark.parametrize("bound", [2_000, 1])
+def test_several_columns_at_once(spark, monkeypatch, bound):
+    monkeypatch.setattr(ops, "MAX_PATTERN_SECRETS", bound)
+    secrets = spark.createDataFrame([("abc",), ("abcd",), ("x",)], "secret string")
+    rows = spark.createDataFrame([(1, "an abcd", "x"), (2, None, "abc abc"), (2, "", "plain")], "id int, a string, b string")
+    found = ops.redact_columns(rows, ["a", "b"], secrets)
+    mark = ops.MARKER
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(
+        [(1, f"an {mark}", mark), (2, None, f"{mark} {mark}"), (2, "", "plain")], key=repr
+    )
