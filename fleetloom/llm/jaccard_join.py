@@ -34,6 +34,8 @@ MORE_PAIRS = 32
 PARTS = 512
 #: Longest group whose list is compared with other groups' lists before it is passed on.
 LISTED = 4096
+#: Names of sets that may be shared by different sets; a list of them travels with the tasks.
+SHARED_NAMES = 1 << 17
 _ONE = np.uint64(1)
 
 
@@ -147,6 +149,11 @@ def signatures(text: np.ndarray, value: np.ndarray, texts: int, num: int, den: i
     return np.concatenate(out_text), np.concatenate(out_value)
 
 
+def _contains(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(sorted_values, wanted), len(sorted_values) - 1)
+    return sorted_values[at] == wanted
+
+
 def _digests(text: np.ndarray, value: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (
         np.bincount(text, minlength=texts),
@@ -209,20 +216,53 @@ class JaccardJoin:
     A set has the distinct shingles of *size* words, A to Z lowered; a text with fewer
     words is one shingle, one without words has none and is linked with nothing.
     Texts with equal sets are one node.  Rows that repeat, and null IDs, are rows like others.
+
+    A node is named by the first 64 bits of its set's digest.  Of sets that differ in the
+    second 64 bits and share a name, all are named anew by both halves, so only sets
+    with equal 128 bits are taken as equal.  *name_bits* is lowered in tests.
     """
 
-    def __init__(self, docs: DataFrame, size: int, num: int, den: int) -> None:
+    def __init__(self, docs: DataFrame, size: int, num: int, den: int, name_bits: int = 64) -> None:
         self.docs = docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
             F.col("text").cast("binary").alias("body"),
         )
         self.size, self.num, self.den = size, num, den
+        self.mask = np.uint64((1 << name_bits) - 1)
+        self.renamed = np.zeros(0, np.int64)
         self.spark = docs.sparkSession
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.rows = stored(self._rows(), "shingle-sets")
+        while len(shared := self._shared_names()):
+            renamed = np.union1d(self.renamed, shared)
+            if len(renamed) == len(self.renamed):
+                raise ValueError("different sets have the same new name")
+            self.renamed = renamed
+            self.rows = stored(self._rows(), "shingle-sets")
+
+    def _shared_names(self) -> np.ndarray:
+        """Names that several sets share: about n * n / 2 ** 65 of n sets, which is 300 of 10 ** 11."""
+        differ = self.rows.groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high")
+        names = [row["node"] for row in differ.select("node").limit(SHARED_NAMES + 1).collect()]
+        if len(names) + len(self.renamed) > SHARED_NAMES:
+            raise ValueError(f"more than {SHARED_NAMES} names of sets are shared")
+        return np.array(names, np.int64)
+
+    def _namer(self):
+        """Function from both halves of digests to nodes; it takes only plain values to the tasks."""
+        mask, renamed = self.mask, self.renamed
+
+        def name(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+            node = (first & mask).view(np.int64)
+            if not len(renamed):
+                return node
+            both = T.scramble(first ^ T.scramble(second, 1), 0).view(np.int64)
+            return np.where(_contains(renamed, node), both, node)
+
+        return name
 
     def _rows(self) -> DataFrame:
-        size = self.size
+        size, name = self.size, self._namer()
 
         def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -231,7 +271,7 @@ class JaccardJoin:
                     yield pa.RecordBatch.from_arrays(
                         [
                             piece.column("doc_id"), piece.column("text_hash"), pa.array(count, pa.int64()),
-                            pa.array(first.view(np.int64)), pa.array(second.view(np.int64)),
+                            pa.array(name(first, second)), pa.array(second.view(np.int64)),
                         ],
                         ["doc_id", "text_hash", "n_shingles", "node", "check"],
                     )
@@ -241,22 +281,22 @@ class JaccardJoin:
 
     def groups(self) -> DataFrame:
         """``(grp, node)``: nodes with a common signature, each distinct list once."""
-        size, num, den = self.size, self.num, self.den
+        size, num, den, name = self.size, self.num, self.den, self._namer()
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for piece in T.pieces(batch, "body"):
                     text, value = shingles(piece, size)
-                    count, first, _ = _digests(text, value, piece.num_rows)
+                    node = name(*_digests(text, value, piece.num_rows)[1:])
                     # Copies within reach are signed once.
                     once = np.zeros(piece.num_rows, bool)
-                    once[np.unique(first, return_index=True)[1]] = True
+                    once[np.unique(node, return_index=True)[1]] = True
                     keep = once[text]
                     text, found = signatures(text[keep], value[keep], piece.num_rows, num, den)
                     for at in range(0, len(text), 100_000):
                         part = slice(at, at + 100_000)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(found[part].view(np.int64)), pa.array(first[text[part]].view(np.int64))],
+                            [pa.array(found[part].view(np.int64)), pa.array(node[text[part]])],
                             ["sig", "node"],
                         )
 
@@ -266,7 +306,7 @@ class JaccardJoin:
 
     def _of_nodes(self, nodes: DataFrame, extract, kinds: str) -> DataFrame:
         """``(node, ...)``: *extract* of the sets of the nodes asked for, made from one row of each."""
-        size = self.size
+        size, name = self.size, self._namer()
         chosen = self.rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")).join(nodes, "node")
         chosen = stored(chosen.select("row.doc_id", "row.text_hash"), "chosen-rows")
         rows_of = self.rows.select("doc_id", "text_hash").join(chosen, ["doc_id", "text_hash"])
@@ -278,8 +318,8 @@ class JaccardJoin:
             for batch in batches:
                 for piece in T.pieces(batch, "body"):
                     text, value = shingles(piece, size)
-                    count, first, _ = _digests(text, value, piece.num_rows)
-                    columns = {"node": pa.array(first.view(np.int64))} | extract(text, value, count)
+                    count, first, second = _digests(text, value, piece.num_rows)
+                    columns = {"node": pa.array(name(first, second))} | extract(text, value, count)
                     yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
         found = self.docs.join(chosen, same, "left_semi").select("body").mapInArrow(apply, f"node long, {kinds}")
@@ -315,18 +355,32 @@ class JaccardJoin:
         both = pairs.join(left, "a").join(right, "b")
         return both.where(self.den * common >= self.num * union).select("a", "b")
 
-    def _possible(self, members: DataFrame, profiles: DataFrame, limit: int | None) -> DataFrame:
+    def _possible(self, members: DataFrame, profiles: DataFrame, limit: int | None, within: bool = False) -> DataFrame:
         """Pairs ``(a, b)`` of ``members(grp, node, root)`` in different components that may be linked.
 
-        Groups are compared in blocks of two slices.  Only pairs that sizes and profiles
-        do not rule out leave a task, and of those at most *limit* for two components
+        Groups are compared in blocks of two slices, or *within* each slice only.  In a long group the largest
+        component has slices of its own, which meet the other slices but not one another, so the work
+        grows with the nodes outside of it.  Only pairs that sizes and profiles do not
+        rule out leave a task, and of those at most *limit* for two components
         of a block; with a *limit* of 0, just enough to tie the block's components together.
         """
         num, den = self.num, self.den
-        slices = F.ceil(F.col("members") / SLICE).cast("int")
-        sized = members.join(members.groupBy("grp").agg(F.count("*").alias("members")), "grp")
-        own = F.pmod(F.xxhash64("node"), slices).cast("int").alias("slice")
-        dealt = sized.select("grp", "node", "root", own, F.explode(F.sequence(F.lit(0), slices - 1)).alias("other"))
+        slices = lambda n: F.greatest(F.ceil(n / SLICE).cast("int"), F.lit(1))
+        drawn = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+        if within:
+            per_group = members.groupBy("grp").agg(F.count("*").alias("_all"))
+            own, others = drawn(slices(F.col("_all"))), F.array("slice")
+        else:
+            roots = members.groupBy("grp", "root").agg(F.count("*").alias("_n"))
+            # The greatest pair, not max_by: a task that runs again must choose the same component.
+            per_group = roots.groupBy("grp").agg(F.sum("_n").alias("_all"), F.max(F.struct("_n", "root")).alias("_top"))
+            short, in_top = F.col("_all") <= SLICE, F.col("root") == F.col("_top.root")
+            rest, top = slices(F.col("_all") - F.col("_top._n")), slices(F.col("_top._n"))
+            own = F.when(short, F.lit(0)).when(in_top, rest + drawn(top)).otherwise(drawn(rest))
+            last = F.when(short, F.lit(0)).when(in_top, rest - 1).otherwise(rest + top - 1)
+            others = F.sequence(F.lit(0), last)
+        sized = members.join(per_group, "grp").withColumn("slice", own)
+        dealt = sized.select("grp", "node", "root", "slice", F.explode(others).alias("other"))
         block = F.struct(F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"))
         rows = dealt.select("grp", block.alias("block"), "node", "root", "slice").join(profiles, "node")
         flat = rows.select("grp", "block.i", "block.j", "node", "root", "slice", "size", "profile")
@@ -349,8 +403,9 @@ class JaccardJoin:
     def links(self) -> DataFrame:
         """Links ``(a, b)`` that connect all that is connected.
 
-        In each round pairs of different components are compared, first just enough
-        of them to tie each group together, then more, until no pair is left that
+        In each round pairs of different components are compared: first just enough of
+        them to tie each slice of a group together, then one node of each component of
+        a long group, then more, until no pair is left that
         profiles allow and that is not compared yet.  So no link between components is
         missed, and groups of near copies, which soon are one component, are not
         expanded into all pairs.
@@ -358,24 +413,29 @@ class JaccardJoin:
         groups = stored(self.groups(), "groups")
         nodes = groups.select("node").distinct()
         profiles = stored(self.profiles(nodes), "profiles")
-        tested = stored(self._possible(groups.withColumn("root", F.col("node")), profiles, 0), "tested")
-        some = stored(tested.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-        # Whoever may be linked with anything is in a pair by now; all others need no more looks.
+        alone = groups.withColumn("root", F.col("node"))
+        tested = stored(self._possible(alone, profiles, 0, within=True), "tested")
+        long = stored(groups.groupBy("grp").count().where(F.col("count") > SLICE).select("grp"), "long-groups")
+        # Whoever may be linked with anything is in a pair by now, or in a group of several
+        # slices; all others need no more looks.
+        some = tested.select(F.explode(F.array("a", "b")).alias("node")).unionByName(groups.join(long, "grp").select("node"))
+        some = stored(some.distinct(), "nodes")
         groups = stored(groups.join(some, "node").select("grp", "node"), "groups")
         profiles = profiles.join(some, "node")
         sets = stored(self.sets(some), "sets")
         links = stored(self._linked(tested, sets), "links")
-        limit: int | None = MORE_PAIRS
+        rounds: list[tuple[int | None, bool]] = [(MORE_PAIRS, False)] if long.isEmpty() else [(0, True), (MORE_PAIRS, False)]
         while True:
+            limit, one_each = rounds.pop(0) if rounds else (None, False)
             placed = groups.join(components(links), "node", "left").select("grp", "node", F.coalesce("root", "node").alias("root"))
             apart = placed.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
             placed = stored(placed.join(apart.select("grp"), "grp"), "open-groups")
-            pairs = stored(self._possible(placed, profiles, limit).join(tested, ["a", "b"], "left_anti"), "pairs")
+            looked = placed.join(long, "grp").groupBy("grp", "root").agg(F.min("node").alias("node")) if one_each else placed
+            pairs = stored(self._possible(looked, profiles, limit).join(tested, ["a", "b"], "left_anti"), "pairs")
             if limit is None and pairs.isEmpty():
                 return links
             links = stored(links.unionByName(self._linked(pairs, sets)), "links")
             tested = stored(tested.unionByName(pairs), "tested")
-            limit = None
 
     def classes(self) -> DataFrame:
         """``doc_id``, ``text_hash``, ``n_shingles`` of each row, its class, and the class's smallest ID."""
@@ -402,55 +462,53 @@ def _compared(table: pa.Table, starts: np.ndarray, num: int, den: int, limit: in
     sure = profile.is_null().to_numpy(zero_copy_only=False)
     crossing = table.column("i").to_numpy() != table.column("j").to_numpy()
     found_a, found_b = [], []
+
+    def fitting(i: int, start: int, stop: int, tied: np.ndarray) -> np.ndarray:
+        """Rows behind *i* that may be linked with it and are not tied to it yet."""
+        j = np.arange(i + 1, stop)
+        fits = (tied[j - start] != tied[i - start]) & (np.minimum(size[j], size[i]) * den >= np.maximum(size[j], size[i]) * num)
+        if crossing[start]:
+            fits &= piece[j] != piece[i]
+        j = j[fits]
+        if not len(j):
+            return j
+        common = np.minimum(counts[j], counts[i]).sum(axis=1, dtype=np.int64)
+        return j[sure[j] | sure[i] | (den * common >= num * (size[j] + size[i] - common))]
+
     for start, stop in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         first, second = [], []
+        tied = root[start:stop].copy()
         for i in range(start, stop - 1):
-            j = np.arange(i + 1, stop)
-            fits = (root[j] != root[i]) & (np.minimum(size[j], size[i]) * den >= np.maximum(size[j], size[i]) * num)
-            if crossing[start]:
-                fits &= piece[j] != piece[i]
-            j = j[fits]
-            if len(j):
-                common = np.minimum(counts[j], counts[i]).sum(axis=1, dtype=np.int64)
-                j = j[sure[j] | sure[i] | (den * common >= num * (size[j] + size[i] - common))]
-                first.append(np.full(len(j), i))
-                second.append(j)
+            j = fitting(i, start, stop, tied)
+            if not len(j):
+                continue
+            if limit == 0:
+                # A forest: one edge to each tree that i meets, and these trees are one from here on.
+                trees, at = np.unique(tied[j - start], return_index=True)
+                j = j[at]
+                tied[np.isin(tied, trees)] = tied[i - start]
+            first.append(np.full(len(j), i))
+            second.append(j)
         if first:
             a, b = np.concatenate(first), np.concatenate(second)
-            chosen = _chosen(root[a], root[b], limit)
-            found_a.append(np.minimum(node[a[chosen]], node[b[chosen]]))
-            found_b.append(np.maximum(node[a[chosen]], node[b[chosen]]))
+            if limit:
+                chosen = _some_of_each(root[a], root[b], limit)
+                a, b = a[chosen], b[chosen]
+            found_a.append(np.minimum(node[a], node[b]))
+            found_b.append(np.maximum(node[a], node[b]))
     if found_a:
         pairs = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)], axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
 
-def _chosen(first: np.ndarray, second: np.ndarray, limit: int | None) -> np.ndarray:
-    """Which edges to test: all, some for each two roots, or (0) a forest over the roots."""
-    if limit is None:
-        return np.arange(len(first))
-    if limit:
-        low, high = np.minimum(first, second), np.maximum(first, second)
-        order = np.lexsort((high, low))
-        new = np.r_[True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])]
-        begins = np.flatnonzero(new)
-        place = np.arange(len(order)) - begins[np.cumsum(new) - 1]
-        return order[place < limit]
-    above: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (up := above.get(x, x)) != x:
-            above[x] = above.get(up, up)
-            x = up
-        return x
-
-    chosen = []
-    for at, (x, y) in enumerate(zip(first.tolist(), second.tolist(), strict=True)):
-        x, y = top(x), top(y)
-        if x != y:
-            above[max(x, y)] = min(x, y)
-            chosen.append(at)
-    return np.array(chosen, np.int64)
+def _some_of_each(first: np.ndarray, second: np.ndarray, limit: int) -> np.ndarray:
+    """Which edges to test: at most *limit* for each two roots."""
+    low, high = np.minimum(first, second), np.maximum(first, second)
+    order = np.lexsort((high, low))
+    new = np.r_[True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])]
+    begins = np.flatnonzero(new)
+    place = np.arange(len(order)) - begins[np.cumsum(new) - 1]
+    return order[place < limit]
 
 
 def near_duplicates(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:

@@ -100,6 +100,59 @@ def test_slices_rounds_and_long_groups(spark, monkeypatch):
     assert result(found, "doc_id", "n_shingles", "component_id") == brute(rows, 4, 85, 100)
 
 
+def test_sets_that_share_a_name_stay_apart(spark):
+    rows = near_copies(7)
+    found = jaccard_join.JaccardJoin(frame(spark, rows), 4, 85, 100, name_bits=6)
+    # Nearly every name of six bits is shared; all such sets are named by both halves.
+    assert len(found.renamed) > 20
+    assert result(found.classes(), "doc_id", "n_shingles", "component_id") == brute(rows, 4, 85, 100)
+
+
+def test_the_largest_component_is_not_compared_with_itself(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SLICE", 4)
+    join = jaccard_join.JaccardJoin(frame(spark, [(1, "a b c d e f g h")]), 4, 85, 100)
+    # Node n of the group: 40 nodes of root 0, and three others of their own.
+    members = [(9, n, 0 if n < 40 else n) for n in range(43)]
+    profiles = [(n, 10, bytes([10]) + bytes(jaccard_join.PARTS - 1)) for n in range(43)]
+    given = spark.createDataFrame(members, "grp long, node long, root long")
+    known = spark.createDataFrame(profiles, "node long, size long, profile binary")
+    pairs = {tuple(r) for r in join._possible(given, known, None).collect()}
+    assert pairs == {(a, b) for b in (40, 41, 42) for a in range(b)}
+    # Within slices, a forest of the possible pairs.
+    alone = given.withColumn("root", given["node"])
+    assert len(join._possible(alone, known, 0, within=True).collect()) >= 43 - 11
+
+
+def test_a_forest_ties_what_all_pairs_tie():
+    draw = np.random.default_rng(3)
+    for size in (2, 5, 30):
+        profile = (draw.random((size, jaccard_join.PARTS)) < 0.02).astype(np.uint8)
+        profile[size // 2 :] = profile[0]
+        nodes = np.arange(size) + 100
+        table = pa.table(
+            {
+                "grp": np.zeros(size, int), "i": np.zeros(size, int), "j": np.zeros(size, int), "node": nodes, "root": nodes,
+                "slice": np.zeros(size, int), "size": profile.sum(axis=1, dtype=np.int64),
+                "profile": pa.array([row.tobytes() for row in profile], pa.binary()),
+            }
+        )
+        ends = np.array([0, size])
+        every, forest = (
+            {(a, b) for batch in jaccard_join._compared(table, ends, 85, 100, limit) for a, b in zip(*batch.to_pydict().values(), strict=True)}
+            for limit in (None, 0)
+        )
+
+        def tied(pairs):
+            root = {n: n for n in nodes.tolist()}
+            for a, b in sorted(pairs):
+                ra, rb = root[a], root[b]
+                root = {n: min(ra, rb) if r in (ra, rb) else r for n, r in root.items()}
+            return root
+
+        assert forest <= every and tied(forest) == tied(every)
+        assert len(forest) == size - len(set(tied(every).values()))
+
+
 @pytest.mark.parametrize("rows", [1, 2, 3, 5, 100])
 def test_repeated_nodes_in_batches_of_a_few_rows(monkeypatch, rows):
     monkeypatch.setattr(jaccard_join, "LISTED", 4)
