@@ -10,7 +10,7 @@ from fleetloom.operators.ordered import pages
 from fleetloom.queries.registry import FLEET_SQL, fleet, query, table
 from fleetloom.session import cut_lineage, shared_path, spread
 from fleetloom.plans.render import render
-from fleetloom.sources import documents, sinks
+from fleetloom.sources import documents, places, sinks
 
 
 @query(
@@ -356,6 +356,45 @@ def discover_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.classify_layer_paths(files, "file")
 
 
+@query(
+    f"""
+    WITH {FLEET_SQL}, place AS (
+      SELECT n_nationkey, n_name, 's3a://conf/' || CASE n_nationkey % 3 WHEN 0 THEN 'clusters/' || n_name
+               WHEN 1 THEN 'shared/r' || n_regionkey ELSE 'own/' || n_nationkey END AS layer_root,
+             's3a://conf/' || CASE WHEN n_nationkey % 2 = 0 THEN 'clusters/' || n_name || '/secrets.yaml'
+               ELSE 'keys/' || n_name END AS secrets_file FROM nation),
+    held AS (
+      SELECT DISTINCT layer_root, 'all' AS scope, NULL AS scope_value, 'net/10.yml' AS layer_path, n_nationkey
+      FROM fleet JOIN place ON n_nationkey = cluster_name
+      UNION ALL
+      SELECT layer_root, 'node', host, 'all/30.yaml', n_nationkey FROM fleet JOIN place ON n_nationkey = cluster_name
+      WHERE segment = 'HOUSEHOLD')
+    SELECT n_name AS cluster_name, p.layer_root, secrets_file, scope, scope_value, layer_path, h.n_nationkey AS written_for
+    FROM held h JOIN place p ON p.layer_root = h.layer_root
+    """
+)
+def layers_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layer folders and secrets as cluster documents tell them; clusters of a region share some folders."""
+    nation, key = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    relative = F.concat(F.lit("../.././shared//r"), "n_regionkey")
+    absolute = F.concat(F.lit("/own/"), key, F.lit("/"))
+    text = F.struct(
+        F.col("n_name").alias("clusterName"),
+        F.when(key % 3 == 1, relative).when(key % 3 == 2, absolute).alias("patchesDir"),
+        F.when(key % 2 == 1, F.concat(F.lit("s3a://conf/keys/x/../"), "n_name")).alias("secretsPath"),
+    )
+    file = F.concat(F.lit("s3a://conf/clusters/"), "n_name", F.lit("/cluster.json"))
+    found = places.cluster_places(nation.select(file.alias("file"), F.to_json(text).alias("text")), "json")
+    nodes = fleet(spark, sf_dir).join(nation, F.col("cluster_name") == key).drop("cluster_name")
+    nodes = nodes.join(found, F.col("cluster_name") == F.col("n_name"))
+    shared = nodes.select("n_nationkey", F.concat("layer_root", F.lit("/all/net/10.yml")).alias("file")).distinct()
+    held = nodes.where("segment = 'HOUSEHOLD'")
+    own = held.select("n_nationkey", F.concat("layer_root", F.lit("/node/"), "host", F.lit("/all/30.yaml")).alias("file"))
+    elsewhere = nation.select("n_nationkey", F.lit("s3a://conf/other/all/10.yml").alias("file"))
+    files = shared.unionByName(own).unionByName(elsewhere).withColumnRenamed("n_nationkey", "written_for")
+    return places.layers_of_clusters(files, found).join(found, "cluster_name")
+
+
 @query(
     f"""
     WITH {FLEET_SQL}, files AS (
