@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from fleetloom.functions.columns import ROLES
 from fleetloom.operators.nodes import rejection_reasons
-from fleetloom.session import cut_lineage
+from fleetloom.session import cut_lineage, listing_in_few_tasks, task_count
 
 # File name pattern of a layer and key names of a cluster document.
 LAYER_FILE_PATTERN = r".*\.ya?ml(\.tpl)?"
@@ -101,7 +101,8 @@ def read_texts(spark: SparkSession, path: str, layout: str = "file") -> DataFram
     """Texts below *path* with their origin: one per file, or one per line."""
     if layout not in ("file", "line"):
         raise ValueError(f"layout must be 'file' or 'line': {layout!r}")
-    texts = spark.read.text(path, wholetext=layout == "file", recursiveFileLookup=True)
+    with listing_in_few_tasks(spark):
+        texts = spark.read.text(path, wholetext=layout == "file", recursiveFileLookup=True)
     return texts.select(_decoded_path().alias("file"), F.col("value").alias("text"))
 
 
@@ -261,8 +262,8 @@ def _inside(root: str) -> Column:
     return _below(_decoded_path(), root)
 
 
-def _layer_texts(files: DataFrame, root: str) -> DataFrame:
-    return classify_layer_paths(files.select(_inside(root).alias("file"), F.col("value").alias("text")), "file")
+def _layer_texts(files: DataFrame, text_col: str, root: str) -> DataFrame:
+    return classify_layer_paths(files.select(_inside(root).alias("file"), F.col(text_col).cast("string").alias("text")), "file")
 
 
 #: So many changed files are read by their names; of more, all files are read and the changed ones kept.
@@ -271,18 +272,29 @@ _LAYER = ["cluster_name", "scope", "scope_value", "layer_path"]
 _STATE = [*_LAYER, "modified", "size"]
 
 
-def list_layers(spark: SparkSession, root: str) -> DataFrame:
-    """Layer files below *root* with scope, time of change, size and ``source``; no file is opened."""
+def _files_below(spark: SparkSession, root: str) -> DataFrame | None:
+    """All files below *root*, listed once; one is opened only where its ``content`` is read."""
     try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root.rstrip("/"))
+        with listing_in_few_tasks(spark):
+            return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root.rstrip("/"))
     except AnalysisException as absent:
         if "PATH_NOT_FOUND" not in str(absent):
             raise
+        return None
+
+
+def list_layers(spark: SparkSession, root: str) -> DataFrame:
+    """Layer files below *root* with scope, time of change, size and ``source``; no file is opened."""
+    return _listing_of(spark, _files_below(spark, root), root)
+
+
+def _listing_of(spark: SparkSession, files: DataFrame | None, root: str) -> DataFrame:
+    if files is None:
         return spark.createDataFrame([], _LISTING)
     listed = files.select(
         _inside(root).alias("file"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), F.col("path").alias("source")
     )
-    return classify_layer_paths(listed, "file").select(*_STATE, "source")
+    return classify_layer_paths(listed, "file").select(*_STATE, "source").coalesce(task_count(spark))
 
 
 _LISTING = "cluster_name string, scope string, scope_value string, layer_path string, modified timestamp, size long, source string"
@@ -296,7 +308,8 @@ def discover_changes(spark: SparkSession, root: str, known: DataFrame | None = N
     size has; only such files are opened.  An empty file sets nothing and counts as none.  One that changes while this runs is found again by the next call.
     Keep the listing for that call once the changes have been worked in: then none is lost.
     """
-    listing = cut_lineage(list_layers(spark, root))
+    files = _files_below(spark, root)
+    listing = cut_lineage(_listing_of(spark, files, root))
     known = spark.createDataFrame([], _LISTING) if known is None else known
     # As structs of keys, nulls equal each other.
     key, state = F.struct(*_LAYER).alias("_key"), F.struct(*_STATE).alias("_state")
@@ -306,9 +319,11 @@ def discover_changes(spark: SparkSession, root: str, known: DataFrame | None = N
     moved = cut_lineage(moved.select(*_LAYER, F.coalesce("change", F.lit("new")).alias("change"), "source"))
     names = [row["source"] for row in moved.select("source").limit(NAMED_FILES + 1).collect()]
     if len(names) > NAMED_FILES:
-        texts = discover_layers(spark, root)
+        texts = _layer_texts(files, "content", root).coalesce(task_count(spark))
     elif names:
-        texts = _layer_texts(spark.read.text([re.sub(r"([\\{}\[\]*?])", r"\\\1", name) for name in names], wholetext=True), root)
+        escaped = [re.sub(r"([\\{}\[\]*?])", r"\\\1", name) for name in names]
+        with listing_in_few_tasks(spark):
+            texts = _layer_texts(spark.read.text(escaped, wholetext=True), "value", root)
     else:
         texts = spark.createDataFrame([], _LISTING).select(*_LAYER, F.lit("").alias("text"))
     texts = texts.select(key, "text")

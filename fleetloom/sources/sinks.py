@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from fleetloom.session import task_count
+
 HOST_SLICES = 64
 _MANIFEST = "cluster_name string, run string, columns string"
 
@@ -88,7 +90,8 @@ def write_files(texts: DataFrame, root: str) -> int:
     """Write ``(file, text)`` as files of these names below *root*; a null text removes its file.
 
     Each file appears whole, by a rename, and a task that is run again writes the same.  Names
-    that lead out of *root* stop the job.  Returns the number of rows.
+    that lead out of *root* stop the job.  Returns the number of rows.  Files are dealt to tasks by
+    name; of rows of one name, the last one counts.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,4 +114,7 @@ def write_files(texts: DataFrame, root: str) -> int:
                     system.delete_file(path)
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
 
-    return texts.select("file", "text").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # Rows of one name stay in their order, in one task.
+    numbered = texts.select("file", "text", F.monotonically_increasing_id().alias("_row"))
+    dealt = numbered.repartition(task_count(texts.sparkSession), "file").sortWithinPartitions("_row").select("file", "text")
+    return dealt.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetloom.functions.columns import DEFAULT_SCHEMATIC
 from fleetloom.operators import layers, nested, templates
 from fleetloom.plans.render import render
+from fleetloom.session import task_count
 from fleetloom.sources import documents, sinks
 
 CLUSTER = """
@@ -373,6 +374,34 @@ def test_only_changed_layer_files_are_opened(spark, tmp_path):
     assert len(opened) == 1 and opened[0].endswith("c3/all/a.yaml")
 
 
+def test_many_layer_folders_take_few_tasks(spark, tmp_path, monkeypatch):
+    root, most, context = str(tmp_path / "layers"), task_count(spark), spark.sparkContext
+    folders = max(40, 2 * most)
+    rows = [(f"c/node/h{i}/a.yaml", str(i)) for i in range(folders)]
+    sinks.write_files(spark.createDataFrame(rows, "file string, text string"), root)
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    for named in (10_000, 1):
+        monkeypatch.setattr(documents, "NAMED_FILES", named)
+        context.setJobGroup(f"listing-{named}", "")
+        try:
+            _, changes = documents.discover_changes(spark, root)
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+        tracker = context.statusTracker()
+        jobs = [tracker.getJobInfo(job) for job in tracker.getJobIdsForGroup(f"listing-{named}")]
+        stages = [tracker.getStageInfo(stage) for job in jobs for stage in job.stageIds]
+        assert stages and max(stage.numTasks for stage in stages if stage) <= most
+        assert {(r.scope_value, r.text) for r in changes.collect()} == {(f"h{i}", str(i)) for i in range(folders)}
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
+
+
+def test_last_row_of_a_file_name_counts(spark, tmp_path):
+    rows = [("c/all/a.yaml", "x" * 100_000), ("c/all/a.yaml", None), ("c/all/a.yaml", "last")]
+    for parts in (1, 3):
+        sinks.write_files(spark.createDataFrame(rows, "file string, text string").coalesce(parts), str(tmp_path / f"{parts}"))
+        assert (tmp_path / f"{parts}/c/all/a.yaml").read_text() == "last"
+
+
 def test_file_names_stay_below_the_root(spark, tmp_path):
     rows = spark.createDataFrame([("../x.yaml", "x")], "file string, text string")
     with pytest.raises(PySparkException):
