@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,6 +13,9 @@ from fleetloom.session import cut_lineage
 # Stands for a missing role; no role layer can name it.
 NO_ROLE = "\u0000"
 
+# Leaves that one task merges; the number of tasks follows the number of leaves.
+TASK_LEAVES = 30_000
+
 # Fixed order of scopes, lowest precedence first.
 SCOPES = ("base", "all", "role", "node")
 
@@ -87,15 +91,19 @@ def merge_layers(
     prefixes = F.transform(
         F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.slice("path", 1, i)
     )
-    own = settings.select(*keys, "path", "kind", "value", "precedence", F.lit(False).alias("_below"))
-    below = settings.where(F.size("path") > 1).select(
-        *keys,
-        F.explode(prefixes).alias("path"),
-        F.lit(None).cast("string").alias("kind"),
-        F.lit(None).cast("string").alias("value"),
-        "precedence",
-        F.lit(True).alias("_below"),
+    own = F.struct("path", "kind", "value", F.lit(False).alias("_below"))
+    nothing = F.lit(None).cast("string")
+    below = F.when(
+        F.size("path") > 1,
+        F.transform(
+            prefixes, lambda p: F.struct(p.alias("path"), nothing.alias("kind"), nothing.alias("value"), F.lit(True).alias("_below"))
+        ),
     )
+    rows = settings.select(*keys, "precedence", F.inline(F.concat(F.array(own), F.coalesce(below, F.array()))))
+    # Dealt out first: before the shuffle nothing meets that could be aggregated, and a sort there
+    # would hold what one task makes of its part of the nodes.
+    tasks = max(1, math.ceil(settings.count() / TASK_LEAVES))
+    rows = rows.repartition(tasks, *keys, "path")
     mine = ~F.col("_below")
     order = F.col("precedence")
     aggregates = [
@@ -110,7 +118,7 @@ def merge_layers(
             F.collect_list(F.when(is_list, F.struct("precedence", "value"))).alias("_lists"),
         ]
     # Read by several steps below, and the shuffle is the costly part: kept once.
-    states = cut_lineage(own.unionByName(below).groupBy(*keys, "path").agg(*aggregates))
+    states = cut_lineage(rows.groupBy(*keys, "path").agg(*aggregates))
     winners = states.where(
         F.col("_win.kind").isNotNull() & ~F.col("_win.kind").isin("empty", "delete")
     )

@@ -171,3 +171,18 @@ def test_applicable_layers_is_equi_joins_only(spark):
 def test_list_mode_is_checked(spark):
     with pytest.raises(ValueError):
         layers.merge_layers(spark.range(1), ["id"], "zip")
+
+
+def test_tasks_of_a_merge_follow_its_leaves(spark, monkeypatch):
+    """No task aggregates before the shuffle, and each one behind it gets a bounded number of leaves."""
+    monkeypatch.setattr(layers, "TASK_LEAVES", 10)
+    kept = []
+    monkeypatch.setattr(layers, "cut_lineage", lambda df: kept.append(df) or df.localCheckpoint())
+    leaf = lambda i: ("c", "node", f"h{i}", f"{i % 2}.yaml", 0, ["a", "b", str(i % 3)], "scalar", str(i))
+    names = "cluster_name string, scope string, scope_value string, layer_path string, doc_index int, path array<string>, kind string, value string"
+    leaves = layers.with_precedence(spark.createDataFrame([leaf(i) for i in range(95)], names))
+    merged = layers.merge_layers(leaves, ["cluster_name", "scope_value"])
+    plan = kept[0]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Aggregate" not in plan[plan.index("Exchange") :]
+    assert kept[0].rdd.getNumPartitions() == 10
+    assert {(r.scope_value, r.value) for r in merged.collect()} == {(f"h{i}", str(i)) for i in range(95)}
