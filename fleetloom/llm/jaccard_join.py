@@ -401,7 +401,11 @@ class JaccardJoin:
         return ordered.mapInArrow(compare, "a long, b long").distinct()
 
     def links(self) -> DataFrame:
-        """Links ``(a, b)`` that connect all that is connected.
+        """Links ``(a, b)`` that connect all that is connected."""
+        return self._connected()[0]
+
+    def _connected(self) -> tuple[DataFrame, DataFrame]:
+        """:meth:`links`, and the :func:`components` that they make.
 
         In each round pairs of different components are compared: first just enough of
         them to tie each slice of a group together, then one node of each component of
@@ -427,19 +431,20 @@ class JaccardJoin:
         rounds: list[tuple[int | None, bool]] = [(MORE_PAIRS, False)] if long.isEmpty() else [(0, True), (MORE_PAIRS, False)]
         while True:
             limit, one_each = rounds.pop(0) if rounds else (None, False)
-            placed = groups.join(components(links), "node", "left").select("grp", "node", F.coalesce("root", "node").alias("root"))
+            roots = components(links)
+            placed = groups.join(roots, "node", "left").select("grp", "node", F.coalesce("root", "node").alias("root"))
             apart = placed.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
             placed = stored(placed.join(apart.select("grp"), "grp"), "open-groups")
             looked = placed.join(long, "grp").groupBy("grp", "root").agg(F.min("node").alias("node")) if one_each else placed
             pairs = stored(self._possible(looked, profiles, limit).join(tested, ["a", "b"], "left_anti"), "pairs")
             if limit is None and pairs.isEmpty():
-                return links
+                return links, roots
             links = stored(links.unionByName(self._linked(pairs, sets)), "links")
             tested = stored(tested.unionByName(pairs), "tested")
 
     def classes(self) -> DataFrame:
         """``doc_id``, ``text_hash``, ``n_shingles`` of each row, its class, and the class's smallest ID."""
-        roots = components(self.links())
+        _, roots = self._connected()
         some = self.rows.where("n_shingles > 0")
         least = some.groupBy("node").agg(F.min("doc_id").alias("least"))
         root = F.coalesce("root", "node")

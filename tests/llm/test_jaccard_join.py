@@ -5,7 +5,9 @@ import pyarrow as pa
 import pytest
 
 from fleetloom.llm import jaccard_join
+from fleetloom.llm import components as components_module
 from fleetloom.llm.components import components
+from fleetloom.llm.shared import stored
 
 from .helpers import corpus, frame, lower, result, words
 
@@ -185,6 +187,20 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_several_tasks(spark, monkeypatch):
+    chain = [(i, i + 1) for i in range(0, 400)] + [(i, i + 500) for i in range(0, 300, 2)] + [(1000, 1001), (1001, 1000)]
+    links = spark.createDataFrame(chain, "a long, b long")
+    written = []
+    monkeypatch.setattr(components_module, "stored", lambda df, label: written.append(label) or stored(df, label))
+    whole = {r.node: r.root for r in components(links).collect()}
+    # What fits into a task is tied there, without rounds of shuffles.
+    assert written == ["stars"]
+    assert whole == {i: 0 for i in [*range(1, 401), *range(500, 800, 2)]} | {1001: 1000}
+    monkeypatch.setattr(components_module, "TASK_LINKS", 50)
+    assert {r.node: r.root for r in components(links).collect()} == whole
+    assert "links" in written
+
+
 def test_one_of_each_class_stays(spark):
     rows = near_copies(3)
     docs = frame(spark, rows)
